@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feederlake.functions.projection import to_degrees
+from feederlake.functions.projection import point_to_degrees, to_degrees
 
 # Mean hexagon edge in metres per resolution.
 EDGE_M = {8: 531.414010, 9: 200.786148}
@@ -50,9 +50,8 @@ def cell_ring(cell: Column) -> Column:
     parts = F.split(cell, ":")
     edge = F.when(parts[0] == "8", F.lit(EDGE_M[8])).otherwise(F.lit(EDGE_M[9]))
     cx, cy = cell_centre_m(cell)
-    corners = []
-    for k in (0, 1, 2, 3, 4, 5, 0):
-        angle = math.pi / 6 + k * math.pi / 3
-        lon, lat = to_degrees(cx + edge * F.lit(math.cos(angle)), cy + edge * F.lit(math.sin(angle)))
-        corners.append(F.struct(lon.alias("lon"), lat.alias("lat")))
-    return F.array(*corners)
+    angles = [math.pi / 6 + k * math.pi / 3 for k in (0, 1, 2, 3, 4, 5, 0)]
+    corners = F.array(*[
+        F.struct(F.lit(math.cos(a)).alias("dx"), F.lit(math.sin(a)).alias("dy")) for a in angles])
+    return F.transform(corners, lambda c: point_to_degrees(
+        F.struct((cx + edge * c["dx"]).alias("x"), (cy + edge * c["dy"]).alias("y"))))

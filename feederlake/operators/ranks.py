@@ -1,4 +1,4 @@
-"""percent_rank over a whole table without a single-task window."""
+"""Running totals and percent_rank over a whole table, without a single-task window."""
 
 from __future__ import annotations
 
@@ -22,37 +22,55 @@ def _bucket(value: Column, splits: Column, n_splits: int) -> Column:
     return F.aggregate(sizes, F.lit(0), advance)
 
 
-def global_percent_rank(df: DataFrame, column: str, out: str, descending: bool = False,
-                        buckets: int = BUCKETS) -> DataFrame:
-    """Add percent_rank() OVER (ORDER BY column [DESC]).
+def prefix_by_value(df: DataFrame, column: str, measures: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+    """One row per distinct value with, per measure m, m, m_before and m_total.
 
-    Equal values are counted first. The distinct values are cut at approximate
-    quantiles into buckets, ranked inside each bucket, and moved up by the size of
-    the buckets before; only the bucket totals, a fixed number of rows, go through
-    one task. NULL sorts first ascending and last descending, as in Spark's window.
+    ``m_before`` sums the measure over all smaller values. Equal values are combined
+    first. The distinct values are cut at approximate quantiles into buckets, summed
+    inside each bucket, and moved up by the buckets before; only the bucket totals, a
+    fixed number of rows, go through one task. NULL comes first.
     """
-    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.groupBy(F.col(column).alias("_v")).agg(*[m.alias(name) for name, m in measures.items()])
     probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     splits = counts.agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("_v", probabilities, F.lit(10 * buckets)))).alias("_splits"))
-    bucketed = counts.join(F.broadcast(splits), how="cross").select(  # splits: exactly one row
-        "_v", "_c",
+        F.array_sort(F.array_distinct(F.percentile_approx("_v", probabilities, F.lit(10 * buckets)))))
+    bucketed = counts.withColumn("_splits", splits.scalar()).select(
+        "_v", *measures,
         F.when(F.col("_v").isNull(), F.lit(-1))
         .otherwise(_bucket(F.col("_v"), F.col("_splits"), buckets)).alias("_b"))
 
     inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = bucketed.groupBy("_b").agg(F.sum("_c").alias("_t")).select(  # at most `buckets` rows
-        "_b",
-        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"),
-        F.sum("_t").over(whole).alias("_n"))
-    ranked = (
-        bucketed.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-        .join(F.broadcast(totals), "_b")
-        .withColumn("_below", F.col("_before") + F.col("_in")))
-    smaller = F.col("_n") - F.col("_below") - F.col("_c") if descending else F.col("_below")
-    ranked = ranked.select(
-        F.col("_v"),
-        F.when(F.col("_n") > 1, smaller / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias(out))
+    sums = bucketed.groupBy("_b").agg(*[F.sum(m).alias(m) for m in measures])  # at most `buckets` rows
+    totals = sums.select("_b", *[c for m in measures for c in (
+        F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_offset"),
+        F.sum(m).over(whole).alias(f"{m}_total"))])
+    joined = bucketed.withColumns({
+        f"_{m}_inside": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures}).join(F.broadcast(totals), "_b")
+    return joined.select("_v", *[c for m in measures for c in (
+        F.col(m), (F.col(f"_{m}_offset") + F.col(f"_{m}_inside")).alias(f"{m}_before"), F.col(f"{m}_total"))])
+
+
+def global_percent_rank(df: DataFrame, column: str, out: str, descending: bool = False,
+                        buckets: int = BUCKETS, base: DataFrame | None = None) -> DataFrame:
+    """Add percent_rank() OVER (ORDER BY column [DESC]).
+
+    NULL sorts first ascending and last descending, as in Spark's window. The rank is
+    joined back on the value, where a very common value is split as a skewed key.
+    ``base`` gives the ranked values when ``df`` already carries other ranks.
+    """
+    ranked = prefix_by_value(base if base is not None else df, column, {"c": F.count(F.lit(1))}, buckets)
+    smaller = F.col("c_total") - F.col("c_before") - F.col("c") if descending else F.col("c_before")
+    rank = F.when(F.col("c_total") > 1, smaller / (F.col("c_total") - 1)).otherwise(F.lit(0.0))
+    ranked = ranked.select("_v", rank.alias(out))
     return df.join(ranked, df[column].eqNullSafe(ranked["_v"])).drop("_v")
+
+
+def average_precision(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """Average precision as a one-row table: precision at each threshold, weighted by gained recall."""
+    positive = F.sum(F.col(label).cast("double"))
+    steps = prefix_by_value(scored, score, {"n": F.count(F.lit(1)), "p": positive})
+    hits = F.col("p_total") - F.col("p_before")
+    taken = F.col("n_total") - F.col("n_before")
+    return steps.agg(F.sum(F.try_divide(F.col("p"), F.col("p_total")) * hits / taken).alias("average_precision"))
