@@ -1,16 +1,20 @@
-"""EPSG:4326 <-> EPSG:32198 (Quebec Lambert) as column arithmetic.
+"""EPSG:4326 <-> EPSG:32198 (Quebec Lambert) as SQL expressions.
 
 Ellipsoidal Lambert conformal conic with two standard parallels, after Snyder,
-"Map Projections: A Working Manual" (1987), section 15. Everything is built-in
-column arithmetic, so it stays inside whole-stage code generation.
+"Map Projections: A Working Manual" (1987), section 15, in built-in functions only.
+The forward direction, which every asset goes through, stays inside whole-stage
+code generation.
+
+Like all of ``functions``, these take and return SQL text, to be used in
+``selectExpr``/``F.expr`` and inside lambdas: a formula then costs one call to
+Spark instead of one per operator.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # GRS80 ellipsoid and the defining parameters of EPSG:32198.
 SEMI_MAJOR_M = 6378137.0
@@ -45,42 +49,58 @@ def _cone() -> tuple[float, float, float]:
 CONE_N, CONE_SCALE, CONE_ORIGIN = _cone()
 
 
-def to_metres(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Project degrees to metres: (x, y)."""
-    phi = F.radians(lat)
-    isometric = F.tan(F.lit(math.pi / 4) - phi / F.lit(2.0)) * F.exp(
-        F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * F.sin(phi))
-    )
-    rho = F.lit(CONE_SCALE) * F.pow(isometric, F.lit(CONE_N))
-    theta = F.lit(CONE_N) * F.radians(lon - F.lit(ORIGIN_LON))
-    return rho * F.sin(theta), F.lit(CONE_ORIGIN) - rho * F.cos(theta)
+def number(value: float) -> str:
+    """A DOUBLE literal."""
+    return f"{float(value)!r}D"
+
+
+_E, _N, _SCALE, _ORIGIN = (number(v) for v in (ECCENTRICITY, CONE_N, CONE_SCALE, CONE_ORIGIN))
+_HALF_PI = number(math.pi / 2)
+
+
+def _rho(lat: str) -> str:
+    isometric = (f"tan({number(math.pi / 4)} - radians({lat}) / 2.0D) * "
+                 f"exp({_E} * atanh({_E} * sin(radians({lat}))))")
+    return f"{_SCALE} * pow({isometric}, {_N})"
+
+
+def _theta(lon: str) -> str:
+    return f"{_N} * radians(({lon}) - {number(ORIGIN_LON)})"
+
+
+def x_metres(lon: str, lat: str) -> str:
+    return f"({_rho(lat)} * sin({_theta(lon)}))"
+
+
+def y_metres(lon: str, lat: str) -> str:
+    return f"({_ORIGIN} - {_rho(lat)} * cos({_theta(lon)}))"
+
+
+def lon_degrees(x: str, y: str) -> str:
+    return f"(degrees(atan2({x}, {_ORIGIN} - ({y})) / {_N}) + {number(ORIGIN_LON)})"
 
 
-def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
-    """Inverse projection: (lon, lat)."""
-    south = F.lit(CONE_ORIGIN) - y
-    theta = F.atan2(x, south)
-    isometric = F.pow(F.sqrt(x * x + south * south) / F.lit(CONE_SCALE), F.lit(1.0 / CONE_N))
-    lat = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(isometric)
-    for _ in range(LATITUDE_STEPS):
-        correction = F.exp(-F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * F.sin(lat)))
-        lat = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(isometric * correction)
-    return F.degrees(theta / F.lit(CONE_N)) + F.lit(ORIGIN_LON), F.degrees(lat)
+def lat_degrees(x: str, y: str) -> str:
+    """A fold keeps the text short: unrolled, every step would repeat the one before."""
+    south = f"({_ORIGIN} - ({y}))"
+    isometric = f"pow(sqrt(({x}) * ({x}) + {south} * {south}) / {_SCALE}, {number(1.0 / CONE_N)})"
+    step = f"{_HALF_PI} - 2.0D * atan({isometric} * exp(-{_E} * atanh({_E} * sin(phi))))"
+    return (f"degrees(aggregate(sequence(1, {LATITUDE_STEPS}), {_HALF_PI} - 2.0D * atan({isometric}), "
+            f"(phi, step) -> {step}))")
 
 
-def with_metres(df, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y"):
+def with_metres(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     """Add projected coordinates next to a lon/lat pair."""
-    px, py = to_metres(F.col(lon), F.col(lat))
-    return df.withColumns({x: px, y: py})
+    return df.selectExpr("*", f"{x_metres(lon, lat)} AS {x}", f"{y_metres(lon, lat)} AS {y}")
 
 
-def point_to_metres(point: Column) -> Column:
-    """struct(lon, lat) -> struct(x, y)."""
-    x, y = to_metres(point["lon"], point["lat"])
-    return F.struct(x.alias("x"), y.alias("y"))
+def ring_metres(ring: str) -> str:
+    """array of struct(lon, lat) -> array of struct(x, y)."""
+    return (f"transform({ring}, p -> named_struct('x', {x_metres('p.lon', 'p.lat')}, "
+            f"'y', {y_metres('p.lon', 'p.lat')}))")
 
 
-def point_to_degrees(point: Column) -> Column:
-    """struct(x, y) -> struct(lon, lat)."""
-    lon, lat = to_degrees(point["x"], point["y"])
-    return F.struct(lon.alias("lon"), lat.alias("lat"))
+def ring_degrees(ring: str) -> str:
+    """array of struct(x, y) -> array of struct(lon, lat)."""
+    return (f"transform({ring}, p -> named_struct('lon', {lon_degrees('p.x', 'p.y')}, "
+            f"'lat', {lat_degrees('p.x', 'p.y')}))")

@@ -1,4 +1,4 @@
-"""Geometry values as plain columns.
+"""Geometry values as plain columns; every function takes and returns SQL text.
 
 A point is a pair of DOUBLE columns or struct(lon, lat); a ring is
 array<struct<lon,lat>>; a polygon is an array of rings (the first is the outer
@@ -9,41 +9,29 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from feederlake.functions.projection import ring_metres
 
-from feederlake.functions.projection import point_to_metres, to_metres
-
-RINGS_TYPE = "array<array<struct<lon:double,lat:double>>>"
 COORDINATE_DECIMALS = 7  # about one centimetre, the precision GeoJSON recommends
 
 
 # ---------------------------------------------------------------- parsing
 
-def rings_from_wkt(wkt: Column) -> Column:
+def rings_from_wkt(wkt: str) -> str:
     """POLYGON text -> rings. Text that is not a polygon gives NULL."""
-    body = F.regexp_extract(wkt, r"(?is)^\s*(?:SRID=\d+;)?\s*POLYGON\s*(?:ZM|Z|M)?\s*\(\s*\((.*)\)\s*\)\s*$", 1)
-    rings = F.transform(
-        F.split(body, r"\)\s*,\s*\("),
-        lambda ring: F.transform(
-            F.split(ring, ","),
-            lambda pair: F.struct(
-                F.element_at(F.split(F.trim(pair), r"\s+"), 1).cast("double").alias("lon"),
-                F.element_at(F.split(F.trim(pair), r"\s+"), 2).cast("double").alias("lat"),
-            ),
-        ),
-    )
-    return F.when(body != "", rings)
-
-
-def rings_from_geojson(text: Column) -> Column:
+    pattern = r"(?is)^\s*(?:SRID=\d+;)?\s*POLYGON\s*(?:ZM|Z|M)?\s*\(\s*\((.*)\)\s*\)\s*$"
+    body = f"regexp_extract({wkt}, r'{pattern}', 1)"
+    pair = r"split(trim(pair), r'\s+')"
+    point = (f"named_struct('lon', CAST(element_at({pair}, 1) AS DOUBLE), "
+             f"'lat', CAST(element_at({pair}, 2) AS DOUBLE))")
+    return (rf"CASE WHEN {body} <> '' THEN transform(split({body}, r'\)\s*,\s*\('), "
+            f"ring -> transform(split(ring, ','), pair -> {point})) END")
+
+
+def rings_from_geojson(text: str) -> str:
     """GeoJSON Polygon text -> rings."""
-    parsed = F.from_json(text, "type string, coordinates array<array<array<double>>>")
-    rings = F.transform(
-        parsed["coordinates"],
-        lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))),
-    )
-    return F.when(parsed["type"] == "Polygon", rings)
+    parsed = f"from_json({text}, 'type string, coordinates array<array<array<double>>>')"
+    return (f"CASE WHEN {parsed}.type = 'Polygon' THEN transform({parsed}.coordinates, "
+            f"ring -> transform(ring, p -> named_struct('lon', p[0], 'lat', p[1]))) END")
 
 
 def rings_literal(geojson: str) -> list[list[tuple[float, float]]]:
@@ -56,132 +44,129 @@ def rings_literal(geojson: str) -> list[list[tuple[float, float]]]:
 
 # ---------------------------------------------------------------- output
 
-def _number(value: Column) -> Column:
-    return F.round(value, COORDINATE_DECIMALS).cast("string")
+def _decimal(value: str) -> str:
+    return f"CAST(round({value}, {COORDINATE_DECIMALS}) AS STRING)"
 
 
-def _pair(lon: Column, lat: Column) -> Column:
-    return F.concat(F.lit("["), _number(lon), F.lit(","), _number(lat), F.lit("]"))
+def _pair(lon: str, lat: str) -> str:
+    return f"concat('[', {_decimal(lon)}, ',', {_decimal(lat)}, ']')"
 
 
-def _list(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+def _list(items: str) -> str:
+    return f"concat('[', array_join({items}, ','), ']')"
 
 
-def _ring(points: Column) -> Column:
-    return _list(F.transform(points, lambda p: _pair(p["lon"], p["lat"])))
+def _ring(points: str) -> str:
+    return _list(f"transform({points}, p -> {_pair('p.lon', 'p.lat')})")
 
 
-def _geojson(kind: str, coordinates: Column) -> Column:
-    return F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), coordinates, F.lit("}"))
+def _geojson(kind: str, coordinates: str) -> str:
+    return f"""concat('{{"type":"{kind}","coordinates":', {coordinates}, '}}')"""
 
 
-def point_geojson(lon: Column, lat: Column) -> Column:
+def point_geojson(lon: str = "lon", lat: str = "lat") -> str:
     return _geojson("Point", _pair(lon, lat))
 
 
-def line_geojson(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    return _geojson("LineString", F.concat(F.lit("["), _pair(lon1, lat1), F.lit(","), _pair(lon2, lat2), F.lit("]")))
+def line_geojson(lon1: str = "lon1", lat1: str = "lat1", lon2: str = "lon2", lat2: str = "lat2") -> str:
+    return _geojson("LineString", f"concat('[', {_pair(lon1, lat1)}, ',', {_pair(lon2, lat2)}, ']')")
 
 
-def multiline_geojson(lines: Column) -> Column:
+def multiline_geojson(lines: str) -> str:
     """array of point arrays -> MultiLineString."""
-    return _geojson("MultiLineString", _list(F.transform(lines, _ring)))
+    return _geojson("MultiLineString", _list(f"transform({lines}, path -> {_ring('path')})"))
 
 
-def polygon_geojson(rings: Column) -> Column:
-    return _geojson("Polygon", _list(F.transform(rings, _ring)))
+def polygon_geojson(rings: str) -> str:
+    return _geojson("Polygon", _list(f"transform({rings}, ring -> {_ring('ring')})"))
 
 
-def multipolygon_geojson(polygons: Column) -> Column:
-    """array of rings, one single-ring polygon each -> MultiPolygon."""
-    return _geojson("MultiPolygon", _list(F.transform(polygons, lambda ring: _list(F.array(_ring(ring))))))
+def multipolygon_geojson(rings: str) -> str:
+    """array of rings, each one a polygon of its own -> MultiPolygon."""
+    one = f"concat('[', {_ring('ring')}, ']')"
+    return _geojson("MultiPolygon", _list(f"transform({rings}, ring -> {one})"))
 
 
-def point_wkt(lon: Column, lat: Column) -> Column:
-    return F.concat(F.lit("POINT ("), _number(lon), F.lit(" "), _number(lat), F.lit(")"))
+def point_wkt(lon: str = "lon", lat: str = "lat") -> str:
+    return f"concat('POINT (', {_decimal(lon)}, ' ', {_decimal(lat)}, ')')"
 
 
-def line_wkt(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    return F.concat(F.lit("LINESTRING ("), _number(lon1), F.lit(" "), _number(lat1), F.lit(", "),
-                    _number(lon2), F.lit(" "), _number(lat2), F.lit(")"))
+def line_wkt(lon1: str = "lon1", lat1: str = "lat1", lon2: str = "lon2", lat2: str = "lat2") -> str:
+    return (f"concat('LINESTRING (', {_decimal(lon1)}, ' ', {_decimal(lat1)}, ', ', {_decimal(lon2)}, ' ', "
+            f"{_decimal(lat2)}, ')')")
 
 
-def polygon_wkt(rings: Column) -> Column:
-    def ring(points: Column) -> Column:
-        pairs = F.transform(points, lambda p: F.concat(_number(p["lon"]), F.lit(" "), _number(p["lat"])))
-        return F.concat(F.lit("("), F.array_join(pairs, ", "), F.lit(")"))
-
-    return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, ring), ", "), F.lit(")"))
+def polygon_wkt(rings: str) -> str:
+    pair = f"concat({_decimal('p.lon')}, ' ', {_decimal('p.lat')})"
+    ring = f"concat('(', array_join(transform(ring, p -> {pair}), ', '), ')')"
+    return f"concat('POLYGON (', array_join(transform({rings}, ring -> {ring}), ', '), ')')"
 
 
 # ---------------------------------------------------------------- measures
 
-def _consecutive(points: Column, combine) -> Column:
-    """combine(p_i, p_i+1) for every edge of a point array."""
-    following = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
-    leading = F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0)))
-    return F.zip_with(leading, following, combine)
+def leading(points: str) -> str:
+    """All but the last element."""
+    return f"slice({points}, 1, greatest(size({points}) - 1, 0))"
+
+
+def following(points: str) -> str:
+    """All but the first element."""
+    return f"slice({points}, 2, greatest(size({points}) - 1, 0))"
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+def _sum_edges(points: str, term: str) -> str:
+    """Sum of a term in a and b over every edge a -> b."""
+    return (f"aggregate(zip_with({leading(points)}, {following(points)}, (a, b) -> {term}), 0.0D, "
+            f"(total, v) -> total + v)")
 
 
-def planar_ring_area(points: Column) -> Column:
+_CROSS = "(a.x * b.y - b.x * a.y)"
+
+
+def planar_ring_area(points: str) -> str:
     """Unsigned shoelace area of a closed ring of struct(x, y)."""
-    return F.abs(_total(_consecutive(points, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))) / F.lit(2.0)
+    return f"(abs({_sum_edges(points, _CROSS)}) / 2.0D)"
 
 
-def polygon_area_m2(rings: Column) -> Column:
+def polygon_area_m2(rings: str) -> str:
     """Projected area: outer ring minus holes."""
-    areas = F.transform(rings, lambda ring: planar_ring_area(F.transform(ring, point_to_metres)))
-    return F.lit(2.0) * F.element_at(areas, 1) - _total(areas)
+    areas = f"transform({rings}, ring -> {planar_ring_area(ring_metres('ring'))})"
+    return f"(2.0D * element_at({areas}, 1) - aggregate({areas}, 0.0D, (total, v) -> total + v))"
 
 
-def ring_centroid(ring: Column) -> tuple[Column, Column]:
+def ring_centroid(ring: str) -> tuple[str, str]:
     """Area-weighted centroid of a closed ring, in the ring's own lon/lat plane.
 
     Coordinates are taken relative to the first vertex: a zone is tiny against
     its longitude, and the raw cross products would cancel.
     """
-    lon0, lat0 = ring[0]["lon"], ring[0]["lat"]
-    local = F.transform(ring, lambda p: F.struct((p["lon"] - lon0).alias("x"), (p["lat"] - lat0).alias("y")))
-    twice_area = _total(_consecutive(local, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
-    mx = _total(_consecutive(local, lambda a, b: (a["x"] + b["x"]) * (a["x"] * b["y"] - b["x"] * a["y"])))
-    my = _total(_consecutive(local, lambda a, b: (a["y"] + b["y"]) * (a["x"] * b["y"] - b["x"] * a["y"])))
-    return lon0 + mx / (F.lit(3.0) * twice_area), lat0 + my / (F.lit(3.0) * twice_area)
+    lon0, lat0 = f"{ring}[0].lon", f"{ring}[0].lat"
+    local = f"transform({ring}, p -> named_struct('x', p.lon - {lon0}, 'y', p.lat - {lat0}))"
+    twice = _sum_edges(local, _CROSS)
+    mx, my = _sum_edges(local, f"(a.x + b.x) * {_CROSS}"), _sum_edges(local, f"(a.y + b.y) * {_CROSS}")
+    return f"({lon0} + {mx} / (3.0D * {twice}))", f"({lat0} + {my} / (3.0D * {twice}))"
 
 
-def bounds(rings: Column) -> dict[str, Column]:
+def bounds(rings: str) -> dict[str, str]:
     """Bounding box of a polygon's outer ring."""
-    lons = F.transform(rings[0], lambda p: p["lon"])
-    lats = F.transform(rings[0], lambda p: p["lat"])
-    return {"xmin": F.array_min(lons), "ymin": F.array_min(lats),
-            "xmax": F.array_max(lons), "ymax": F.array_max(lats)}
+    return {"xmin": f"array_min({rings}[0].lon)", "ymin": f"array_min({rings}[0].lat)",
+            "xmax": f"array_max({rings}[0].lon)", "ymax": f"array_max({rings}[0].lat)"}
 
 
-def distance_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+def distance(x1: str, y1: str, x2: str, y2: str) -> str:
     """Planar distance between projected points."""
-    return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    return f"sqrt(({x2} - {x1}) * ({x2} - {x1}) + ({y2} - {y1}) * ({y2} - {y1}))"
 
 
 # ---------------------------------------------------------------- validity
 
-def rings_well_formed(rings: Column) -> Column:
+def rings_well_formed(rings: str) -> str:
     """Every ring closed, at least four points, non-zero area.
 
-    Crossing edges need an edge comparison; see operators.spatial.invalid_polygons.
+    Crossing edges need an edge comparison; see operators.spatial.edges_apart.
     """
-    def ring_ok(ring: Column) -> Column:
-        closed = (F.element_at(ring, 1)["lon"] == F.element_at(ring, -1)["lon"]) & (
-            F.element_at(ring, 1)["lat"] == F.element_at(ring, -1)["lat"])
-        flat = F.transform(ring, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
-        return F.when(F.size(ring) < 4, False).otherwise(closed & (planar_ring_area(flat) > 0))
-
-    return F.coalesce(rings.isNotNull() & (F.size(rings) > 0) & F.forall(rings, ring_ok), F.lit(False))
-
-
-def to_metres_struct(lon: Column, lat: Column) -> Column:
-    x, y = to_metres(lon, lat)
-    return F.struct(x.alias("x"), y.alias("y"))
+    closed = ("element_at(ring, 1).lon = element_at(ring, -1).lon AND "
+              "element_at(ring, 1).lat = element_at(ring, -1).lat")
+    flat = "transform(ring, p -> named_struct('x', p.lon, 'y', p.lat))"
+    sound = f"CASE WHEN size(ring) < 4 THEN false ELSE {closed} AND {planar_ring_area(flat)} > 0 END"
+    return f"coalesce({rings} IS NOT NULL AND size({rings}) > 0 AND forall({rings}, ring -> {sound}), false)"

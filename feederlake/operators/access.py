@@ -8,8 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederlake.functions.hexgrid import cell_centre, cell_id
-from feederlake.functions.projection import to_metres
+from feederlake.functions.hexgrid import centre_lat, centre_lon, centre_x, centre_y
 from feederlake.schemas import ADMIN_GROUP, ALL_CENTRES, TEXT_MASK
 
 PII_GROUP = "pii_readers"
@@ -60,11 +59,12 @@ def masked_text(value: Column, caller: Caller) -> Column:
     return value if caller.reads_pii else F.lit(TEXT_MASK)
 
 
-def masked_point(lon: Column, lat: Column, caller: Caller) -> tuple[Column, Column]:
-    """The exact point, or the centre of its resolution-8 cell."""
+def masked_place(df: DataFrame, caller: Caller, cell: str = "hex_cell_8") -> DataFrame:
+    """Exact lon, lat, x, y for readers of personal data, the cell's centre otherwise."""
     if caller.reads_pii:
-        return lon, lat
-    return cell_centre(cell_id(*to_metres(lon, lat), 8))
+        return df
+    centre = {"lon": centre_lon(cell), "lat": centre_lat(cell), "x": centre_x(cell), "y": centre_y(cell)}
+    return df.withColumns({c: F.expr(e) for c, e in centre.items()})
 
 
 def with_comments(df: DataFrame, comments: dict[str, str]) -> DataFrame:

@@ -9,33 +9,38 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feederlake.functions.projection import number
+from feederlake.functions.shapes import distance
+
 BAND_M = 0.5
 TILE_M = 512.0
 QUARTER_STEPS = 8
 
 
-def _interval(y: Column, radius: float) -> tuple[Column, Column]:
-    """Where the horizontal line at y enters and leaves the span's corridor."""
-    r = F.lit(radius)
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    length = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
-    off_x, off_y = -r * (y2 - y1) / length, r * (x2 - x1) / length
+def _interval(radius: float) -> tuple[str, str]:
+    """Where the horizontal line at yb enters and leaves the span's corridor.
+
+    The ends contribute a circle's chord each, the two long sides a point each.
+    """
+    r = number(radius)
+    length = distance("x1", "y1", "x2", "y2")
 
-    def chord(cx: Column, cy: Column) -> tuple[Column, Column]:
-        room = r * r - (y - cy) * (y - cy)
-        half = F.when(room >= 0, F.sqrt(room))
-        return cx - half, cx + half
+    def half_chord(cy: str) -> str:
+        room = f"({r} * {r} - (yb - {cy}) * (yb - {cy}))"
+        return f"CASE WHEN {room} >= 0 THEN sqrt({room}) END"
 
-    def side(sign: float) -> Column:
-        along = F.try_divide(y - (y1 + F.lit(sign) * off_y), y2 - y1)
-        return F.when(along.between(0.0, 1.0), x1 + F.lit(sign) * off_x + along * (x2 - x1))
+    def side(sign: str) -> str:
+        along = f"try_divide(yb - (y1 {sign} {r} * (x2 - x1) / {length}), y2 - y1)"
+        flip = "-" if sign == "+" else "+"
+        return (f"CASE WHEN {along} BETWEEN 0 AND 1 "
+                f"THEN x1 {flip} {r} * (y2 - y1) / {length} + {along} * (x2 - x1) END")
 
-    (a_lo, a_hi), (b_lo, b_hi) = chord(x1, y1), chord(x2, y2)
-    left, right = side(1.0), side(-1.0)
-    return F.least(a_lo, b_lo, left, right), F.greatest(a_hi, b_hi, left, right)
+    sides = f"{side('+')}, {side('-')}"
+    return (f"least(x1 - {half_chord('y1')}, x2 - {half_chord('y2')}, {sides})",
+            f"greatest(x1 + {half_chord('y1')}, x2 + {half_chord('y2')}, {sides})")
 
 
 def corridor_area(spans: DataFrame, key: str, radius: float, band: float = BAND_M,
@@ -47,49 +52,47 @@ def corridor_area(spans: DataFrame, key: str, radius: float, band: float = BAND_
     per-tile sums are combined before the last, small shuffle.
     """
     partitions = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands_per_tile = int(round(tile / band))
-    r = F.lit(radius)
+    per_tile = int(round(tile / band))
+    r, h, t = number(radius), number(band), number(tile)
+
+    def reach(a: str, b: str, unit: str) -> tuple[str, str]:
+        return f"floor((least({a}, {b}) - {r}) / {unit})", f"floor((greatest({a}, {b}) + {r}) / {unit})"
 
-    def reach(a: str, b: str, unit: float) -> Column:
-        low = F.floor((F.least(a, b) - r) / F.lit(unit))
-        return F.sequence(low, F.floor((F.greatest(a, b) + r) / F.lit(unit)))
+    def explode(first: str, last: str):
+        return F.expr(f"explode(sequence({first}, {last}))")
 
     tiled = (
         spans.select(key, "x1", "y1", "x2", "y2")
-        .withColumn("tx", F.explode(reach("x1", "x2", tile)))
-        .withColumn("ty", F.explode(reach("y1", "y2", tile)))
+        .withColumn("tx", explode(*reach("x1", "x2", t)))
+        .withColumn("ty", explode(*reach("y1", "y2", t)))
         .repartition(partitions, key, "tx", "ty"))
-    first = F.greatest(F.floor((F.least("y1", "y2") - r) / F.lit(band)), F.col("ty") * bands_per_tile)
-    last = F.least(F.floor((F.greatest("y1", "y2") + r) / F.lit(band)), (F.col("ty") + 1) * bands_per_tile - 1)
-    banded = tiled.filter(first <= last).withColumn("b", F.explode(F.sequence(first, last)))
-    lo, hi = _interval((F.col("b") + F.lit(0.5)) * F.lit(band), radius)
-    cut = banded.select(
-        key, "tx", "ty", "b",
-        F.greatest(lo, F.col("tx") * F.lit(tile)).alias("lo"),
-        F.least(hi, (F.col("tx") + 1) * F.lit(tile)).alias("hi"),
-        lo.isNotNull().alias("met"),
-    ).filter("met and hi > lo")
+    low, high = reach("y1", "y2", h)
+    first, last = f"greatest({low}, ty * {per_tile})", f"least({high}, (ty + 1) * {per_tile} - 1)"
+    banded = tiled.filter(f"{first} <= {last}").withColumn("b", explode(first, last))
+    lo, hi = _interval(radius)
+    cut = (banded.selectExpr("*", f"(b + 0.5D) * {h} AS yb")
+           .selectExpr(key, "tx", "ty", "b", f"{lo} AS lo", f"{hi} AS hi").filter("lo IS NOT NULL")
+           .selectExpr(key, "tx", "ty", "b", f"greatest(lo, tx * {t}) AS lo", f"least(hi, (tx + 1) * {t}) AS hi")
+           .filter("hi > lo"))
     before = Window.partitionBy(key, "tx", "ty", "b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    covered = F.coalesce(F.max("hi").over(before), F.col("lo"))
-    fresh = F.greatest(F.lit(0.0), F.col("hi") - F.greatest(F.col("lo"), covered))
-    return (cut.withColumn("fresh", fresh).groupBy(key)
-            .agg((F.sum("fresh") * F.lit(band)).alias("area_m2")))
+    return (cut.withColumn("done", F.max("hi").over(before))
+            .withColumn("fresh", F.expr("greatest(0.0D, hi - greatest(lo, coalesce(done, lo)))"))
+            .groupBy(key).agg(F.expr(f"sum(fresh) * {h}").alias("area_m2")))
 
 
-def corridor_ring(radius: float) -> Column:
+def corridor_ring(radius: float) -> str:
     """Closed outline of one span's corridor as struct(x, y) points.
 
     Half a circle around each end, in eight steps per quarter.
     """
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    length = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
-    ux, uy = (x2 - x1) / length, (y2 - y1) / length
+    length = distance("x1", "y1", "x2", "y2")
+    ux, uy = f"((x2 - x1) / {length})", f"((y2 - y1) / {length})"
     turns = [math.pi / 2 * (k / QUARTER_STEPS - 1) for k in range(2 * QUARTER_STEPS + 1)]
     stops = [(1.0, math.cos(t), math.sin(t)) for t in turns]
     stops += [(0.0, -math.cos(t), -math.sin(t)) for t in turns]
     stops.append(stops[0])
-    offsets = F.array(*[
-        F.struct(F.lit(e).alias("e"), F.lit(c).alias("c"), F.lit(s).alias("s")) for e, c, s in stops])
-    return F.transform(offsets, lambda o: F.struct(
-        (x1 + o["e"] * (x2 - x1) + F.lit(radius) * (ux * o["c"] - uy * o["s"])).alias("x"),
-        (y1 + o["e"] * (y2 - y1) + F.lit(radius) * (ux * o["s"] + uy * o["c"])).alias("y")))
+    offsets = ", ".join(f"named_struct('e', {number(e)}, 'c', {number(c)}, 's', {number(v)})" for e, c, v in stops)
+    r = number(radius)
+    return (f"transform(array({offsets}), o -> named_struct("
+            f"'x', x1 + o.e * (x2 - x1) + {r} * ({ux} * o.c - {uy} * o.s), "
+            f"'y', y1 + o.e * (y2 - y1) + {r} * ({ux} * o.s + {uy} * o.c)))")

@@ -1,179 +1,159 @@
 """Containment, intersection, clipping and distance, and the joins built on them.
 
-Joins go through a grid: every point has one cell, every shape lists the cells
-its bounding box touches, and the exact test runs on equal cells. That is an
-equi-join, so Spark broadcasts a small side after checking its size and shuffles
-by cell otherwise; each pair meets in exactly one cell.
+Predicates are SQL text over an array of edges. Joins go through a grid: every
+point has one cell, every shape lists the cells its bounding box touches, and the
+exact test runs on equal cells. That is an equi-join, so Spark broadcasts a small
+side after checking its size and shuffles by cell otherwise; each pair meets in
+exactly one cell.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederlake.functions.projection import to_metres
-from feederlake.functions.shapes import bounds
+from feederlake.functions.projection import number, x_metres, y_metres
+from feederlake.functions.shapes import bounds, distance, following, leading
 
 POLYGON_CELL_DEG = 0.25
 
+Rings = list[list[tuple[float, float]]]
 
-def polygon_literal(rings: list[list[tuple[float, float]]]) -> Column:
-    """A caller's polygon as a constant column of rings."""
-    return F.array(*[
-        F.array(*[F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat")) for lon, lat in ring])
-        for ring in rings])
 
+def polygon_literal(rings: Rings) -> str:
+    """A caller's polygon as a constant array of rings."""
+    def ring(points):
+        return "array(" + ", ".join(
+            f"named_struct('lon', {number(lon)}, 'lat', {number(lat)})" for lon, lat in points) + ")"
 
-def ring_edges(rings: Column) -> Column:
-    """All edges of all rings: array of struct(ax, ay, bx, by)."""
-    def edges(ring: Column) -> Column:
-        size = F.size(ring)
-        return F.zip_with(
-            F.slice(ring, F.lit(1), size - 1), F.slice(ring, F.lit(2), size - 1),
-            lambda a, b: F.struct(a["lon"].alias("ax"), a["lat"].alias("ay"), b["lon"].alias("bx"),
-                                  b["lat"].alias("by")))
+    return "array(" + ", ".join(ring(r) for r in rings) + ")"
 
-    return F.flatten(F.transform(rings, edges))
 
+def edges_literal(rings: Rings) -> str:
+    """The edges of a caller's polygon."""
+    edges = [(a, b) for ring in rings for a, b in zip(ring, ring[1:])]
+    return "array(" + ", ".join(
+        f"named_struct('ax', {number(a[0])}, 'ay', {number(a[1])}, 'bx', {number(b[0])}, 'by', {number(b[1])})"
+        for a, b in edges) + ")"
+
+
+_EDGE = "named_struct('ax', a.lon, 'ay', a.lat, 'bx', b.lon, 'by', b.lat)"
+
+
+def ring_edges(rings: str) -> str:
+    """All edges of all rings: array of struct(ax, ay, bx, by)."""
+    return (f"flatten(transform({rings}, ring -> zip_with({leading('ring')}, {following('ring')}, "
+            f"(a, b) -> {_EDGE})))")
 
-def _side(e: Column, px: Column, py: Column) -> Column:
-    """Sign tells on which side of the directed edge a point lies."""
-    return (e["bx"] - e["ax"]) * (py - e["ay"]) - (e["by"] - e["ay"]) * (px - e["ax"])
 
+def _side(e: str, px: str, py: str) -> str:
+    """Sign tells on which side of the directed edge a point lies."""
+    return f"(({e}.bx - {e}.ax) * ({py} - {e}.ay) - ({e}.by - {e}.ay) * ({px} - {e}.ax))"
 
-def _on_edge(e: Column, px: Column, py: Column) -> Column:
-    return ((_side(e, px, py) == 0)
-            & px.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"]))
-            & py.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
 
+def _on_edge(e: str, px: str, py: str) -> str:
+    return (f"({_side(e, px, py)} = 0 AND {px} BETWEEN least({e}.ax, {e}.bx) AND greatest({e}.ax, {e}.bx) "
+            f"AND {py} BETWEEN least({e}.ay, {e}.by) AND greatest({e}.ay, {e}.by))")
 
-def _odd_crossings(edges: Column, px: Column, py: Column) -> Column:
-    def passes(e: Column) -> Column:
-        straddles = (e["ay"] > py) != (e["by"] > py)
-        at = e["ax"] + (py - e["ay"]) / (e["by"] - e["ay"]) * (e["bx"] - e["ax"])
-        return F.when(straddles, px < at).otherwise(False)
 
-    return F.size(F.filter(edges, passes)) % 2 == 1
+def _odd_crossings(edges: str, px: str, py: str) -> str:
+    passes = (f"CASE WHEN (e.ay > {py}) <> (e.by > {py}) "
+              f"THEN {px} < e.ax + ({py} - e.ay) / (e.by - e.ay) * (e.bx - e.ax) ELSE false END")
+    return f"size(filter({edges}, e -> {passes})) % 2 = 1"
 
 
-def contains_point(edges: Column, px: Column, py: Column) -> Column:
+def contains_point(edges: str, px: str, py: str) -> str:
     """Strictly inside: a point on the outline is not contained."""
-    return _odd_crossings(edges, px, py) & ~F.exists(edges, lambda e: _on_edge(e, px, py))
+    return f"({_odd_crossings(edges, px, py)} AND NOT exists({edges}, e -> {_on_edge('e', px, py)}))"
 
 
-def touches_point(edges: Column, px: Column, py: Column) -> Column:
+def touches_point(edges: str, px: str, py: str) -> str:
     """Inside or on the outline."""
-    return _odd_crossings(edges, px, py) | F.exists(edges, lambda e: _on_edge(e, px, py))
+    return f"({_odd_crossings(edges, px, py)} OR exists({edges}, e -> {_on_edge('e', px, py)}))"
 
 
-def _meets(e: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Whether edge e and the segment a-b have a point in common."""
-    segment = F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
-    s1, s2 = _side(e, ax, ay), _side(e, bx, by)
-    s3, s4 = _side(segment, e["ax"], e["ay"]), _side(segment, e["bx"], e["by"])
-    proper = ((s1 > 0) != (s2 > 0)) & ((s3 > 0) != (s4 > 0)) & (s1 != 0) & (s2 != 0) & (s3 != 0) & (s4 != 0)
-    return (proper | _on_edge(e, ax, ay) | _on_edge(e, bx, by)
-            | _on_edge(segment, e["ax"], e["ay"]) | _on_edge(segment, e["bx"], e["by"]))
+def _meets(e: str, f: str) -> str:
+    """Whether two edges have a point in common."""
+    s1, s2 = _side(e, f"{f}.ax", f"{f}.ay"), _side(e, f"{f}.bx", f"{f}.by")
+    s3, s4 = _side(f, f"{e}.ax", f"{e}.ay"), _side(f, f"{e}.bx", f"{e}.by")
+    ends = " OR ".join([_on_edge(e, f"{f}.ax", f"{f}.ay"), _on_edge(e, f"{f}.bx", f"{f}.by"),
+                        _on_edge(f, f"{e}.ax", f"{e}.ay"), _on_edge(f, f"{e}.bx", f"{e}.by")])
+    return f"(({s1} * {s2} < 0 AND {s3} * {s4} < 0) OR {ends})"
 
 
-def touches_segment(edges: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+def touches_segment(edges: str, ax: str, ay: str, bx: str, by: str) -> str:
     """An end inside, or any outline edge met."""
-    return touches_point(edges, ax, ay) | F.exists(edges, lambda e: _meets(e, ax, ay, bx, by))
+    segment = f"named_struct('ax', {ax}, 'ay', {ay}, 'bx', {bx}, 'by', {by})"
+    met = f"exists(transform({edges}, e -> named_struct('e', e, 's', {segment})), m -> {_meets('m.e', 'm.s')})"
+    return f"({touches_point(edges, ax, ay)} OR {met})"
 
 
-def clipped_length_m(edges: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+def clipped_length_m(edges: str, ax: str, ay: str, bx: str, by: str) -> str:
     """Projected length of the part of segment a-b inside the polygon.
 
     The segment is cut where it crosses the outline; a piece counts when its middle
     is inside.
     """
-    def crossing(e: Column) -> Column:
-        ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
-        denominator = (bx - ax) * ey - (by - ay) * ex
-        t = F.try_divide((e["ax"] - ax) * ey - (e["ay"] - ay) * ex, denominator)
-        u = F.try_divide((e["ax"] - ax) * (by - ay) - (e["ay"] - ay) * (bx - ax), denominator)
-        return F.when(t.between(0.0, 1.0) & u.between(0.0, 1.0), t)
-
-    cuts = F.array_sort(F.array_distinct(F.concat(
-        F.array(F.lit(0.0), F.lit(1.0)),
-        F.filter(F.transform(edges, crossing), lambda t: t.isNotNull()))))
-    pieces = F.zip_with(
-        F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1),
-        lambda s, t: F.struct(s.alias("s"), t.alias("t")))
-
-    def at(t: Column) -> tuple[Column, Column]:
-        return ax + t * (bx - ax), ay + t * (by - ay)
-
-    def length(piece: Column) -> Column:
-        x1, y1 = to_metres(*at(piece["s"]))
-        x2, y2 = to_metres(*at(piece["t"]))
-        middle = (piece["s"] + piece["t"]) / F.lit(2.0)
-        metres = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
-        return F.when(touches_point(edges, *at(middle)), metres).otherwise(0.0)
-
-    return F.aggregate(F.transform(pieces, length), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def box_test(rings: list[list[tuple[float, float]]], lon: str = "lon", lat: str = "lat") -> Column:
-    """Bounding box of a constant polygon: two ranges the scan can use."""
-    lons = [p[0] for p in rings[0]]
-    lats = [p[1] for p in rings[0]]
-    return F.col(lon).between(min(lons), max(lons)) & F.col(lat).between(min(lats), max(lats))
+    turn = f"(({bx} - {ax}) * (e.by - e.ay) - ({by} - {ay}) * (e.bx - e.ax))"
+    t = f"try_divide((e.ax - {ax}) * (e.by - e.ay) - (e.ay - {ay}) * (e.bx - e.ax), {turn})"
+    u = f"try_divide((e.ax - {ax}) * ({by} - {ay}) - (e.ay - {ay}) * ({bx} - {ax}), {turn})"
+    crossing = f"CASE WHEN {t} BETWEEN 0 AND 1 AND {u} BETWEEN 0 AND 1 THEN {t} END"
+    cuts = (f"array_sort(array_distinct(concat(array(0.0D, 1.0D), "
+            f"filter(transform({edges}, e -> {crossing}), t -> t IS NOT NULL))))")
 
+    def at(share: str) -> tuple[str, str]:
+        return f"({ax} + {share} * ({bx} - {ax}))", f"({ay} + {share} * ({by} - {ay}))"
 
-def valid_polygon(rings: Column) -> Column:
-    """No two edges of the polygon cross, and edges of a ring meet only at joints."""
-    def numbered(ring: Column, ring_no: Column) -> Column:
-        size = F.size(ring)
-        return F.zip_with(
-            F.slice(ring, F.lit(1), size - 1),
-            F.transform(F.slice(ring, F.lit(2), size - 1),
-                        lambda b, i: F.struct(b["lon"].alias("lon"), b["lat"].alias("lat"), i.alias("i"))),
-            lambda a, b: F.struct(a["lon"].alias("ax"), a["lat"].alias("ay"), b["lon"].alias("bx"),
-                                  b["lat"].alias("by"), b["i"].alias("i"), ring_no.alias("ring"),
-                                  (size - 1).alias("n")))
+    start, end, middle = at("c.s"), at("c.t"), at("((c.s + c.t) / 2.0D)")
+    metres = distance(x_metres(*start), y_metres(*start), x_metres(*end), y_metres(*end))
+    length = f"CASE WHEN {touches_point(edges, *middle)} THEN {metres} ELSE 0.0D END"
+    pieces = f"zip_with({leading(cuts)}, {following(cuts)}, (s, t) -> named_struct('s', s, 't', t))"
+    return f"aggregate(transform({pieces}, c -> {length}), 0.0D, (total, v) -> total + v)"
 
-    edges = F.flatten(F.transform(rings, numbered))
 
-    def clash(e: Column, f: Column) -> Column:
-        same = e["ring"] == f["ring"]
-        neighbours = (f["i"] == e["i"] + 1) | ((e["i"] == 0) & (f["i"] == e["n"] - 1))
-        later = (f["ring"] > e["ring"]) | (same & (f["i"] > e["i"]) & ~neighbours)
-        return later & _meets(e, f["ax"], f["ay"], f["bx"], f["by"])
+def box_test(rings: Rings, lon: str = "lon", lat: str = "lat") -> str:
+    """Bounding box of a constant polygon: two ranges the scan can use."""
+    lons, lats = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
+    return (f"{lon} BETWEEN {number(min(lons))} AND {number(max(lons))} AND "
+            f"{lat} BETWEEN {number(min(lats))} AND {number(max(lats))}")
 
-    return ~F.exists(edges, lambda e: F.exists(edges, lambda f: clash(e, f)))
+
+def edges_apart(rings: str) -> str:
+    """No two edges of the polygon cross, and edges of a ring meet only at joints."""
+    numbered = (f"zip_with({leading('ring')}, transform({following('ring')}, (b, i) -> named_struct('b', b, 'i', i)), "
+                "(a, n) -> named_struct('ax', a.lon, 'ay', a.lat, 'bx', n.b.lon, 'by', n.b.lat, 'i', n.i, "
+                "'ring', ring_no, 'n', size(ring) - 1))")
+    edges = f"flatten(transform({rings}, (ring, ring_no) -> {numbered}))"
+    neighbours = "(f.i = e.i + 1 OR (e.i = 0 AND f.i = e.n - 1))"
+    later = f"(f.ring > e.ring OR (f.ring = e.ring AND f.i > e.i AND NOT {neighbours}))"
+    return f"NOT exists({edges}, e -> exists({edges}, f -> {later} AND {_meets('e', 'f')}))"
 
 
 def join_containing(points: DataFrame, polygons: DataFrame, rings: str, cell_deg: float = POLYGON_CELL_DEG) -> DataFrame:
     """Inner join of points (lon, lat) with the polygons that contain them."""
-    def cell(value: Column) -> Column:
-        return F.floor(value / F.lit(cell_deg))
+    def cell(value: str) -> str:
+        return f"floor({value} / {number(cell_deg)})"
 
-    box = bounds(F.col(rings))
+    box = bounds(rings)
     shapes = (
-        polygons.withColumns({
-            "_edges": ring_edges(F.col(rings)),
-            **{f"_{name}": value for name, value in box.items()}})
-        .withColumn("_cx", F.explode(F.sequence(cell(F.col("_xmin")), cell(F.col("_xmax")))))
-        .withColumn("_cy", F.explode(F.sequence(cell(F.col("_ymin")), cell(F.col("_ymax"))))))
-    placed = points.withColumns({"_cx": cell(F.col("lon")), "_cy": cell(F.col("lat"))})
-    joined = placed.join(shapes, ["_cx", "_cy"])
-    boxed = F.col("lon").between(F.col("_xmin"), F.col("_xmax")) & F.col("lat").between(F.col("_ymin"), F.col("_ymax"))
-    return (joined.filter(boxed).filter(contains_point(F.col("_edges"), F.col("lon"), F.col("lat")))
+        polygons.selectExpr("*", f"{ring_edges(rings)} AS _edges", *[f"{v} AS _{k}" for k, v in box.items()])
+        .withColumn("_cx", F.expr(f"explode(sequence({cell('_xmin')}, {cell('_xmax')}))"))
+        .withColumn("_cy", F.expr(f"explode(sequence({cell('_ymin')}, {cell('_ymax')}))")))
+    placed = points.selectExpr("*", f"{cell('lon')} AS _cx", f"{cell('lat')} AS _cy")
+    return (placed.join(shapes, ["_cx", "_cy"])
+            .filter("lon BETWEEN _xmin AND _xmax AND lat BETWEEN _ymin AND _ymax")
+            .filter(contains_point("_edges", "lon", "lat"))
             .drop("_cx", "_cy", "_edges", "_xmin", "_xmax", "_ymin", "_ymax"))
 
 
 def join_within(points: DataFrame, centres: DataFrame, metres: float) -> DataFrame:
     """Inner join of points (x, y) with the centres (cx, cy) at most so far away."""
-    def cell(value: Column) -> Column:
-        return F.floor(value / F.lit(metres))
-
-    around = F.sequence(F.lit(-1), F.lit(1))
+    d = number(metres)
     wide = (
-        centres.withColumn("_ox", F.explode(around)).withColumn("_oy", F.explode(around))
-        .withColumns({"_gx": cell(F.col("cx")) + F.col("_ox"), "_gy": cell(F.col("cy")) + F.col("_oy")})
-        .drop("_ox", "_oy"))
-    placed = points.withColumns({"_gx": cell(F.col("x")), "_gy": cell(F.col("y"))})
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    return (placed.join(wide, ["_gx", "_gy"]).filter(dx * dx + dy * dy <= F.lit(metres * metres))
+        centres.withColumn("_ox", F.expr("explode(sequence(-1, 1))"))
+        .withColumn("_oy", F.expr("explode(sequence(-1, 1))"))
+        .selectExpr("* EXCEPT (_ox, _oy)", f"floor(cx / {d}) + _ox AS _gx", f"floor(cy / {d}) + _oy AS _gy"))
+    placed = points.selectExpr("*", f"floor(x / {d}) AS _gx", f"floor(y / {d}) AS _gy")
+    return (placed.join(wide, ["_gx", "_gy"])
+            .filter(f"(x - cx) * (x - cx) + (y - cy) * (y - cy) <= {d} * {d}")
             .drop("_gx", "_gy"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from feederlake.functions.calendar import since_months, winter_name
 from feederlake.functions.hexgrid import cell_ring
-from feederlake.functions.projection import point_to_degrees
-from feederlake.functions.shapes import distance_m, planar_ring_area, polygon_area_m2, ring_centroid
+from feederlake.functions.projection import ring_degrees
+from feederlake.functions.shapes import distance, planar_ring_area, polygon_area_m2, ring_centroid
 from feederlake.operators.corridor import corridor_area, corridor_ring
 from feederlake.operators.hulls import hull_rings
 from feederlake.operators.running import running_sum
@@ -33,7 +33,7 @@ PART_SPANS = 5000
 def operating_centers(net: Network) -> DataFrame:
     return net.table("silver.operating_centers").select(
         "ced_code", "ced_name", "region_name", "is_urban",
-        (polygon_area_m2(F.col("rings")) / F.lit(1e6)).alias("area_km2"), "rings")
+        F.expr(f"{polygon_area_m2('rings')} / 1e6D").alias("area_km2"), "rings")
 
 
 @product("gold.substations")
@@ -80,7 +80,7 @@ def poles(net: Network) -> DataFrame:
         "pole_id", "line_id", "substation_code", "substation_name", "ced_code", "region_name", "branch_id",
         F.when(is_trunk, TRUNK).otherwise(LATERAL).alias("branch_type"), "branch_seq", "parent_pole_id",
         "install_year", "age_years", "material", "height_m",
-        distance_m(F.col("x"), F.col("y"), F.col("sub_x"), F.col("sub_y")).alias("distance_to_substation_m"),
+        F.expr(distance("x", "y", "sub_x", "sub_y")).alias("distance_to_substation_m"),
         (F.col("in_branch_m") + F.coalesce("offset_m", F.lit(0.0))).alias("network_distance_m"),
         "hex_cell_9", "lon", "lat", "x", "y", "sub_x", "sub_y")
 
@@ -148,15 +148,13 @@ def customers_pii(net: Network) -> DataFrame:
     sites = _transformer_sites(net).select(
         "transformer_id", "pole_id", F.col("pole_line_id").alias("line_id"), "substation_code", "substation_name",
         "ced_code", "region_name", "zone_id", "network_distance_m", "pole_x", "pole_y", "sub_x", "sub_y")
-    x, y = F.col("x"), F.col("y")
     return net.table("silver.customers").join(sites, "transformer_id").select(
         "customer_id", "customer_name", "address", "municipality", "customer_type", "electric_heating",
         "contract_kw", "transformer_id", "pole_id", "line_id", "substation_code", "substation_name", "ced_code",
         "region_name", "zone_id",
-        distance_m(x, y, F.col("sub_x"), F.col("sub_y")).alias("distance_to_substation_m"),
-        (F.col("network_distance_m") + distance_m(x, y, F.col("pole_x"), F.col("pole_y")))
-        .alias("network_distance_m"),
-        "hex_cell_8", "lon", "lat")
+        F.expr(distance("x", "y", "sub_x", "sub_y")).alias("distance_to_substation_m"),
+        F.expr(f"network_distance_m + {distance('x', 'y', 'pole_x', 'pole_y')}").alias("network_distance_m"),
+        "hex_cell_8", "lon", "lat", "x", "y")
 
 
 # ---------------------------------------------------------------- lines
@@ -206,7 +204,7 @@ def line_shapes(net: Network) -> DataFrame:
     pieces = _in_parts(net, net.table("silver.spans"))
     start = F.struct(F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))
     end = F.struct(F.col("lon2").alias("lon"), F.col("lat2").alias("lat"))
-    outline = F.transform(corridor_ring(RIGHT_OF_WAY_M), point_to_degrees)
+    outline = F.expr(ring_degrees(corridor_ring(RIGHT_OF_WAY_M)))
     ordered = F.array_sort(F.collect_list(F.struct(
         "branch_id", "branch_seq", "span_id", F.array(start, end).alias("path"), outline.alias("outline"))))
     return (pieces.groupBy("line_id", "part").agg(ordered.alias("s"))
@@ -351,11 +349,11 @@ def zone_outlines(net: Network, only: DataFrame | None = None) -> DataFrame:
               .filter("zone_id is not null"))
     rings = hull_rings(placed, "zone_id", ZONE_MARGIN_M)
     shaped = rings.select(
-        "zone_id", F.round(planar_ring_area(F.col("ring")) / F.lit(1e6), 3).alias("zone_area_km2"),
-        F.transform("ring", point_to_degrees).alias("zone_ring"))
-    lon, lat = ring_centroid(F.col("zone_ring"))
-    return shaped.select("zone_id", "zone_area_km2", lon.alias("centroid_lon"), lat.alias("centroid_lat"),
-                         "zone_ring")
+        "zone_id", F.expr(f"round({planar_ring_area('ring')} / 1e6D, 3)").alias("zone_area_km2"),
+        F.expr(ring_degrees("ring")).alias("zone_ring"))
+    lon, lat = ring_centroid("zone_ring")
+    return shaped.selectExpr("zone_id", "zone_area_km2", f"{lon} AS centroid_lon", f"{lat} AS centroid_lat",
+                             "zone_ring")
 
 
 @product("gold.zone_shapes")
@@ -386,4 +384,4 @@ def chi_hex(net: Network) -> DataFrame:
             .groupBy("hex_cell_8", "ced_code")
             .agg(F.round(F.sum(F.col("zone_chi") * F.col("n") / F.col("n_tot")), 1).alias("chi_6m"),
                  F.count(F.lit(1)).alias("zones_impacted"))
-            .withColumn("cell_ring", cell_ring(F.col("hex_cell_8"))))
+            .withColumn("cell_ring", F.expr(cell_ring("hex_cell_8"))))

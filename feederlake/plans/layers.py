@@ -15,8 +15,14 @@ from feederlake.functions.shapes import (
     rings_literal,
 )
 from feederlake.functions.shapes import bounds as ring_bounds
-from feederlake.operators.spatial import box_test, clipped_length_m, polygon_literal, ring_edges, touches_point, \
-    touches_segment
+from feederlake.operators.spatial import (
+    box_test,
+    clipped_length_m,
+    edges_literal,
+    polygon_literal,
+    touches_point,
+    touches_segment,
+)
 from feederlake.plans.gold import zone_outlines
 from feederlake.plans.secured import SecuredView
 from feederlake.schemas import CUTOUT, OLD_ASSET_YEAR, OVERLOAD_PCT
@@ -25,7 +31,7 @@ NO_LINE_FILTER = ("substations", "chi_hex")
 
 
 def _point(lon: str = "lon", lat: str = "lat"):
-    return point_geojson(F.col(lon), F.col(lat)).alias("geojson")
+    return F.expr(point_geojson(lon, lat)).alias("geojson")
 
 
 def _substations(view: SecuredView, keep) -> DataFrame:
@@ -35,7 +41,7 @@ def _substations(view: SecuredView, keep) -> DataFrame:
 
 def _lines(view: SecuredView, keep) -> DataFrame:
     shapes = view.table("gold.line_shapes").select(
-        "line_id", "part", multiline_geojson(F.col("paths")).alias("geojson"))
+        "line_id", "part", F.expr(multiline_geojson("paths")).alias("geojson"))
     return keep(view.table("gold.lines")).select(
         "line_id", "substation_name", "ced_code", "length_km", "n_customers", "n_transformers",
         "max_distance_to_substation_m", "avg_pole_age_years").join(shapes, "line_id")
@@ -43,14 +49,14 @@ def _lines(view: SecuredView, keep) -> DataFrame:
 
 def _right_of_way(view: SecuredView, keep) -> DataFrame:
     shapes = view.table("gold.line_shapes").select(
-        "line_id", "part", multipolygon_geojson(F.col("outlines")).alias("geojson"))
+        "line_id", "part", F.expr(multipolygon_geojson("outlines")).alias("geojson"))
     return keep(view.table("gold.lines")).select(
         "line_id", "substation_name", "ced_code", "right_of_way_area_m2",
         F.round(F.col("right_of_way_area_m2") / 10000, 2).alias("right_of_way_ha")).join(shapes, "line_id")
 
 
 def _spans(view: SecuredView, keep) -> DataFrame:
-    path = line_geojson(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
+    path = F.expr(line_geojson())
     return keep(view.table("gold.spans")).select("span_id", "line_id", "ced_code", "length_m", path.alias("geojson"))
 
 
@@ -75,14 +81,14 @@ def _zones(view: SecuredView, keep) -> DataFrame:
         "chi_6m")
     risk = view.table("gold.zone_risk").select("zone_id", "risk_tier", "risk_score")
     outlines = zone_outlines(view.net, only=zones).select(
-        "zone_id", polygon_geojson(F.array("zone_ring")).alias("geojson"))
+        "zone_id", F.expr(polygon_geojson("array(zone_ring)")).alias("geojson"))
     return zones.join(risk, "zone_id", "left").join(outlines, "zone_id")
 
 
 def _chi_hex(view: SecuredView, keep) -> DataFrame:
     return keep(view.table("gold.chi_hex")).select(
         "hex_cell_8", "ced_code", "chi_6m", "zones_impacted",
-        polygon_geojson(F.array("cell_ring")).alias("geojson"))
+        F.expr(polygon_geojson("array(cell_ring)")).alias("geojson"))
 
 
 def _outages_active(view: SecuredView, keep) -> DataFrame:
@@ -136,11 +142,10 @@ def at_least_overloaded(transformers: DataFrame, column: str, threshold: float)
 def selection_totals(view: SecuredView, geojson: str) -> DataFrame:
     """What lies inside a drawn polygon, as one row."""
     rings = rings_literal(geojson)
-    shape = polygon_literal(rings)
-    edges = ring_edges(shape)
+    shape, edges = polygon_literal(rings), edges_literal(rings)
 
     def inside(df: DataFrame) -> DataFrame:
-        return df.filter(box_test(rings)).filter(touches_point(edges, F.col("lon"), F.col("lat")))
+        return df.filter(box_test(rings)).filter(touches_point(edges, "lon", "lat"))
 
     last = f"max_overload_pct_hiver_{view.net.settings.label_winter}"
     poles = inside(view.table("gold.poles")).agg(
@@ -148,25 +153,25 @@ def selection_totals(view: SecuredView, geojson: str) -> DataFrame:
     units = inside(view.table("gold.transformers")).agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(last) > OVERLOAD_PCT).alias("over")))
     homes = inside(view.table("gold.customers")).agg(F.count(F.lit(1)))
-    a, b = (F.col("lon1"), F.col("lat1")), (F.col("lon2"), F.col("lat2"))
+    ends = ("lon1", "lat1", "lon2", "lat2")
     lons, lats = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
     near = ((F.least("lon1", "lon2") <= max(lons)) & (F.greatest("lon1", "lon2") >= min(lons))
             & (F.least("lat1", "lat2") <= max(lats)) & (F.greatest("lat1", "lat2") >= min(lats)))
-    wire = (view.table("gold.spans").filter(near).filter(touches_segment(edges, *a, *b))
-            .agg(F.round(F.sum(clipped_length_m(edges, *a, *b)) / 1000, 2)))
+    wire = (view.table("gold.spans").filter(near).filter(touches_segment(edges, *ends))
+            .agg(F.round(F.sum(F.expr(clipped_length_m(edges, *ends))) / 1000, 2)))
     return poles.withColumns({"_units": units.scalar(), "customers": homes.scalar(), "conductor_km": wire.scalar()}).select(
         "poles", "poles_pre_1985", F.col("_units.n").alias("transformers"),
         F.col("_units.over").alias("transformers_over_150"), "customers", "conductor_km",
-        F.round(polygon_area_m2(shape) / F.lit(1e6), 3).alias("area_km2"))
+        F.expr(f"round({polygon_area_m2(shape)} / 1e6D, 3)").alias("area_km2"))
 
 
 def selection_top(view: SecuredView, geojson: str, top: int = 10) -> DataFrame:
     """The transformers most at risk inside a drawn polygon."""
     rings = rings_literal(geojson)
-    edges = ring_edges(polygon_literal(rings))
+    edges = edges_literal(rings)
     last = f"max_overload_pct_hiver_{view.net.settings.label_winter}"
     units = (view.table("gold.transformers").filter(box_test(rings))
-             .filter(touches_point(edges, F.col("lon"), F.col("lat")))
+             .filter(touches_point(edges, "lon", "lat"))
              .select("transformer_id", "line_id", "kva", last))
     risk = view.table("gold.transformer_risk").select("transformer_id", "risk_score", "risk_tier")
     return (units.join(risk, "transformer_id").orderBy(F.desc("risk_score"), "transformer_id").limit(top)
@@ -186,8 +191,8 @@ def centre_list(view: SecuredView) -> DataFrame:
 
 
 def centre_bounds(view: SecuredView) -> DataFrame:
-    box = ring_bounds(F.col("rings"))
-    return view.table("gold.operating_centers").select("ced_code", *[v.alias(k) for k, v in box.items()])
+    box = ring_bounds("rings")
+    return view.table("gold.operating_centers").selectExpr("ced_code", *[f"{v} AS {k}" for k, v in box.items()])
 
 
 def line_bounds(view: SecuredView) -> DataFrame:

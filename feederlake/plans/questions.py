@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feederlake.functions.calendar import since_months, winter_name
-from feederlake.functions.projection import to_metres
 from feederlake.functions.shapes import line_geojson, multipolygon_geojson, point_geojson, polygon_geojson
 from feederlake.operators.ranks import global_percent_rank
 from feederlake.operators.spatial import join_containing, join_within
@@ -18,13 +17,13 @@ MAX_ROWS = 1000
 
 
 def _here():
-    return point_geojson(F.col("lon"), F.col("lat")).alias("geojson")
+    return F.expr(point_geojson()).alias("geojson")
 
 
 def with_zone_outline(view: SecuredView, rows: DataFrame) -> DataFrame:
     """Attach zone outlines to a few result rows; other zones' hulls are not computed."""
     outlines = zone_outlines(view.net, only=rows).select(
-        "zone_id", polygon_geojson(F.array("zone_ring")).alias("geojson"))
+        "zone_id", F.expr(polygon_geojson("array(zone_ring)")).alias("geojson"))
     return rows.join(outlines, "zone_id")
 
 
@@ -79,7 +78,7 @@ def right_of_way(view: SecuredView, substation: str) -> DataFrame:
         "line_id", "substation_name", "length_km", F.col("right_of_way_area_m2").alias("emprise_m2"),
         F.round(F.col("right_of_way_area_m2") / 10000, 2).alias("emprise_ha"))
     shapes = view.table("gold.line_shapes").select(
-        "line_id", "part", multipolygon_geojson(F.col("outlines")).alias("geojson"))
+        "line_id", "part", F.expr(multipolygon_geojson("outlines")).alias("geojson"))
     return lines.join(shapes, "line_id").orderBy("line_id", "part")
 
 
@@ -117,7 +116,7 @@ def oldest_poles(view: SecuredView, line: str, top: int = 20) -> DataFrame:
 
 
 def longest_spans(view: SecuredView, top: int = 20) -> DataFrame:
-    path = line_geojson(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
+    path = F.expr(line_geojson())
     return (view.table("gold.spans")
             .select("span_id", "line_id", "region_name", "from_node_id", "to_pole_id",
                     F.col("length_m").alias("longueur_m"), path.alias("geojson"))
@@ -141,7 +140,7 @@ def high_risk_zones(view: SecuredView) -> DataFrame:
 
 
 def ongoing_outages(view: SecuredView) -> DataFrame:
-    place = point_geojson(F.col("fault_lon"), F.col("fault_lat"))
+    place = F.expr(point_geojson("fault_lon", "fault_lat"))
     return (view.table("gold.outages").filter("is_ongoing")
             .select("outage_id", "zone_id", "line_id", "region_name", "start_ts", "cause", "customers_interrupted",
                     F.round("duration_h", 1).alias("duree_h"), place.alias("geojson"))
@@ -150,11 +149,9 @@ def ongoing_outages(view: SecuredView) -> DataFrame:
 
 def customers_near_substation(view: SecuredView, substation: str, metres: float = 500.0) -> DataFrame:
     """How many customers, at the location the caller may see, lie within a distance."""
-    x, y = to_metres(F.col("lon"), F.col("lat"))
-    places = view.table("gold.customers").select("customer_id", "lon", "lat").withColumns({"x": x, "y": y})
     centre = view.table("gold.substations").filter(F.col("substation_name") == substation).select(
         F.col("x").alias("cx"), F.col("y").alias("cy"))
-    return join_within(places.select("x", "y"), centre, metres).agg(F.count(F.lit(1)).alias("nb_clients"))
+    return join_within(view.table("gold.customers").select("x", "y"), centre, metres).agg(F.count(F.lit(1)).alias("nb_clients"))
 
 
 QUESTIONS = {

@@ -18,7 +18,7 @@ from feederlake.operators.ranks import average_precision, global_percent_rank
 from feederlake.plans.gold import transformer_profile
 from feederlake.plans.network import Network, product
 from feederlake.schemas import OVERLOAD_PCT, TIER_HIGH, TIER_LOW, TIER_MEDIUM
-from feederlake.session import shared_folder
+from feederlake.session import settle, shared_folder
 
 FEATURES = ("max_overload_pct", "p95_overload_pct", "days_over_120", "days_over_150", "kva_per_degree_below_15",
             "kva", "age_years", "n_customers", "electric_heating_share", "customers_per_10kva", "is_urban")
@@ -137,14 +137,14 @@ def quality(scored: DataFrame) -> DataFrame:
 
 def evaluate(net: Network, spec: ModelSpec) -> DataFrame:
     """Quality on held-out transformers."""
-    train, test = hold_out(net.settled("training", training_set(net)))
-    return quality(net.settled("held-out", with_score(test, fit(train, spec))))
+    train, test = hold_out(settle(training_set(net), "training"))
+    return quality(settle(with_score(test, fit(train, spec)), "held-out"))
 
 
 def boosted_scorer(spec: ModelSpec) -> Callable[[Network, DataFrame], DataFrame]:
     """Fit on every transformer of the feature winter, then score."""
     def score(net: Network, features: DataFrame) -> DataFrame:
-        return with_score(features, fit(net.settled("training", training_set(net)), spec))
+        return with_score(features, fit(settle(training_set(net), "training"), spec))
 
     return score
 
@@ -189,7 +189,7 @@ def _zone_base(net: Network) -> DataFrame:
 @product("gold.zone_risk")
 def zone_risk(net: Network) -> DataFrame:
     """Weighted sum of four percentile ranks over all zones."""
-    base = net.settled("zones", _zone_base(net)).withColumn("_trend", F.coalesce("chi_trend_pct", F.lit(0.0)))
+    base = settle(_zone_base(net), "zones").withColumn("_trend", F.coalesce("chi_trend_pct", F.lit(0.0)))
     ranked = base
     for i, column in enumerate(SCORE_WEIGHTS):
         ranked = global_percent_rank(ranked, column, f"_r{i}", base=base)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederlake.functions.hexgrid import cell_centre
-from feederlake.operators.access import Caller, masked_text, row_filter
+from feederlake.operators.access import Caller, masked_place, masked_text, row_filter
 from feederlake.plans.network import Network
 
 ROW_FILTERED = ("gold.customers_pii", "gold.outages")
@@ -36,8 +35,4 @@ class SecuredView:
 
     def _customers(self) -> DataFrame:
         """Customers with the exact point for readers of personal data, the cell centre otherwise."""
-        df = self.table("gold.customers_pii")
-        if self.caller.reads_pii:
-            return df
-        lon, lat = cell_centre(F.col("hex_cell_8"))
-        return df.withColumns({"lon": lon, "lat": lat})
+        return masked_place(self.table("gold.customers_pii"), self.caller)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from feederlake.functions.calendar import winter_label
 from feederlake.functions.hexgrid import cell_id
 from feederlake.functions.projection import with_metres
-from feederlake.functions.shapes import distance_m, rings_from_wkt, rings_well_formed
+from feederlake.functions.shapes import distance, rings_from_wkt, rings_well_formed
 from feederlake.operators.quality import DROP, FAIL, WARN, Rule
-from feederlake.operators.spatial import valid_polygon
+from feederlake.operators.spatial import edges_apart
 from feederlake.plans.network import Network, product
 
 # The coordinate box of the territory.
@@ -46,12 +46,11 @@ def _checked(net: Network, name: str) -> DataFrame:
 
 
 def _operating_centers(net: Network) -> DataFrame:
-    rings = F.col("rings")
-    sound = F.when(rings_well_formed(rings), valid_polygon(rings)).otherwise(F.lit(False))
+    sound = f"CASE WHEN {rings_well_formed('rings')} THEN {edges_apart('rings')} ELSE false END"
     return (net.latest("ced")
-            .select("ced_code", "ced_name", "region_name", F.col("is_urban").cast("boolean").alias("is_urban"),
-                    rings_from_wkt(F.col("boundary_wkt")).alias("rings"))
-            .withColumn("_valid", sound))
+            .selectExpr("ced_code", "ced_name", "region_name", "CAST(is_urban AS BOOLEAN) AS is_urban",
+                        f"{rings_from_wkt('boundary_wkt')} AS rings")
+            .selectExpr("*", f"{sound} AS _valid"))
 
 
 def _substations(net: Network) -> DataFrame:
@@ -71,7 +70,7 @@ def _poles(net: Network) -> DataFrame:
     return df.select(
         "pole_id", "line_id", "branch_id", "branch_seq", "parent_pole_id", "install_year",
         net.age("install_year").alias("age_years"), "material", F.col("height_m").cast("double").alias("height_m"),
-        "lon", "lat", "x", "y", cell_id(F.col("x"), F.col("y"), 9).alias("hex_cell_9"))
+        "lon", "lat", "x", "y", F.expr(cell_id("x", "y", 9)).alias("hex_cell_9"))
 
 
 def _spans(net: Network) -> DataFrame:
@@ -87,14 +86,13 @@ def _spans(net: Network) -> DataFrame:
           .join(parent, child["parent_pole_id"] == parent["parent_id"], "left")
           .join(feeds, "line_id", "left")
           .join(heads, (F.col("substation_code") == F.col("head_code")) & F.col("parent_pole_id").isNull(), "left"))
-    upstream = {c: F.coalesce(f"p_{c}", f"s_{c}") for c in place}
-    return df.select(
-        F.concat(F.lit("S-"), "pole_id").alias("span_id"), "line_id", "branch_id", "branch_seq",
-        F.coalesce("parent_id", "head_code").alias("from_node_id"), F.col("pole_id").alias("to_pole_id"),
-        upstream["lon"].alias("lon1"), upstream["lat"].alias("lat1"),
-        F.col("lon").alias("lon2"), F.col("lat").alias("lat2"),
-        upstream["x"].alias("x1"), upstream["y"].alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"),
-        distance_m(upstream["x"], upstream["y"], F.col("x"), F.col("y")).alias("length_m"))
+    # a pole's span starts at its parent, or at the substation when it has none
+    joined = df.selectExpr(
+        "concat('S-', pole_id) AS span_id", "line_id", "branch_id", "branch_seq",
+        "coalesce(parent_id, head_code) AS from_node_id", "pole_id AS to_pole_id",
+        "coalesce(p_lon, s_lon) AS lon1", "coalesce(p_lat, s_lat) AS lat1", "lon AS lon2", "lat AS lat2",
+        "coalesce(p_x, s_x) AS x1", "coalesce(p_y, s_y) AS y1", "x AS x2", "y AS y2")
+    return joined.selectExpr("*", f"{distance('x1', 'y1', 'x2', 'y2')} AS length_m")
 
 
 def _transformers(net: Network) -> DataFrame:
@@ -116,7 +114,7 @@ def _customers(net: Network) -> DataFrame:
     return df.select(
         "customer_id", "transformer_id", "customer_name", "address", "municipality", "customer_type",
         "electric_heating", F.col("contract_kw").cast("double").alias("contract_kw"), "lon", "lat", "x", "y",
-        cell_id(F.col("x"), F.col("y"), 8).alias("hex_cell_8"))
+        F.expr(cell_id("x", "y", 8)).alias("hex_cell_8"))
 
 
 def _outages(net: Network) -> DataFrame:

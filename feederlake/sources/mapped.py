@@ -10,7 +10,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 AS_OF = datetime(2001, 8, 2)
 FEATURE_WINTER = 2000
@@ -18,14 +17,48 @@ LABEL_WINTER = 2001
 
 POLES_PER_LINE = 20
 STEP_DEG = 0.0008
-_DX = (1, 1, 0, -1, -1, -1, 0, 1)
-_DY = (0, 1, 1, 1, 0, -1, -1, -1)
-_RATINGS = (25.0, 37.5, 50.0, 75.0, 100.0, 167.0)
+_RATINGS = "25.0D, 37.5D, 50.0D, 75.0D, 100.0D, 167.0D"
 
 
-def _pick(values, index):
-    """values[index] (0-based) as a column."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _pick(values: str, index: str) -> str:
+    """The value at a 0-based index, as SQL."""
+    return f"array({values})[CAST({index} AS INT)]"
+
+
+_DX = _pick("1, 1, 0, -1, -1, -1, 0, 1", "s_suppkey % 8")
+_DY = _pick("0, 1, 1, 1, 0, -1, -1, -1", "s_suppkey % 8")
+
+
+def _step(branch: str, seq: str) -> tuple[str, str]:
+    """Grid offset of a position: the trunk along (dx,dy), laterals at right angles to it."""
+    if branch == "T":
+        return f"({_DX} * {seq})", f"({_DY} * {seq})"
+    base = 3 if branch == "L01" else 6
+    return f"({base} * {_DX} - {_DY} * {seq})", f"({base} * {_DY} + {_DX} * {seq})"
+
+
+def _head_lon(nation: str) -> str:
+    return f"(-78.0D + ({nation} % 5) * 4)"
+
+
+def _head_lat(nation: str) -> str:
+    return f"(45.5D + ({nation} div 5) * 3.0D)"
+
+
+def _place(nation: str, case: str) -> tuple[str, str]:
+    """Substation plus offset; {0} in the case text stands for the axis."""
+    across, up = (case.format(*axis) for axis in zip(*[_step(b, s) for b, s in _CASES[case]]))
+    return (f"{_head_lon(nation)} + {STEP_DEG}D * {across}", f"{_head_lat(nation)} + {STEP_DEG}D * {up}")
+
+
+_POLE_CASE = "CASE branch WHEN 'T' THEN {0} WHEN 'L01' THEN {1} ELSE {2} END"
+_DEVICE_CASE = "CASE b WHEN 1 THEN {0} WHEN 2 THEN {1} ELSE 0 END"
+_FAULT_CASE = "CASE b WHEN 1 THEN {0} WHEN 2 THEN {1} ELSE {2} END"
+_CASES = {
+    _POLE_CASE: [("T", "seq"), ("L01", "seq"), ("L02", "seq")],
+    _DEVICE_CASE: [("L01", "1"), ("L02", "1")],
+    _FAULT_CASE: [("L01", "1"), ("L02", "1"), ("T", "1")],
+}
 
 
 class MappedTables:
@@ -34,9 +67,12 @@ class MappedTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # the generator fixes twenty parts per supplier; footers answer the count
     @property
@@ -45,208 +81,112 @@ class MappedTables:
             self._n_lines = self._read("supplier").count()
         return self._n_lines
 
-    @property
-    def n_poles(self) -> int:
-        return POLES_PER_LINE * self.n_lines
-
     def entity(self, name: str) -> DataFrame:
         return getattr(self, name)()
 
     def ced(self) -> DataFrame:
-        key = F.col("r_regionkey")
-        west, east = (F.lit(-79.5) + 4 * key).cast("string"), (F.lit(-76.5) + 4 * key).cast("string")
-        south, north = F.lit("44.2"), F.lit("62.5")
-        corners = [(west, south), (east, south), (east, north), (west, north), (west, south)]
-        pairs = [F.concat_ws(" ", lon, lat) for lon, lat in corners]
-        return self._read("region").select(
-            F.concat(F.lit("C"), key.cast("string")).alias("ced_code"),
-            F.concat(F.lit("CED "), F.col("r_name")).alias("ced_name"),
-            F.col("r_name").alias("region_name"),
-            (key % 2 == 0).alias("is_urban"),
-            F.concat(F.lit("POLYGON(("), F.concat_ws(", ", *pairs), F.lit("))")).alias("boundary_wkt"),
-        )
-
-    @staticmethod
-    def _substation_lon_lat(nation):
-        return F.lit(-78.0) + (nation % 5) * 4, F.lit(45.5) + F.floor(nation / F.lit(5)) * F.lit(3.0)
+        west, east = "CAST(-79.5D + 4 * r_regionkey AS STRING)", "CAST(-76.5D + 4 * r_regionkey AS STRING)"
+        corners = [(west, "44.2"), (east, "44.2"), (east, "62.5"), (west, "62.5"), (west, "44.2")]
+        text = ", ', ', ".join(f"{lon}, ' {lat}'" for lon, lat in corners)
+        return self._read("region").selectExpr(
+            "concat('C', r_regionkey) AS ced_code", "concat('CED ', r_name) AS ced_name", "r_name AS region_name",
+            "r_regionkey % 2 = 0 AS is_urban", f"concat('POLYGON((', {text}, '))') AS boundary_wkt")
 
     def substations(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        lon, lat = self._substation_lon_lat(key)
-        return self._read("nation").select(
-            F.col("n_name").alias("substation_code"),
-            F.concat(F.lit("POSTE "), F.col("n_name")).alias("substation_name"),
-            F.concat(F.lit("C"), F.col("n_regionkey").cast("string")).alias("ced_code"),
-            lon.alias("lon"), lat.alias("lat"),
-            (F.lit(20.0) + (key % 4) * 10).alias("capacity_mva"),
-        )
-
-    def _suppliers(self) -> DataFrame:
-        nations = self._read("nation").select("n_nationkey", "n_name", "n_regionkey")
-        return self._read("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        return self._read("nation").selectExpr(
+            "n_name AS substation_code", "concat('POSTE ', n_name) AS substation_name",
+            "concat('C', n_regionkey) AS ced_code", f"{_head_lon('n_nationkey')} AS lon",
+            f"{_head_lat('n_nationkey')} AS lat", "20.0D + (n_nationkey % 4) * 10 AS capacity_mva")
 
     def lines(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        return self._suppliers().select(
-            F.col("s_name").alias("line_id"),
-            F.col("n_name").alias("substation_code"),
-            F.concat(F.lit("C"), F.col("n_regionkey").cast("string")).alias("ced_code"),
-            F.lit(25).alias("voltage_kv"),
-            (F.lit(1958) + key % 35).cast("int").alias("commissioning_year"),
-            _pick(("ACSR", "AAC", "CU"), key % 3).alias("conductor"),
-        )
-
-    @staticmethod
-    def _step(branch: str, seq, supplier):
-        """Grid offset of a position: trunk along (dx,dy), laterals at right angles."""
-        dx, dy = _pick(_DX, supplier % 8), _pick(_DY, supplier % 8)
-        if branch == "T":
-            return dx * seq, dy * seq
-        base = 3 if branch == "L01" else 6
-        return base * dx - dy * seq, base * dy + dx * seq
+        nations = self._read("nation").selectExpr("n_nationkey AS s_nationkey", "n_name", "n_regionkey")
+        return self._read("supplier").join(nations, "s_nationkey").selectExpr(
+            "s_name AS line_id", "n_name AS substation_code", "concat('C', n_regionkey) AS ced_code",
+            "25 AS voltage_kv", "CAST(1958 + s_suppkey % 35 AS INT) AS commissioning_year",
+            _pick("'ACSR', 'AAC', 'CU'", "s_suppkey % 3") + " AS conductor")
 
     def _positions(self) -> DataFrame:
         """part with its line, branch, sequence and location."""
-        n = self.n_lines
-        part = self._read("part").select("p_partkey", "p_size", "p_brand")
-        idx = F.floor(F.col("p_partkey") / F.lit(n)).cast("int")
-        df = part.withColumns({"supp": F.col("p_partkey") % n, "idx": idx})
+        parts = self._read("part").selectExpr(
+            "p_partkey", "p_size", f"p_partkey % {self.n_lines} AS s_suppkey",
+            f"CAST(p_partkey div {self.n_lines} AS INT) AS idx")
         suppliers = self._read("supplier").select("s_suppkey", "s_name", "s_nationkey")
-        df = df.join(suppliers, F.col("supp") == F.col("s_suppkey"))
-        i = F.col("idx")
-        df = df.withColumns({
-            "branch": F.when(i < 10, "T").when(i < 15, "L01").otherwise("L02"),
-            "seq": F.when(i < 10, i + 1).when(i < 15, i - 9).otherwise(i - 14),
-        })
-        steps = {b: self._step(b, F.col("seq"), F.col("supp")) for b in ("T", "L01", "L02")}
-        across = F.when(i < 10, steps["T"][0]).when(i < 15, steps["L01"][0]).otherwise(steps["L02"][0])
-        up = F.when(i < 10, steps["T"][1]).when(i < 15, steps["L01"][1]).otherwise(steps["L02"][1])
-        lon, lat = self._substation_lon_lat(F.col("s_nationkey"))
-        return df.withColumns({
-            "lon": lon + F.lit(STEP_DEG) * across + (F.col("p_partkey") % 13) * F.lit(0.000003),
-            "lat": lat + F.lit(STEP_DEG) * up + (F.col("p_size") % 7) * F.lit(0.00001),
-        })
-
-    @staticmethod
-    def _pole_id(key):
-        return F.concat(F.lit("P"), key.cast("string"))
+        lon, lat = _place("s_nationkey", _POLE_CASE)
+        return (parts.join(suppliers, "s_suppkey")
+                .selectExpr("*", "CASE WHEN idx < 10 THEN 'T' WHEN idx < 15 THEN 'L01' ELSE 'L02' END AS branch",
+                            "CASE WHEN idx < 10 THEN idx + 1 WHEN idx < 15 THEN idx - 9 ELSE idx - 14 END AS seq")
+                .selectExpr("*", f"{lon} + (p_partkey % 13) * 0.000003D AS lon",
+                            f"{lat} + (p_size % 7) * 0.00001D AS lat"))
 
     def poles(self) -> DataFrame:
         n = self.n_lines
-        key, i = F.col("p_partkey"), F.col("idx")
-        parent = F.when(i == 0, None).when(i == 10, key - 8 * n).when(i == 15, key - 10 * n).otherwise(key - n)
-        return self._positions().select(
-            self._pole_id(key).alias("pole_id"),
-            F.col("s_name").alias("line_id"),
-            F.concat_ws("-", "s_name", "branch").alias("branch_id"),
-            F.col("seq").cast("int").alias("branch_seq"),
-            self._pole_id(parent).alias("parent_pole_id"),
-            "lon", "lat",
-            (F.lit(1940) + (key * 7) % 80).cast("int").alias("install_year"),
-            _pick(("CEDAR", "PINE", "STEEL"), key % 3).alias("material"),
-            (F.lit(10.0) + F.col("p_size") % 6).alias("height_m"),
-        )
+        parent = (f"CASE WHEN idx = 0 THEN NULL WHEN idx = 10 THEN p_partkey - 8 * {n} "
+                  f"WHEN idx = 15 THEN p_partkey - 10 * {n} ELSE p_partkey - {n} END")
+        return self._positions().selectExpr(
+            "concat('P', p_partkey) AS pole_id", "s_name AS line_id", "concat_ws('-', s_name, branch) AS branch_id",
+            "seq AS branch_seq", f"concat('P', {parent}) AS parent_pole_id", "lon", "lat",
+            "CAST(1940 + (p_partkey * 7) % 80 AS INT) AS install_year",
+            _pick("'CEDAR', 'PINE', 'STEEL'", "p_partkey % 3") + " AS material", "10.0D + p_size % 6 AS height_m")
 
     def transformers(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self._read("part").filter(key % 3 == 0).select(
-            F.concat(F.lit("TX"), key.cast("string")).alias("transformer_id"),
-            self._pole_id(key).alias("pole_id"),
-            _pick(_RATINGS, F.floor(key / F.lit(3)) % 6).alias("kva"),
-            (F.lit(1958) + (key * 11) % 66).cast("int").alias("install_year"),
-            _pick(("A", "B", "C"), key % 9 / 3).alias("phase"),
-            F.col("p_brand").alias("manufacturer"),
-        )
+        return self._read("part").filter("p_partkey % 3 = 0").selectExpr(
+            "concat('TX', p_partkey) AS transformer_id", "concat('P', p_partkey) AS pole_id",
+            _pick(_RATINGS, "(p_partkey div 3) % 6") + " AS kva",
+            "CAST(1958 + (p_partkey * 11) % 66 AS INT) AS install_year",
+            _pick("'A', 'B', 'C'", "p_partkey % 9 div 3") + " AS phase", "p_brand AS manufacturer")
 
     def _devices(self) -> DataFrame:
-        df = self._read("supplier").select("s_suppkey", "s_name", "s_nationkey").withColumn(
-            "b", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-        b, supp = F.col("b"), F.col("s_suppkey")
-        lon, lat = self._substation_lon_lat(F.col("s_nationkey"))
-        one = F.lit(1)
-        l1, l2 = self._step("L01", one, supp), self._step("L02", one, supp)
-        across = F.when(b == 1, l1[0]).when(b == 2, l2[0]).otherwise(0)
-        up = F.when(b == 1, l1[1]).when(b == 2, l2[1]).otherwise(0)
-        return df.withColumns({
-            "di": supp + b * self.n_lines,
-            "device_id": F.concat(F.col("s_name"), _pick(("_DJ", "_F1", "_F2"), b)),
-            "lon": lon + F.lit(STEP_DEG) * across, "lat": lat + F.lit(STEP_DEG) * up,
-        })
+        lon, lat = _place("s_nationkey", _DEVICE_CASE)
+        fault_lon, fault_lat = _place("s_nationkey", _FAULT_CASE)
+        suffix = _pick("'_DJ', '_F1', '_F2'", "b")
+        return (self._read("supplier").selectExpr("s_suppkey", "s_name", "s_nationkey", "explode(array(0, 1, 2)) AS b")
+                .selectExpr("*", f"s_suppkey + b * {self.n_lines} AS di",
+                            f"concat(s_name, {suffix}) AS device_id",
+                            f"{lon} AS lon", f"{lat} AS lat", f"{fault_lon} AS fault_lon", f"{fault_lat} AS fault_lat"))
 
     def protection_devices(self) -> DataFrame:
-        b, n = F.col("b"), self.n_lines
-        tap = F.when(b == 1, F.col("s_suppkey") + 10 * n).when(b == 2, F.col("s_suppkey") + 15 * n)
-        return self._devices().select(
-            "device_id",
-            F.when(b == 0, "DISJONCTEUR").otherwise("COUPE-CIRCUIT").alias("device_type"),
-            F.col("s_name").alias("line_id"),
-            F.concat(F.col("s_name"), _pick(("-T", "-L01", "-L02"), b)).alias("protected_branch_id"),
-            self._pole_id(tap).alias("pole_id"),
-            "lon", "lat",
-            _pick((600, 65, 100), b).alias("rating_a"),
-            (F.lit(1970) + F.col("s_suppkey") % 50).cast("int").alias("install_year"),
-        )
+        n = self.n_lines
+        branch = _pick("'-T', '-L01', '-L02'", "b")
+        return self._devices().selectExpr(
+            "device_id", "CASE WHEN b = 0 THEN 'DISJONCTEUR' ELSE 'COUPE-CIRCUIT' END AS device_type",
+            "s_name AS line_id", f"concat(s_name, {branch}) AS protected_branch_id",
+            f"concat('P', CASE b WHEN 1 THEN s_suppkey + 10 * {n} WHEN 2 THEN s_suppkey + 15 * {n} END) AS pole_id",
+            "lon", "lat", _pick("600, 65, 100", "b") + " AS rating_a",
+            "CAST(1970 + s_suppkey % 50 AS INT) AS install_year")
 
     def customers(self) -> DataFrame:
-        key = F.col("c_custkey")
-        k = (key * 7) % self.n_poles
-        customers = self._read("customer").withColumn("k", k - k % 3)
-        at = self._positions().select(F.col("p_partkey").alias("k"), "lon", "lat")
-        off = ((key % 11) - 5) * F.lit(0.00005)
-        return customers.join(at, "k").select(
-            F.concat(F.lit("CU"), key.cast("string")).alias("customer_id"),
-            F.concat(F.lit("TX"), F.col("k").cast("string")).alias("transformer_id"),
-            F.col("c_name").alias("customer_name"),
-            F.concat(key.cast("string"), F.lit(" rue Principale")).alias("address"),
-            F.concat(F.lit("MUN-"), F.col("c_nationkey").cast("string")).alias("municipality"),
-            (F.col("lon") + off).alias("lon"), (F.col("lat") + off).alias("lat"),
-            F.col("c_mktsegment").alias("customer_type"),
-            (key % 4 != 0).alias("electric_heating"),
-            (F.lit(5.0) + key % 20).alias("contract_kw"),
-        )
+        k = f"(c_custkey * 7) % {POLES_PER_LINE * self.n_lines}"
+        at = self._positions().selectExpr("p_partkey AS k", "lon", "lat")
+        offset = "((c_custkey % 11) - 5) * 0.00005D"
+        return self._read("customer").selectExpr("*", f"{k} - ({k}) % 3 AS k").join(at, "k").selectExpr(
+            "concat('CU', c_custkey) AS customer_id", "concat('TX', k) AS transformer_id", "c_name AS customer_name",
+            "concat(c_custkey, ' rue Principale') AS address", "concat('MUN-', c_nationkey) AS municipality",
+            f"lon + {offset} AS lon", f"lat + {offset} AS lat", "c_mktsegment AS customer_type",
+            "c_custkey % 4 <> 0 AS electric_heating", "5.0D + c_custkey % 20 AS contract_kw")
 
     def outages(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        orders = self._read("orders").withColumns({
-            "di": (key * 13) % (3 * self.n_lines),
-            "start_ts": F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (key % 1440) * 60),
-            "minutes": F.floor("o_totalprice") % 720 + 5,
-        })
-        ongoing = (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") >= F.lit("2001-07-01").cast("timestamp"))
-        end = F.timestamp_seconds(F.unix_timestamp("start_ts") + F.col("minutes") * 60)
-        # every fault sits at the head of the protected branch
-        devices = self._devices()
-        one, supp, b = F.lit(1), F.col("s_suppkey"), F.col("b")
-        lon, lat = self._substation_lon_lat(F.col("s_nationkey"))
-        t = self._step("T", one, supp)
-        at = devices.select(
-            "di", "device_id",
-            F.when(b == 0, lon + F.lit(STEP_DEG) * t[0]).otherwise(F.col("lon")).alias("fault_lon"),
-            F.when(b == 0, lat + F.lit(STEP_DEG) * t[1]).otherwise(F.col("lat")).alias("fault_lat"))
-        return orders.join(at, "di").select(
-            F.concat(F.lit("OUT"), key.cast("string")).alias("outage_id"),
-            "device_id", "start_ts",
-            F.when(~ongoing, end).alias("end_ts"),
-            F.col("o_orderpriority").alias("cause"),
-            (F.lit(1) + F.col("o_custkey") % 200).cast("int").alias("customers_interrupted"),
-            "fault_lon", "fault_lat",
-        )
+        start = "unix_timestamp(o_orderdate) + (o_orderkey % 1440) * 60"
+        ongoing = "o_orderstatus = 'P' AND o_orderdate >= timestamp'2001-07-01'"
+        at = self._devices().select("di", "device_id", "fault_lon", "fault_lat")
+        return (self._read("orders")
+                .selectExpr("*", f"(o_orderkey * 13) % {3 * self.n_lines} AS di", f"{start} AS started",
+                            "floor(o_totalprice) % 720 + 5 AS minutes")
+                .join(at, "di").selectExpr(
+                    "concat('OUT', o_orderkey) AS outage_id", "device_id", "timestamp_seconds(started) AS start_ts",
+                    f"CASE WHEN NOT ({ongoing}) THEN timestamp_seconds(started + minutes * 60) END AS end_ts",
+                    "o_orderpriority AS cause", "CAST(1 + o_custkey % 200 AS INT) AS customers_interrupted",
+                    "fault_lon", "fault_lat"))
 
     def transformer_load(self) -> DataFrame:
-        key = F.col("l_partkey")
-        peak = F.col("l_quantity") * (F.lit(1) + F.col("l_linenumber")) / F.lit(2.0)
-        return self._read("lineitem").select(
-            F.concat(F.lit("TX"), (key - key % 3).cast("string")).alias("transformer_id"),
-            F.to_date("l_shipdate").alias("reading_date"),
-            peak.alias("peak_kva"), (F.lit(12.0) * peak).alias("energy_kwh"),
-        )
+        peak = "l_quantity * (1 + l_linenumber) / 2.0D"
+        return self._read("lineitem").selectExpr(
+            "concat('TX', l_partkey - l_partkey % 3) AS transformer_id", "to_date(l_shipdate) AS reading_date",
+            f"{peak} AS peak_kva", f"12.0D * ({peak}) AS energy_kwh")
 
     def weather(self) -> DataFrame:
-        n_regions = self._read("region").count()
-        days = self._read("lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
-        rows = days.filter(F.dayofmonth("date") != 13).withColumn(
-            "r", F.explode(F.sequence(F.lit(0), F.lit(n_regions - 1))))
-        low = ((F.dayofyear("date") * 37 + F.col("r") * 11) % 46 - 30).cast("double")
-        return rows.select(
-            "date", F.concat(F.lit("C"), F.col("r").cast("string")).alias("ced_code"),
-            low.alias("temp_min_c"), (low + 8).alias("temp_max_c"))
+        regions = self._read("region").count()
+        days = self._read("lineitem").selectExpr("to_date(l_shipdate) AS date").distinct()
+        low = "CAST((dayofyear(date) * 37 + r * 11) % 46 - 30 AS DOUBLE)"
+        return (days.filter("dayofmonth(date) <> 13")
+                .selectExpr("date", f"explode(sequence(0, {regions - 1})) AS r")
+                .selectExpr("date", "concat('C', r) AS ced_code", f"{low} AS temp_min_c", f"{low} + 8 AS temp_max_c"))
