@@ -22,7 +22,7 @@ from feederlake.plans import gold as _gold  # noqa: F401
 from feederlake.plans.network import Network, Settings
 from feederlake.plans.secured import SecuredView
 from feederlake.plans.silver import rules_for, unchecked
-from feederlake.session import scratch_path, tune
+from feederlake.session import scratch_path, settle, tune
 from feederlake.sources.mapped import AS_OF, FEATURE_WINTER, LABEL_WINTER, MappedTables
 from feederlake.sources.tables import TableStore
 from feederlake.streaming.ingest import Landing
@@ -308,7 +308,7 @@ def training_set(spark, folder):
    AS overload_next_winter FROM g_load JOIN (SELECT DISTINCT transformer_id FROM features_prev) USING (transformer_id)
    WHERE winter_label = 'Hiver {o.LABEL}' GROUP BY transformer_id) GROUP BY 1)""")
 def class_weights(spark, folder):
-    train = risk.training_set(network(spark, folder)).select("overload_next_winter")
+    train = settle(risk.training_set(network(spark, folder)).select("overload_next_winter"), "training")
     return risk.balanced_weights(train, "overload_next_winter").groupBy("overload_next_winter").agg(
         F.round(F.max("weight"), 9).alias("weight"), F.count(F.lit(1)).alias("rows"))
 

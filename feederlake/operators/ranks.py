@@ -10,16 +10,12 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def _bucket(value: Column, splits: Column, n_splits: int) -> Column:
+def _bucket(value: str, splits: str, n_splits: int) -> str:
     """How many of the sorted splits lie at or below the value, by binary search."""
     steps = max(1, math.ceil(math.log2(n_splits + 1)))
-    sizes = F.array(*[F.lit(2 ** (steps - 1 - i)) for i in range(steps)])
-
-    def advance(found: Column, size: Column) -> Column:
-        ahead = F.try_element_at(splits, found + size)
-        return F.when(ahead <= value, found + size).otherwise(found)
-
-    return F.aggregate(sizes, F.lit(0), advance)
+    sizes = ", ".join(str(2 ** (steps - 1 - i)) for i in range(steps))
+    return (f"aggregate(array({sizes}), 0, (found, size) -> CASE WHEN try_element_at({splits}, found + size) <= {value} "
+            f"THEN found + size ELSE found END)")
 
 
 def prefix_by_value(df: DataFrame, column: str, measures: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
@@ -31,13 +27,12 @@ def prefix_by_value(df: DataFrame, column: str, measures: dict[str, Column], buc
     fixed number of rows, go through one task. NULL comes first.
     """
     counts = df.groupBy(F.col(column).alias("_v")).agg(*[m.alias(name) for name, m in measures.items()])
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    splits = counts.agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("_v", probabilities, F.lit(10 * buckets)))))
-    bucketed = counts.withColumn("_splits", splits.scalar()).select(
+    probabilities = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    splits = counts.agg(F.expr(
+        f"array_sort(array_distinct(percentile_approx(_v, array({probabilities}), {10 * buckets})))"))
+    bucketed = counts.withColumn("_splits", splits.scalar()).selectExpr(
         "_v", *measures,
-        F.when(F.col("_v").isNull(), F.lit(-1))
-        .otherwise(_bucket(F.col("_v"), F.col("_splits"), buckets)).alias("_b"))
+        f"CASE WHEN _v IS NULL THEN -1 ELSE {_bucket('_v', '_splits', buckets)} END AS _b")
 
     inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

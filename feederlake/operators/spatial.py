@@ -88,27 +88,32 @@ def touches_segment(edges: str, ax: str, ay: str, bx: str, by: str) -> str:
     return f"({touches_point(edges, ax, ay)} OR {met})"
 
 
-def clipped_length_m(edges: str, ax: str, ay: str, bx: str, by: str) -> str:
-    """Projected length of the part of segment a-b inside the polygon.
-
-    The segment is cut where it crosses the outline; a piece counts when its middle
-    is inside.
-    """
+def with_cuts(segments: DataFrame, ax: str, ay: str, bx: str, by: str, edges: str = "_edges") -> DataFrame:
+    """Add ``_cuts``: the shares of the way along each segment where it meets the outline, with 0 and 1."""
     turn = f"(({bx} - {ax}) * (e.by - e.ay) - ({by} - {ay}) * (e.bx - e.ax))"
     t = f"try_divide((e.ax - {ax}) * (e.by - e.ay) - (e.ay - {ay}) * (e.bx - e.ax), {turn})"
     u = f"try_divide((e.ax - {ax}) * ({by} - {ay}) - (e.ay - {ay}) * ({bx} - {ax}), {turn})"
     crossing = f"CASE WHEN {t} BETWEEN 0 AND 1 AND {u} BETWEEN 0 AND 1 THEN {t} END"
-    cuts = (f"array_sort(array_distinct(concat(array(0.0D, 1.0D), "
-            f"filter(transform({edges}, e -> {crossing}), t -> t IS NOT NULL))))")
+    return segments.selectExpr("*", (
+        f"array_sort(array_distinct(concat(array(0.0D, 1.0D), "
+        f"filter(transform({edges}, e -> {crossing}), t -> t IS NOT NULL)))) AS _cuts"))
+
 
+def clipped_length_m(edges: str, cuts: str, ax: str, ay: str, bx: str, by: str) -> str:
+    """Projected length of the part of segment a-b inside the polygon.
+
+    Of the pieces between two cuts, those count whose middle is inside; a segment
+    that stays outside adds nothing.
+    """
     def at(share: str) -> tuple[str, str]:
         return f"({ax} + {share} * ({bx} - {ax}))", f"({ay} + {share} * ({by} - {ay}))"
 
     start, end, middle = at("c.s"), at("c.t"), at("((c.s + c.t) / 2.0D)")
+    placed = f"transform({leading(cuts)}, (s, i) -> named_struct('s', s, 't', {cuts}[i + 1]))"
     metres = distance(x_metres(*start), y_metres(*start), x_metres(*end), y_metres(*end))
-    length = f"CASE WHEN {touches_point(edges, *middle)} THEN {metres} ELSE 0.0D END"
-    pieces = f"zip_with({leading(cuts)}, {following(cuts)}, (s, t) -> named_struct('s', s, 't', t))"
-    return f"aggregate(transform({pieces}, c -> {length}), 0.0D, (total, v) -> total + v)"
+    halved = f"transform({placed}, c -> named_struct('s', c.s, 't', c.t, 'mx', {middle[0]}, 'my', {middle[1]}))"
+    kept = f"filter({halved}, c -> {touches_point(edges, 'c.mx', 'c.my')})"
+    return f"aggregate(transform({kept}, c -> {metres}), 0.0D, (total, v) -> total + v)"
 
 
 def box_test(rings: Rings, lon: str = "lon", lat: str = "lat") -> str:

@@ -382,6 +382,6 @@ def chi_hex(net: Network) -> DataFrame:
     totals = shares.groupBy("zone_id").agg(F.sum("n").alias("n_tot"))
     return (shares.join(recent.join(totals, "zone_id"), "zone_id")
             .groupBy("hex_cell_8", "ced_code")
-            .agg(F.round(F.sum(F.col("zone_chi") * F.col("n") / F.col("n_tot")), 1).alias("chi_6m"),
+            .agg(F.expr("round(round(sum(zone_chi * n / n_tot), 6), 1)").alias("chi_6m"),
                  F.count(F.lit(1)).alias("zones_impacted"))
             .withColumn("cell_ring", F.expr(cell_ring("hex_cell_8"))))

@@ -21,7 +21,7 @@ from feederlake.operators.spatial import (
     edges_literal,
     polygon_literal,
     touches_point,
-    touches_segment,
+    with_cuts,
 )
 from feederlake.plans.gold import zone_outlines
 from feederlake.plans.secured import SecuredView
@@ -80,7 +80,8 @@ def _zones(view: SecuredView, keep) -> DataFrame:
         "zone_id", "device_type", "line_id", "ced_code", "n_customers", "interruptions_3m", "interruptions_6m",
         "chi_6m")
     risk = view.table("gold.zone_risk").select("zone_id", "risk_tier", "risk_score")
-    outlines = zone_outlines(view.net, only=zones).select(
+    shown = keep(view.table("gold.protection_devices").filter(F.col("device_type") == CUTOUT))
+    outlines = zone_outlines(view.net, only=shown.select(F.col("device_id").alias("zone_id"))).select(
         "zone_id", F.expr(polygon_geojson("array(zone_ring)")).alias("geojson"))
     return zones.join(risk, "zone_id", "left").join(outlines, "zone_id")
 
@@ -142,36 +143,37 @@ def at_least_overloaded(transformers: DataFrame, column: str, threshold: float)
 def selection_totals(view: SecuredView, geojson: str) -> DataFrame:
     """What lies inside a drawn polygon, as one row."""
     rings = rings_literal(geojson)
-    shape, edges = polygon_literal(rings), edges_literal(rings)
-
-    def inside(df: DataFrame) -> DataFrame:
-        return df.filter(box_test(rings)).filter(touches_point(edges, "lon", "lat"))
-
+    edges = edges_literal(rings)
     last = f"max_overload_pct_hiver_{view.net.settings.label_winter}"
-    poles = inside(view.table("gold.poles")).agg(
+
+    poles = _inside(view.table("gold.poles"), rings).agg(
         F.count(F.lit(1)).alias("poles"), F.count_if(F.col("install_year") < OLD_ASSET_YEAR).alias("poles_pre_1985"))
-    units = inside(view.table("gold.transformers")).agg(F.struct(
+    units = _inside(view.table("gold.transformers"), rings).agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(last) > OVERLOAD_PCT).alias("over")))
-    homes = inside(view.table("gold.customers")).agg(F.count(F.lit(1)))
+    # a condition inside the sum, not a filter: masked places are tested once per cell
+    homes = view.customer_places().selectExpr("*", f"{edges} AS _edges").agg(F.expr(
+        f"coalesce(sum(CASE WHEN {box_test(rings)} AND {touches_point('_edges', 'lon', 'lat')} THEN n ELSE 0 END), 0)"))
     ends = ("lon1", "lat1", "lon2", "lat2")
     lons, lats = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
-    near = ((F.least("lon1", "lon2") <= max(lons)) & (F.greatest("lon1", "lon2") >= min(lons))
-            & (F.least("lat1", "lat2") <= max(lats)) & (F.greatest("lat1", "lat2") >= min(lats)))
-    wire = (view.table("gold.spans").filter(near).filter(touches_segment(edges, *ends))
-            .agg(F.round(F.sum(F.expr(clipped_length_m(edges, *ends))) / 1000, 2)))
+    near = (f"least(lon1, lon2) <= {max(lons)!r}D AND greatest(lon1, lon2) >= {min(lons)!r}D AND "
+            f"least(lat1, lat2) <= {max(lats)!r}D AND greatest(lat1, lat2) >= {min(lats)!r}D")
+    wire = (with_cuts(view.table("gold.spans").select(*ends).filter(near).selectExpr("*", f"{edges} AS _edges"), *ends)
+            .agg(F.expr(f"round(sum({clipped_length_m('_edges', '_cuts', *ends)}) / 1000, 2)")))
     return poles.withColumns({"_units": units.scalar(), "customers": homes.scalar(), "conductor_km": wire.scalar()}).select(
         "poles", "poles_pre_1985", F.col("_units.n").alias("transformers"),
         F.col("_units.over").alias("transformers_over_150"), "customers", "conductor_km",
-        F.expr(f"round({polygon_area_m2(shape)} / 1e6D, 3)").alias("area_km2"))
+        F.expr(f"round({polygon_area_m2(polygon_literal(rings))} / 1e6D, 3)").alias("area_km2"))
+
+
+def _inside(df: DataFrame, rings) -> DataFrame:
+    return df.filter(box_test(rings)).filter(touches_point(edges_literal(rings), "lon", "lat"))
 
 
 def selection_top(view: SecuredView, geojson: str, top: int = 10) -> DataFrame:
     """The transformers most at risk inside a drawn polygon."""
     rings = rings_literal(geojson)
-    edges = edges_literal(rings)
     last = f"max_overload_pct_hiver_{view.net.settings.label_winter}"
-    units = (view.table("gold.transformers").filter(box_test(rings))
-             .filter(touches_point(edges, "lon", "lat"))
+    units = (_inside(view.table("gold.transformers"), rings)
              .select("transformer_id", "line_id", "kva", last))
     risk = view.table("gold.transformer_risk").select("transformer_id", "risk_score", "risk_tier")
     return (units.join(risk, "transformer_id").orderBy(F.desc("risk_score"), "transformer_id").limit(top)

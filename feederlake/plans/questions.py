@@ -12,6 +12,7 @@ from feederlake.operators.spatial import join_containing, join_within
 from feederlake.plans.gold import zone_outlines
 from feederlake.plans.secured import SecuredView
 from feederlake.schemas import OLD_ASSET_YEAR, OVERLOAD_PCT, TIER_HIGH
+from feederlake.session import settle
 
 MAX_ROWS = 1000
 
@@ -21,7 +22,11 @@ def _here():
 
 
 def with_zone_outline(view: SecuredView, rows: DataFrame) -> DataFrame:
-    """Attach zone outlines to a few result rows; other zones' hulls are not computed."""
+    """Attach zone outlines to a few result rows; other zones' hulls are not computed.
+
+    The rows are settled first: they both choose the hulls and carry the answer.
+    """
+    rows = settle(rows, "zones")
     outlines = zone_outlines(view.net, only=rows).select(
         "zone_id", F.expr(polygon_geojson("array(zone_ring)")).alias("geojson"))
     return rows.join(outlines, "zone_id")
@@ -151,7 +156,8 @@ def customers_near_substation(view: SecuredView, substation: str, metres: float
     """How many customers, at the location the caller may see, lie within a distance."""
     centre = view.table("gold.substations").filter(F.col("substation_name") == substation).select(
         F.col("x").alias("cx"), F.col("y").alias("cy"))
-    return join_within(view.table("gold.customers").select("x", "y"), centre, metres).agg(F.count(F.lit(1)).alias("nb_clients"))
+    return join_within(view.customer_places(), centre, metres).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("nb_clients"))
 
 
 QUESTIONS = {

@@ -33,6 +33,17 @@ class SecuredView:
             df = df.withColumns({c: masked_text(F.col(c), self.caller) for c in MASKED_TEXT})
         return df
 
+    def customer_places(self) -> DataFrame:
+        """Places (lon, lat, x, y) with the number n of customers shown there.
+
+        Masked customers of a cell share one place, so they are counted per cell first.
+        """
+        df = self.table("gold.customers_pii")
+        if self.caller.reads_pii:
+            return df.select("lon", "lat", "x", "y", F.lit(1).alias("n"))
+        cells = df.groupBy("hex_cell_8").agg(F.count(F.lit(1)).alias("n"))
+        return masked_place(cells, self.caller)
+
     def _customers(self) -> DataFrame:
         """Customers with the exact point for readers of personal data, the cell centre otherwise."""
         return masked_place(self.table("gold.customers_pii"), self.caller)
