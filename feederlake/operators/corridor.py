@@ -24,21 +24,19 @@ def _interval(radius: float) -> tuple[str, str]:
     """Where the horizontal line at yb enters and leaves the span's corridor.
 
     The ends contribute a circle's chord each, the two long sides a point each.
+    What depends on the span alone (dx, per_dy, off_x, off_y) comes in as columns:
+    this runs once per band.
     """
-    r = number(radius)
-    length = distance("x1", "y1", "x2", "y2")
+    r2 = number(radius * radius)
 
     def half_chord(cy: str) -> str:
-        room = f"({r} * {r} - (yb - {cy}) * (yb - {cy}))"
-        return f"CASE WHEN {room} >= 0 THEN sqrt({room}) END"
+        return f"CASE WHEN abs(yb - {cy}) <= {number(radius)} THEN sqrt({r2} - (yb - {cy}) * (yb - {cy})) END"
 
-    def side(sign: str) -> str:
-        along = f"try_divide(yb - (y1 {sign} {r} * (x2 - x1) / {length}), y2 - y1)"
-        flip = "-" if sign == "+" else "+"
-        return (f"CASE WHEN {along} BETWEEN 0 AND 1 "
-                f"THEN x1 {flip} {r} * (y2 - y1) / {length} + {along} * (x2 - x1) END")
+    def side(flip: str) -> str:
+        along = f"(yb - y1 {flip} off_y) * per_dy"
+        return f"CASE WHEN {along} BETWEEN 0.0D AND 1.0D THEN x1 {flip} off_x + {along} * dx END"
 
-    sides = f"{side('+')}, {side('-')}"
+    sides = f"{side('-')}, {side('+')}"
     return (f"least(x1 - {half_chord('y1')}, x2 - {half_chord('y2')}, {sides})",
             f"greatest(x1 + {half_chord('y1')}, x2 + {half_chord('y2')}, {sides})")
 
@@ -54,6 +52,7 @@ def corridor_area(spans: DataFrame, key: str, radius: float, band: float = BAND_
     partitions = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_tile = int(round(tile / band))
     r, h, t = number(radius), number(band), number(tile)
+    length = distance("x1", "y1", "x2", "y2")
 
     def reach(a: str, b: str, unit: str) -> tuple[str, str]:
         return f"floor((least({a}, {b}) - {r}) / {unit})", f"floor((greatest({a}, {b}) + {r}) / {unit})"
@@ -62,7 +61,9 @@ def corridor_area(spans: DataFrame, key: str, radius: float, band: float = BAND_
         return F.expr(f"explode(sequence({first}, {last}))")
 
     tiled = (
-        spans.select(key, "x1", "y1", "x2", "y2")
+        spans.selectExpr(
+            key, "x1", "y1", "x2", "y2", "x2 - x1 AS dx", "try_divide(1.0D, y2 - y1) AS per_dy",
+            f"{r} * (y2 - y1) / {length} AS off_x", f"{r} * (x2 - x1) / {length} AS off_y")
         .withColumn("tx", explode(*reach("x1", "x2", t)))
         .withColumn("ty", explode(*reach("y1", "y2", t)))
         .repartition(partitions, key, "tx", "ty"))
@@ -74,8 +75,12 @@ def corridor_area(spans: DataFrame, key: str, radius: float, band: float = BAND_
            .selectExpr(key, "tx", "ty", "b", f"{lo} AS lo", f"{hi} AS hi").filter("lo IS NOT NULL")
            .selectExpr(key, "tx", "ty", "b", f"greatest(lo, tx * {t}) AS lo", f"least(hi, (tx + 1) * {t}) AS hi")
            .filter("hi > lo"))
-    before = Window.partitionBy(key, "tx", "ty", "b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    return (cut.withColumn("done", F.max("hi").over(before))
+    # the bands of a tile laid end to end: one running maximum serves all of them,
+    # for where a band begins everything before it is already left behind
+    shift = f"(b - ty * {per_tile} - tx) * {t}"
+    row = cut.selectExpr(key, "tx", "ty", f"lo + {shift} AS lo", f"hi + {shift} AS hi")
+    before = Window.partitionBy(key, "tx", "ty").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    return (row.withColumn("done", F.max("hi").over(before))
             .withColumn("fresh", F.expr("greatest(0.0D, hi - greatest(lo, coalesce(done, lo)))"))
             .groupBy(key).agg(F.expr(f"sum(fresh) * {h}").alias("area_m2")))
 

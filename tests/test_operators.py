@@ -29,7 +29,7 @@ def test_latest_record_later_file_wins_and_ties_go_to_the_file_name(spark):
 
 
 def test_latest_record_cuts_copies_before_the_shuffle(spark):
-    df = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("_ingested_at"), F.lit("f").alias("_source_file"))
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("_ingested_at"), F.lit("f").alias("_source_file"))
     plan = latest_record(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
