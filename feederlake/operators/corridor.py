@@ -20,25 +20,17 @@ TILE_M = 512.0
 QUARTER_STEPS = 8
 
 
-def _interval(radius: float) -> tuple[str, str]:
-    """Where the horizontal line at yb enters and leaves the span's corridor.
+def _crossing(sign: str, x_side: str, low: str, high: str) -> str:
+    """Where the horizontal line at yb meets one flank of the corridor.
 
-    The ends contribute a circle's chord each, the two long sides a point each.
-    What depends on the span alone (dx, per_dy, off_x, off_y) comes in as columns:
-    this runs once per band.
+    Below the flank that is the circle around the lower end, above it the circle
+    around the upper end.
     """
-    r2 = number(radius * radius)
+    def circle(end: str) -> str:
+        return f"x{end} {sign} sqrt(greatest(0.0D, r2 - (yb - y{end}) * (yb - y{end})))"
 
-    def half_chord(cy: str) -> str:
-        return f"CASE WHEN abs(yb - {cy}) <= {number(radius)} THEN sqrt({r2} - (yb - {cy}) * (yb - {cy})) END"
-
-    def side(flip: str) -> str:
-        along = f"(yb - y1 {flip} off_y) * per_dy"
-        return f"CASE WHEN {along} BETWEEN 0.0D AND 1.0D THEN x1 {flip} off_x + {along} * dx END"
-
-    sides = f"{side('-')}, {side('+')}"
-    return (f"least(x1 - {half_chord('y1')}, x2 - {half_chord('y2')}, {sides})",
-            f"greatest(x1 + {half_chord('y1')}, x2 + {half_chord('y2')}, {sides})")
+    return (f"CASE WHEN yb < {low} THEN {circle('1')} WHEN yb > {high} THEN {circle('2')} "
+            f"ELSE {x_side} + (yb - {low}) * slope END")
 
 
 def corridor_area(spans: DataFrame, key: str, radius: float, band: float = BAND_M,
@@ -47,38 +39,43 @@ def corridor_area(spans: DataFrame, key: str, radius: float, band: float = BAND_
 
     Only spans travel: they are shuffled by (key, tile), and cut into bands
     afterwards in place. A tile bounds how much of a long line one task holds; the
-    per-tile sums are combined before the last, small shuffle.
+    per-tile sums are combined before the last, small shuffle. What depends on the
+    span alone is worked out once, so that the per-band code stays small enough for
+    the JVM to compile.
     """
     partitions = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_tile = int(round(tile / band))
     r, h, t = number(radius), number(band), number(tile)
-    length = distance("x1", "y1", "x2", "y2")
-
-    def reach(a: str, b: str, unit: str) -> tuple[str, str]:
-        return f"floor((least({a}, {b}) - {r}) / {unit})", f"floor((greatest({a}, {b}) + {r}) / {unit})"
 
     def explode(first: str, last: str):
         return F.expr(f"explode(sequence({first}, {last}))")
 
+    upward = (spans
+              .selectExpr(key, "y1 > y2 AS turned", "x1", "y1", "x2", "y2")
+              .selectExpr(key, "if(turned, x2, x1) AS x1", "if(turned, y2, y1) AS y1",
+                          "if(turned, x1, x2) AS x2", "if(turned, y1, y2) AS y2")
+              .selectExpr("*", f"{r} / {distance('x1', 'y1', 'x2', 'y2')} AS k"))
+    flanks = upward.selectExpr(
+        key, "x1", "y1", "x2", "y2", f"{r} * {r} AS r2", "coalesce(try_divide(x2 - x1, y2 - y1), 0.0D) AS slope",
+        "x1 - k * (y2 - y1) AS left_x", "y1 + k * (x2 - x1) AS left_low", "y2 + k * (x2 - x1) AS left_high",
+        "x1 + k * (y2 - y1) AS right_x", "y1 - k * (x2 - x1) AS right_low", "y2 - k * (x2 - x1) AS right_high",
+        # the bands whose middle line meets the corridor
+        f"ceil((y1 - {r}) / {h} - 0.5D) AS first_band", f"floor((y2 + {r}) / {h} - 0.5D) AS last_band")
     tiled = (
-        spans.selectExpr(
-            key, "x1", "y1", "x2", "y2", "x2 - x1 AS dx", "try_divide(1.0D, y2 - y1) AS per_dy",
-            f"{r} * (y2 - y1) / {length} AS off_x", f"{r} * (x2 - x1) / {length} AS off_y")
-        .withColumn("tx", explode(*reach("x1", "x2", t)))
-        .withColumn("ty", explode(*reach("y1", "y2", t)))
+        flanks
+        .withColumn("tx", explode(f"floor((least(x1, x2) - {r}) / {t})", f"floor((greatest(x1, x2) + {r}) / {t})"))
+        .withColumn("ty", explode(f"floor(first_band / {per_tile})", f"floor(last_band / {per_tile})"))
         .repartition(partitions, key, "tx", "ty"))
-    low, high = reach("y1", "y2", h)
-    first, last = f"greatest({low}, ty * {per_tile})", f"least({high}, (ty + 1) * {per_tile} - 1)"
-    banded = tiled.filter(f"{first} <= {last}").withColumn("b", explode(first, last))
-    lo, hi = _interval(radius)
+    banded = tiled.withColumn("b", explode(f"greatest(first_band, ty * {per_tile})",
+                                           f"least(last_band, (ty + 1) * {per_tile} - 1)"))
     cut = (banded.selectExpr("*", f"(b + 0.5D) * {h} AS yb")
-           .selectExpr(key, "tx", "ty", "b", f"{lo} AS lo", f"{hi} AS hi").filter("lo IS NOT NULL")
-           .selectExpr(key, "tx", "ty", "b", f"greatest(lo, tx * {t}) AS lo", f"least(hi, (tx + 1) * {t}) AS hi")
-           .filter("hi > lo"))
-    # the bands of a tile laid end to end: one running maximum serves all of them,
-    # for where a band begins everything before it is already left behind
-    shift = f"(b - ty * {per_tile} - tx) * {t}"
-    row = cut.selectExpr(key, "tx", "ty", f"lo + {shift} AS lo", f"hi + {shift} AS hi")
+           .selectExpr(key, "tx", "ty", "b", f"{_crossing('-', 'left_x', 'left_low', 'left_high')} AS lo",
+                       f"{_crossing('+', 'right_x', 'right_low', 'right_high')} AS hi"))
+    # clamped to the tile, and the tile's bands laid end to end: one running maximum
+    # serves them all, for where a band begins everything before it is left behind
+    start = f"(b - ty * {per_tile}) * {t}"
+    row = cut.selectExpr(key, "tx", "ty", *[
+        f"{start} + least(greatest({c} - tx * {t}, 0.0D), {t}) AS {c}" for c in ("lo", "hi")])
     before = Window.partitionBy(key, "tx", "ty").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     return (row.withColumn("done", F.max("hi").over(before))
             .withColumn("fresh", F.expr("greatest(0.0D, hi - greatest(lo, coalesce(done, lo)))"))
