@@ -25,16 +25,7 @@ def _pick(values: str, index: str) -> str:
     return f"array({values})[CAST({index} AS INT)]"
 
 
-_DX = _pick("1, 1, 0, -1, -1, -1, 0, 1", "s_suppkey % 8")
-_DY = _pick("0, 1, 1, 1, 0, -1, -1, -1", "s_suppkey % 8")
-
-
-def _step(branch: str, seq: str) -> tuple[str, str]:
-    """Grid offset of a position: the trunk along (dx,dy), laterals at right angles to it."""
-    if branch == "T":
-        return f"({_DX} * {seq})", f"({_DY} * {seq})"
-    base = 3 if branch == "L01" else 6
-    return f"({base} * {_DX} - {_DY} * {seq})", f"({base} * {_DY} + {_DX} * {seq})"
+_SUFFIX = "array('-T', '-L01', '-L02')[{0}]"
 
 
 def _head_lon(nation: str) -> str:
@@ -45,20 +36,10 @@ def _head_lat(nation: str) -> str:
     return f"(45.5D + ({nation} div 5) * 3.0D)"
 
 
-def _place(nation: str, case: str) -> tuple[str, str]:
-    """Substation plus offset; {0} in the case text stands for the axis."""
-    across, up = (case.format(*axis) for axis in zip(*[_step(b, s) for b, s in _CASES[case]]))
-    return (f"{_head_lon(nation)} + {STEP_DEG}D * {across}", f"{_head_lat(nation)} + {STEP_DEG}D * {up}")
-
-
-_POLE_CASE = "CASE branch WHEN 'T' THEN {0} WHEN 'L01' THEN {1} ELSE {2} END"
-_DEVICE_CASE = "CASE b WHEN 1 THEN {0} WHEN 2 THEN {1} ELSE 0 END"
-_FAULT_CASE = "CASE b WHEN 1 THEN {0} WHEN 2 THEN {1} ELSE {2} END"
-_CASES = {
-    _POLE_CASE: [("T", "seq"), ("L01", "seq"), ("L02", "seq")],
-    _DEVICE_CASE: [("L01", "1"), ("L02", "1")],
-    _FAULT_CASE: [("L01", "1"), ("L02", "1"), ("T", "1")],
-}
+def _offset(along: str, branch: str, seq: str) -> str:
+    """Grid offset on one axis: the trunk follows (dx,dy), laterals leave it at right angles."""
+    ahead, aside = ("dx", "- dy") if along == "lon" else ("dy", "+ dx")
+    return (f"CASE {branch} WHEN 0 THEN {ahead} * {seq} ELSE 3 * {branch} * {ahead} {aside} * {seq} END")
 
 
 class MappedTables:
@@ -105,25 +86,32 @@ class MappedTables:
             "25 AS voltage_kv", "CAST(1958 + s_suppkey % 35 AS INT) AS commissioning_year",
             _pick("'ACSR', 'AAC', 'CU'", "s_suppkey % 3") + " AS conductor")
 
+    def _suppliers(self) -> DataFrame:
+        """Line heads with their direction, worked out on this short side of later joins."""
+        return self._read("supplier").selectExpr(
+            "s_suppkey", "s_name", _pick("1, 1, 0, -1, -1, -1, 0, 1", "s_suppkey % 8") + " AS dx",
+            _pick("0, 1, 1, 1, 0, -1, -1, -1", "s_suppkey % 8") + " AS dy",
+            f"{_head_lon('s_nationkey')} AS head_lon", f"{_head_lat('s_nationkey')} AS head_lat")
+
     def _positions(self) -> DataFrame:
-        """part with its line, branch, sequence and location."""
+        """part with its line, branch (0 trunk, 1 and 2 laterals), sequence and location."""
         parts = self._read("part").selectExpr(
             "p_partkey", "p_size", f"p_partkey % {self.n_lines} AS s_suppkey",
             f"CAST(p_partkey div {self.n_lines} AS INT) AS idx")
-        suppliers = self._read("supplier").select("s_suppkey", "s_name", "s_nationkey")
-        lon, lat = _place("s_nationkey", _POLE_CASE)
-        return (parts.join(suppliers, "s_suppkey")
-                .selectExpr("*", "CASE WHEN idx < 10 THEN 'T' WHEN idx < 15 THEN 'L01' ELSE 'L02' END AS branch",
-                            "CASE WHEN idx < 10 THEN idx + 1 WHEN idx < 15 THEN idx - 9 ELSE idx - 14 END AS seq")
-                .selectExpr("*", f"{lon} + (p_partkey % 13) * 0.000003D AS lon",
-                            f"{lat} + (p_size % 7) * 0.00001D AS lat"))
+        return (parts.selectExpr("*", "if(idx < 10, 0, if(idx < 15, 1, 2)) AS branch",
+                                 "if(idx < 10, idx + 1, if(idx < 15, idx - 9, idx - 14)) AS seq")
+                .join(self._suppliers(), "s_suppkey")
+                .selectExpr("*", f"head_lon + {STEP_DEG}D * {_offset('lon', 'branch', 'seq')} "
+                                 "+ (p_partkey % 13) * 0.000003D AS lon",
+                            f"head_lat + {STEP_DEG}D * {_offset('lat', 'branch', 'seq')} "
+                            "+ (p_size % 7) * 0.00001D AS lat"))
 
     def poles(self) -> DataFrame:
         n = self.n_lines
         parent = (f"CASE WHEN idx = 0 THEN NULL WHEN idx = 10 THEN p_partkey - 8 * {n} "
                   f"WHEN idx = 15 THEN p_partkey - 10 * {n} ELSE p_partkey - {n} END")
         return self._positions().selectExpr(
-            "concat('P', p_partkey) AS pole_id", "s_name AS line_id", "concat_ws('-', s_name, branch) AS branch_id",
+            "concat('P', p_partkey) AS pole_id", "s_name AS line_id", f"concat(s_name, {_SUFFIX.format('branch')}) AS branch_id",
             "seq AS branch_seq", f"concat('P', {parent}) AS parent_pole_id", "lon", "lat",
             "CAST(1940 + (p_partkey * 7) % 80 AS INT) AS install_year",
             _pick("'CEDAR', 'PINE', 'STEEL'", "p_partkey % 3") + " AS material", "10.0D + p_size % 6 AS height_m")
@@ -136,20 +124,20 @@ class MappedTables:
             _pick("'A', 'B', 'C'", "p_partkey % 9 div 3") + " AS phase", "p_brand AS manufacturer")
 
     def _devices(self) -> DataFrame:
-        lon, lat = _place("s_nationkey", _DEVICE_CASE)
-        fault_lon, fault_lat = _place("s_nationkey", _FAULT_CASE)
+        """Three devices per line: at the substation and at the first pole of each lateral."""
         suffix = _pick("'_DJ', '_F1', '_F2'", "b")
-        return (self._read("supplier").selectExpr("s_suppkey", "s_name", "s_nationkey", "explode(array(0, 1, 2)) AS b")
-                .selectExpr("*", f"s_suppkey + b * {self.n_lines} AS di",
+        at = {c: f"head_{c} + {STEP_DEG}D * {_offset(c, 'b', '1')}" for c in ("lon", "lat")}
+        return (self._suppliers().selectExpr("*", "explode(array(0, 1, 2)) AS b")
+                .selectExpr("s_suppkey", "s_name", "b", f"s_suppkey + b * {self.n_lines} AS di",
                             f"concat(s_name, {suffix}) AS device_id",
-                            f"{lon} AS lon", f"{lat} AS lat", f"{fault_lon} AS fault_lon", f"{fault_lat} AS fault_lat"))
+                            *[f"if(b = 0, head_{c}, {e}) AS {c}" for c, e in at.items()],
+                            *[f"{e} AS fault_{c}" for c, e in at.items()]))
 
     def protection_devices(self) -> DataFrame:
         n = self.n_lines
-        branch = _pick("'-T', '-L01', '-L02'", "b")
         return self._devices().selectExpr(
             "device_id", "CASE WHEN b = 0 THEN 'DISJONCTEUR' ELSE 'COUPE-CIRCUIT' END AS device_type",
-            "s_name AS line_id", f"concat(s_name, {branch}) AS protected_branch_id",
+            "s_name AS line_id", f"concat(s_name, {_SUFFIX.format('b')}) AS protected_branch_id",
             f"concat('P', CASE b WHEN 1 THEN s_suppkey + 10 * {n} WHEN 2 THEN s_suppkey + 15 * {n} END) AS pole_id",
             "lon", "lat", _pick("600, 65, 100", "b") + " AS rating_a",
             "CAST(1970 + s_suppkey % 50 AS INT) AS install_year")
