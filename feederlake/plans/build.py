@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from feederlake.operators.access import with_comments
 from feederlake.operators.snapshot import KeyedTable
 from feederlake.plans import gold, ops, risk, silver  # noqa: F401  (registers the products)
+from feederlake.plans.comments import COMMENTS
 from feederlake.plans.network import PRODUCTS, Network
 from feederlake.plans.ops import KEYS, VOLATILE
 
@@ -21,12 +23,16 @@ STORED = [
 
 
 def refresh(net: Network) -> dict[str, int]:
-    """Recompute all products into the network's store, then merge the operational tables."""
+    """Recompute all products into the network's store, then merge the operational tables.
+
+    With ``net.count_violations`` the quality counters of each silver table are in
+    ``net.observations`` afterwards; they are collected by the writes themselves.
+    """
     if net.store is None:
         raise ValueError("a refresh needs a table store")
     written = {}
     for name in STORED:
-        fresh: DataFrame = PRODUCTS[name](net)
+        fresh: DataFrame = with_comments(PRODUCTS[name](net), COMMENTS.get(name, {}))
         written[name] = net.store.replace(name, fresh)
         net.forget(name)
     for name, key in KEYS.items():

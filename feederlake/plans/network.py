@@ -89,7 +89,7 @@ class Network:
         """Apply quality rules, counting violations on the way if asked to."""
         observation = None
         if self.count_violations:
-            observation = self.observations.setdefault(name, Observation(f"quality.{name}"))
+            observation = self.observations[name] = Observation(f"quality.{name}")
         return enforce(df, rules, observation)
 
     def table(self, name: str) -> DataFrame:

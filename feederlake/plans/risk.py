@@ -19,6 +19,7 @@ from feederlake.plans.gold import transformer_profile
 from feederlake.plans.network import Network, product
 from feederlake.schemas import OVERLOAD_PCT, TIER_HIGH, TIER_LOW, TIER_MEDIUM
 from feederlake.session import settle, shared_folder
+from feederlake.sources.tables import TableStore
 
 FEATURES = ("max_overload_pct", "p95_overload_pct", "days_over_120", "days_over_150", "kva_per_degree_below_15",
             "kva", "age_years", "n_customers", "electric_heating_share", "customers_per_10kva", "is_urban")
@@ -141,10 +142,31 @@ def evaluate(net: Network, spec: ModelSpec) -> DataFrame:
     return quality(settle(with_score(test, fit(train, spec)), "held-out"))
 
 
+MODEL_TABLE = "models.overload"
+
+
+def publish(store: TableStore, model: PipelineModel) -> int:
+    """Save the model as the next version and point the champion at it."""
+    version = store.version(MODEL_TABLE) + 1
+    path = f"{store.root}/{MODEL_TABLE}.v{version}"
+    model.write().overwrite().save(path)
+    pointer = store.spark.createDataFrame([("champion", version, path)], "alias string, version int, path string")
+    return store.replace(MODEL_TABLE, pointer, version=version)
+
+
+def champion(store: TableStore, version: int | None = None) -> tuple[int, PipelineModel]:
+    """The current champion, or a given earlier version."""
+    row = store.read(MODEL_TABLE, version).first()
+    return row.version, PipelineModel.load(row.path)
+
+
 def boosted_scorer(spec: ModelSpec) -> Callable[[Network, DataFrame], DataFrame]:
-    """Fit on every transformer of the feature winter, then score."""
+    """Fit on every transformer of the feature winter, publish where there is a store, then score."""
     def score(net: Network, features: DataFrame) -> DataFrame:
-        return with_score(features, fit(settle(training_set(net), "training"), spec))
+        model = fit(settle(training_set(net), "training"), spec)
+        if net.store is not None:
+            net.model_version = publish(net.store, model)
+        return with_score(features, model)
 
     return score
 
@@ -163,8 +185,8 @@ def overload_tier(score: Column) -> Column:
 @product("gold.transformer_risk")
 def transformer_risk(net: Network) -> DataFrame:
     features = winter_features(net, net.settings.label_winter)
-    score = net.scorer or boosted_scorer(ModelSpec())
-    return score(net, features).select(
+    scored = (net.scorer or boosted_scorer(ModelSpec()))(net, features)
+    return scored.select(
         "transformer_id", "line_id", "ced_code", F.lit(net.settings.target_winter).alias("target_winter"),
         "risk_score", overload_tier(F.col("risk_score")).alias("risk_tier"),
         F.col("max_overload_pct").alias("max_overload_pct_last_winter"),

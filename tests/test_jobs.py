@@ -121,8 +121,11 @@ def test_refresh_stores_every_product_and_is_repeatable(spark, folder, root):
     settings = Settings(AS_OF, FEATURE_WINTER, LABEL_WINTER)
     net = Network(spark, tables.entity, settings, relanded=False, store=TableStore(spark, root),
                   scorer=risk.last_winter_scorer)
+    net.count_violations = True
     written = refresh(net)
     assert set(STORED) <= set(written)
+    assert net.observations["outages"].get["valid_customers"] == 0
+    assert "/" in net.store.read("gold.outages").schema["chi"].metadata["comment"]
     stored = Network(spark, tables.entity, settings, relanded=False, store=net.store)
     fresh = Network(spark, tables.entity, settings, relanded=False, scorer=risk.last_winter_scorer)
     view, plain = (SecuredView(n, MASKED_CALLER, access(n)) for n in (stored, fresh))
@@ -149,6 +152,19 @@ def test_model_beats_chance_on_a_planted_signal(spark):
     assert quality.model_recall_at_0_5 >= quality.baseline_last_winter_recall
 
 
+def test_models_are_versioned_with_a_champion(spark, root):
+    rows = spark.range(60).selectExpr(
+        "concat('T', id) AS transformer_id", *[f"CAST(id AS DOUBLE) AS {c}" for c in risk.FEATURES],
+        "CAST(id > 30 AS INT) AS overload_next_winter")
+    store = TableStore(spark, root)
+    spec = risk.ModelSpec(rounds=1)
+    assert [risk.publish(store, risk.fit(rows, spec)) for _ in range(2)] == [1, 2]
+    version, model = risk.champion(store)
+    assert version == 2 and risk.champion(store, 1)[0] == 1
+    scores = {r.transformer_id: r.risk_score for r in risk.with_score(rows, model).collect()}
+    assert scores["T50"] > 0.5 > scores["T5"]
+
+
 def test_tiers_are_right_closed(spark):
     scores = spark.sql("SELECT explode(array(0.3D, 0.31D, 0.6D, 0.61D)) AS s")
     assert [r[0] for r in scores.select(risk.overload_tier(F.col("s"))).collect()] == ["FAIBLE", "MOYEN", "MOYEN", "ÉLEVÉ"]
