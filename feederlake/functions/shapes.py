@@ -134,17 +134,18 @@ def polygon_area_m2(rings: str) -> str:
     return f"(2.0D * element_at({areas}, 1) - aggregate({areas}, 0.0D, (total, v) -> total + v))"
 
 
-def ring_centroid(ring: str) -> tuple[str, str]:
-    """Area-weighted centroid of a closed ring, in the ring's own lon/lat plane.
+def ring_centroid(ring: str) -> str:
+    """Area-weighted centroid of a closed ring as struct(lon, lat), in the ring's own lon/lat plane.
 
     Coordinates are taken relative to the first vertex: a zone is tiny against
     its longitude, and the raw cross products would cancel.
     """
     lon0, lat0 = f"{ring}[0].lon", f"{ring}[0].lat"
     local = f"transform({ring}, p -> named_struct('x', p.lon - {lon0}, 'y', p.lat - {lat0}))"
-    twice = _sum_edges(local, _CROSS)
-    mx, my = _sum_edges(local, f"(a.x + b.x) * {_CROSS}"), _sum_edges(local, f"(a.y + b.y) * {_CROSS}")
-    return f"({lon0} + {mx} / (3.0D * {twice}))", f"({lat0} + {my} / (3.0D * {twice}))"
+    edges = f"zip_with({leading(local)}, {following(local)}, (a, b) -> named_struct('a', a, 'b', b, 'w', {_CROSS}))"
+    add = ("named_struct('w', s.w + e.w, 'x', s.x + (e.a.x + e.b.x) * e.w, 'y', s.y + (e.a.y + e.b.y) * e.w)")
+    return (f"aggregate({edges}, named_struct('w', 0.0D, 'x', 0.0D, 'y', 0.0D), (s, e) -> {add}, "
+            f"s -> named_struct('lon', {lon0} + s.x / (3.0D * s.w), 'lat', {lat0} + s.y / (3.0D * s.w)))")
 
 
 def bounds(rings: str) -> dict[str, str]:

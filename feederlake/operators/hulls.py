@@ -26,9 +26,9 @@ HELD_ROWS = 200_000
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull vertices of an (n, 2) array, without collinear ones."""
-    points = np.unique(points, axis=0)
-    if len(points) < 3:
-        return points
+    listed = sorted(set(map(tuple, points.tolist())))
+    if len(listed) < 3:
+        return np.array(listed)
 
     def half(ordered) -> list:
         chain: list = []
@@ -41,7 +41,6 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
             chain.append((px, py))
         return chain
 
-    listed = points.tolist()
     return np.array(half(listed)[:-1] + half(reversed(listed))[:-1])
 
 
@@ -99,14 +98,11 @@ def _partial(key: str):
 
 def _finish(key: str, margin: float):
     def rings(frame: pd.DataFrame) -> pd.DataFrame:
-        out = {key: [], "xs": [], "ys": []}
-        for name, group in frame.groupby(key, sort=False):
-            hull = convex_hull(group[["x", "y"]].to_numpy(float))
-            ring = widen(hull, margin)
-            out[key].append(name)
-            out["xs"].append(ring[:, 0].tolist())
-            out["ys"].append(ring[:, 1].tolist())
-        return pd.DataFrame(out)
+        # thinned groups: each already lists its hull, in order
+        names, points = frame[key].to_numpy(), frame[["x", "y"]].to_numpy(float)
+        starts = np.r_[0, np.flatnonzero(names[1:] != names[:-1]) + 1]
+        closed = [widen(hull, margin) for hull in np.split(points, starts[1:])]
+        return pd.DataFrame({key: names[starts], "xs": [r[:, 0] for r in closed], "ys": [r[:, 1] for r in closed]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry: pd.DataFrame | None = None
@@ -131,7 +127,9 @@ def hull_rings(points: DataFrame, key: str, margin_m: float) -> DataFrame:
     """(key, x, y) points -> (key, ring) with ring an array of struct(x, y)."""
     slim = points.select(F.col(key).cast("string").alias(key), "x", "y")
     thinned = slim.mapInPandas(_partial(key), f"{key} string, x double, y double")
-    ordered = thinned.repartition(key).sortWithinPartitions(key)
+    # a given number of partitions: the rows are few, but each group is work for Python
+    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = thinned.repartition(partitions, key).sortWithinPartitions(key)
     rings = ordered.mapInPandas(_finish(key, margin_m), f"{key} string, xs array<double>, ys array<double>")
     return rings.select(
         key,

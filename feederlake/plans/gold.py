@@ -351,9 +351,9 @@ def zone_outlines(net: Network, only: DataFrame | None = None) -> DataFrame:
     shaped = rings.select(
         "zone_id", F.expr(f"round({planar_ring_area('ring')} / 1e6D, 3)").alias("zone_area_km2"),
         F.expr(ring_degrees("ring")).alias("zone_ring"))
-    lon, lat = ring_centroid("zone_ring")
-    return shaped.selectExpr("zone_id", "zone_area_km2", f"{lon} AS centroid_lon", f"{lat} AS centroid_lat",
-                             "zone_ring")
+    return (shaped.selectExpr("*", f"{ring_centroid('zone_ring')} AS centre")
+            .selectExpr("zone_id", "zone_area_km2", "centre.lon AS centroid_lon", "centre.lat AS centroid_lat",
+                        "zone_ring"))
 
 
 @product("gold.zone_shapes")
