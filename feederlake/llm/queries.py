@@ -5,19 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feederlake.llm import simhash
+from feederlake.llm import crf, gam, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return crf.judged(docs, crf.fit(docs, table(spark, folder, "labels"))).select("row.doc_id", "*").drop("row")
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = gam.score(docs, gam.fit(docs, table(spark, folder, "labels")))
+    held_out = F.expr("coalesce(crc32(cast(row.doc_id AS string)) % 5 = 0, false)")
+    return scored.select("row.doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), width=3, radius=2).drop("links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_rules": op1_line_rules,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
 }
 SQL: dict[str, str] = {}
