@@ -18,6 +18,8 @@ from feederlake.session import settle
 END = 2
 #: Pieces of one length that are numbered together in one task.
 NUMBERED_TOGETHER = 50_000
+#: (epsilon, favour) of the price settings that are tried.
+PRICES = ((0.02, 0.0), (0.02, 0.1), (0.0, 0.1))
 
 
 def pieces(
@@ -84,12 +86,13 @@ def _price(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray
 
 
 def solve(
-    lengths: np.ndarray, wanted: np.ndarray, capacity: int, epsilon: float = 0.02
+    lengths: np.ndarray, wanted: np.ndarray, capacity: int, epsilon: float, favour: float
 ) -> list[tuple[float, np.ndarray]]:
     """A fractional cover of the demands: configurations (how many of each length) and how often each is used.
 
-    Multiplicative weights: the price of a length is its size times exp(epsilon * share not covered yet). In each turn
-    the longest length that is not covered asks for the configuration of greatest price around it, found by a knapsack,
+    Multiplicative weights: the price of a length is its size times exp(epsilon * share not covered yet), and a little
+    more for long ones, by `favour`, so that of two full configurations the one with fewer items wins. In each turn the
+    longest length that is not covered asks for the configuration of greatest price around it, found by a knapsack,
     which is used until one of its lengths is covered; covered lengths leave. A turn covers a length, so there are at
     most as many configurations as lengths.
     """
@@ -103,7 +106,8 @@ def solve(
         room = capacity - int(lengths[longest])
         fill = open_[lengths[open_] <= room]
         if fill.size:
-            prices = lengths[fill] / capacity * np.exp(epsilon * left[fill] / total[fill])
+            size = lengths[fill] / capacity
+            prices = size * (1 + favour * size) * np.exp(epsilon * left[fill] / total[fill])
             counts[fill] = _price(prices, lengths[fill], room)
         counts[longest] += 1
         # never more of a length than there is
@@ -157,22 +161,28 @@ class Plan:
         return self.sequence[at] + turn, self.offset[at] + slot * length
 
 
+def _rounded(lengths: np.ndarray, wanted: np.ndarray, capacity: int, epsilon: float, favour: float
+             ) -> list[tuple[int, np.ndarray]]:
+    """The solution with every use rounded down, and what that leaves packed best-fit decreasing."""
+    used = [(int(times + 1e-9), counts) for times, counts in solve(lengths, wanted, capacity, epsilon, favour)]
+    left = wanted - sum((times * counts for times, counts in used), np.zeros_like(wanted))
+    return [u for u in used if u[0]] + [(1, counts) for counts in best_fit(lengths, left, capacity)]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Solve the linear program, round every use down, and pack what is left best-fit decreasing."""
+    """Solve and round under a few price settings; the plan with the fewest sequences counts."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     wanted = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    used = [(int(times + 1e-9), counts) for times, counts in solve(lengths, wanted, capacity)] if len(lengths) else []
-    left = wanted - sum((times * counts for times, counts in used), np.zeros_like(wanted))
-    used += [(1, counts) for counts in best_fit(lengths, left, capacity)]
+    tried = [_rounded(lengths, wanted, capacity, *setting) for setting in PRICES]
+    used = min(tried, key=lambda u: sum(times for times, _ in u))
     ranks, rows, sequence = np.zeros(len(lengths), dtype=np.int64), [], 0
     for times, counts in used:
-        if times:
-            offset = 0
-            for k in np.flatnonzero(counts)[::-1]:
-                rows.append((lengths[k], ranks[k], counts[k], sequence, offset))
-                offset += int(counts[k] * lengths[k])
-                ranks[k] += times * counts[k]
-            sequence += times
+        offset = 0
+        for k in np.flatnonzero(counts)[::-1]:
+            rows.append((lengths[k], ranks[k], counts[k], sequence, offset))
+            offset += int(counts[k] * lengths[k])
+            ranks[k] += times * counts[k]
+        sequence += times
     table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
     return Plan(*table.T, sequence)
 
