@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederlake.llm import crf, gam, packing, simhash
+from feederlake.llm import crf, gam, packing, repeats, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,10 +35,16 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"), length=200).select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_rules": op1_line_rules,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op10_repeats": op10_repeats,
 }
 SQL: dict[str, str] = {}
