@@ -264,14 +264,14 @@ def _offsets(column: pa.ChunkedArray) -> np.ndarray:
 
 def without_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 200, together: int = TOGETHER,
-    block: int = BLOCK,
+    block: int = BLOCK, as_text: bool = False,
 ) -> DataFrame:
     """(row, kept, n_bytes, n_removed, n_spans): each row of `docs` as a struct and the bytes that stay of its text.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in this text or another; what is
     left is not looked at again. NULL counts as empty; texts shorter than `length` stay whole. Equal rows are copies of
-    each other, so nothing stays of them if they are long enough. A cut may fall inside a character; kept is binary.
-    Other columns travel in `row`.
+    each other, so nothing stays of them if they are long enough. A cut may fall inside a character, so kept is binary;
+    as_text makes it a string, without what is left of such characters. Other columns travel in `row`.
     """
     if not ANCHOR < length <= 255 + ANCHOR:
         raise ValueError(f"length must be over {ANCHOR} and at most {255 + ANCHOR}")
@@ -310,11 +310,13 @@ def without_repeats(
         counts = np.concatenate(([0], np.cumsum(begins, dtype=np.int64)))
         left = data[~hit].tobytes()
         ends = np.concatenate(([0], np.cumsum(np.diff(bounds) - removed))).tolist()
+        kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         yield {
             "row": batch.column(0),
-            "kept": pa.array([left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.binary()),
+            "kept": pa.array([k.decode(errors="ignore") for k in kept] if as_text else kept, type=kept_type),
             "n_bytes": np.diff(bounds), "n_removed": removed, "n_spans": counts[bounds[1:]] - counts[bounds[:-1]]}
 
+    kept_type = pa.string() if as_text else pa.binary()
     joined = rows.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
-    kind = joined.schema["row"].dataType.simpleString()
-    return map_batches(joined, per_batch, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    kind = f"{joined.schema['row'].dataType.simpleString()}, kept {'string' if as_text else 'binary'}"
+    return map_batches(joined, per_batch, f"row {kind}, n_bytes long, n_removed long, n_spans long")

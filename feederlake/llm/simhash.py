@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +38,18 @@ def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(carry), SEED)], dtype=np.uint64)
 
 
+def _majority(hashes: np.ndarray, counts: np.ndarray) -> None:
+    """Add to `counts` how many hashes have each of the 64 bits, the highest first."""
+    for at in range(0, len(hashes), 1 << 15):
+        bits = np.unpackbits(hashes[at:at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.int32)
+
+
 def fingerprint(text: bytes, width: int) -> int:
     """A bit is set if it is set in more than half of the shingle hashes; 0 for a text without words."""
     counts, total = np.zeros(64, dtype=np.int64), 0
     for hashes in shingle_hashes(text, width):
-        for at in range(0, len(hashes), 1 << 15):
-            bits = np.unpackbits(hashes[at:at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            counts += bits.sum(axis=0, dtype=np.int32)
+        _majority(hashes, counts)
         total += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
@@ -113,3 +119,118 @@ def near_duplicates(
         "fingerprint", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
+#: 64-bit words of a long fingerprint, and the tables of 16 bits of it in which copies are looked for.
+WORDS, TABLES = 4, 6
+
+
+def _stirred(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another hash for each hash; the same one for turn 0."""
+    if not turn:
+        return hashes
+    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(text: bytes, width: int) -> tuple[list[int], list[int]]:
+    """WORDS words of majority bits, and the smallest of the shingle hashes under TABLES orders."""
+    counts, total = np.zeros((WORDS, 64), dtype=np.int64), 0
+    least = np.full(TABLES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for hashes in shingle_hashes(text, width):
+        for turn in range(WORDS):
+            _majority(_stirred(hashes, turn), counts[turn])
+        for turn in range(TABLES):
+            least[turn] = min(least[turn], _stirred(hashes, WORDS + turn).min())
+        total += len(hashes)
+    bits = np.packbits(2 * counts > total, axis=1).view(">u8").astype(np.uint64).ravel()
+    return bits.view(np.int64).tolist(), least.view(np.int64).tolist()
+
+
+def distance_limit(similarity: float) -> int:
+    """Differing bits of a long fingerprint up to which texts count as that similar.
+
+    Sets of shingles with Jaccard similarity s have the cosine 2s / (1 + s), and each bit differs with the share that
+    their angle has of half a turn. One standard deviation is granted.
+    """
+    bits = 64 * WORDS
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(k2, shingles): the different shingle hashes of each wanted text, taken from one of the rows that have it."""
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+        data, bounds = text_bytes(batch.column(1))
+        raw = data.tobytes()
+        found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(raw[a:b], width)])).view(np.int64)
+                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield {"k2": batch.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))}
+
+    texts = rows.join(wanted, "k2").select("k2", "text").dropDuplicates(["k2"])
+    return map_batches(texts, per_batch, "k2 long, shingles array<long>")
+
+
+def without_near_copies(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The rows of `docs` without near copies: of each group the one with the smallest doc_id stays, once.
+
+    Texts are near copies if the Jaccard similarity of their sets of `width`-word shingles is `similarity` or more. Such texts seldom lie within two bits in 64, so the balls are thrown around six
+    pieces of 16 bits: texts meet in a table if their pieces are at most two bits apart and the smallest of their
+    shingle hashes is the same, which keeps strangers out however large the corpus is. At a similarity of 0.8 a table
+    joins a pair with a chance of about 0.44 and the six with 0.97, more above. Those who meet are tied to the smallest
+    and the largest among them; pairs whose long fingerprints are near enough are compared by their whole sets of
+    shingles, and groups are connected components.
+
+    Equal texts are one node. NULL text counts as empty; rows without words are copies of each other. A NULL doc_id
+    counts as larger than any other. All columns of `docs` are returned, whatever their names.
+    """
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+        data, bounds = text_bytes(batch.column(2))
+        raw = data.tobytes()
+        marks = [long_fingerprint(raw[a:b], width) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield {"k1": batch.column(0), "k2": batch.column(1), "bits": pa.array([m[0] for m in marks], pa.list_(pa.int64())),
+               "least": pa.array([m[1] for m in marks], pa.list_(pa.int64()))}
+
+    prepare(docs.sparkSession)
+    key = [F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("k1"),
+           F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("k2")]
+    rows = docs.select(*key, F.col(text_column).alias("text"))
+    marked = settle(
+        map_batches(rows, per_batch, "k1 long, k2 long, bits array<long>, least array<long>"), "fingerprints")
+    nodes = settle(marked.groupBy("k2").agg(
+        F.min("k1").alias("k1"), F.first("bits").alias("bits"), F.first("least").alias("least")), "nodes")
+    piece = "shiftright(bits[t div 4], 16 * (t % 4)) & 65535"
+    ball = "concat(array(piece), transform(sequence(0, 15), i -> piece ^ shiftleft(1L, i)))"
+    met = (
+        nodes.select("k2", "bits", "least", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t"))
+        .select("k2", "t", F.expr(piece).alias("piece"), F.expr("least[t]").alias("shared"))
+        .select("k2", "t", "shared", F.explode(F.expr(ball)).alias("variant"))
+        .select("k2", F.xxhash64("t", "shared", "variant").alias("place"))
+    )
+    ends = met.groupBy("place").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo < hi")
+    tied = met.join(ends, "place").select("k2", F.explode(F.array("lo", "hi")).alias("end")).where("k2 <> end")
+    pairs = tied.select(F.least("k2", "end").alias("lo"), F.greatest("k2", "end").alias("hi")).distinct()
+    apart = " + ".join(f"bit_count(a[{w}] ^ b[{w}])" for w in range(WORDS))
+    likely = settle(
+        pairs.join(nodes.select(F.col("k2").alias("lo"), F.col("bits").alias("a")), "lo")
+        .join(nodes.select(F.col("k2").alias("hi"), F.col("bits").alias("b")), "hi")
+        .where(f"{apart} <= {distance_limit(similarity)}").select("lo", "hi"), "pairs")
+    sets = settle(shingle_sets(rows, likely.select(F.explode(F.array("lo", "hi")).alias("k2")).distinct(), width), "sets")
+    common = "size(array_intersect(a, b))"
+    near = settle(
+        likely.join(sets.select(F.col("k2").alias("lo"), F.col("shingles").alias("a")), "lo")
+        .join(sets.select(F.col("k2").alias("hi"), F.col("shingles").alias("b")), "hi")
+        .where(f"{common} >= {similarity}D * (size(a) + size(b) - {common})").select("lo", "hi"), "near")
+    part = components(near, "lo", "hi").withColumnRenamed("node", "k2")
+    kept = (
+        nodes.join(part, "k2", "left").groupBy(F.coalesce("component", "k2").alias("component"))
+        .agg(F.min(F.struct("k1", "k2")).alias("key")).select("key.*")
+    )
+    held = docs.select(F.struct("*").alias("row"), *key).join(kept, ["k1", "k2"], "left_semi")
+    return held.dropDuplicates(["k1", "k2"]).select("row.*")
