@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederlake.llm import bpe, crf, gam, packing, repeats, simhash
+from feederlake.llm import bpe, crf, gam, order_minhash, packing, repeats, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.compared(table(spark, folder, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), vocabulary), vocabulary)
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_order_minhash": op8_order_minhash,
     "op9_bpe": op9_bpe,
     "op10_repeats": op10_repeats,
 }
