@@ -243,8 +243,8 @@ def _settled(windows: DataFrame, length: int, block: int) -> DataFrame:
             cuts = np.flatnonzero(route[1:] != route[:-1]) + 1  # whole routes only; the last may go on
             volume = np.concatenate(([0], np.cumsum(np.diff(_offsets(table["bytes"])))))
             done = 0
-            for cut, after in zip(cuts, [*cuts[1:], None], strict=True):
-                if after is None or volume[after] - volume[done] > block:
+            for k, cut in enumerate(cuts.tolist()):
+                if k + 1 == len(cuts) or volume[cuts[k + 1]] - volume[done] > block:
                     yield compare(table.slice(done, cut - done))
                     done = cut
             held = [table.slice(done)]
