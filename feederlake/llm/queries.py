@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederlake.llm import bpe, chat, crf, gam, order_minhash, packing, repeats, simhash
+from feederlake.llm import bpe, chat, crf, gam, licenses, order_minhash, packing, repeats, simhash, token_rollup
+from feederlake.session import scratch_path, settle
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +28,54 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("row.doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+#: Two versions of counting: words between white space, and runs of letters, runs of digits and single signs.
+COUNTERS = {"words-1": r"[^\x20\x09-\x0D]+", "signs-2": r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"}
+
+
+def op2_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches of changes over all documents: inserts under the first counter; texts that are not English are
+    recounted under the second one's rules (a revision) while all are inserted for the second version; texts of under
+    50 words are deleted again. The second batch is committed twice."""
+    counts = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "source", "lang",
+        *(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(p)).cast("long").alias(f"n{i}")
+          for i, p in enumerate(COUNTERS.values())))
+    counts = settle(counts, "counts")
+    words, signs = COUNTERS
+    kept = F.when(F.col("lang") == "en", F.col("n0")).otherwise(F.col("n1"))
+
+    def change(rows: DataFrame, op: str, tokenizer: str, now: str | F.Column | None, before: str | F.Column | None
+               ) -> DataFrame:
+        text, none = F.lit(None).cast("string"), F.lit(None).cast("long")
+        value = lambda c: none if c is None else F.col(c) if isinstance(c, str) else c
+        return rows.select(
+            F.concat_ws(":", F.lit(op), F.lit(tokenizer), "id").alias("change_id"), F.lit(op).alias("op"),
+            F.lit(tokenizer).alias("tokenizer"), *((F.col(c) if now is not None else text).alias(c) for c in ("source", "lang")),
+            value(now).alias("n_tokens"), *((F.col(c) if before is not None else text).alias(f"old_{c}") for c in ("source", "lang")),
+            value(before).alias("old_tokens"))
+
+    second = change(counts.where("lang <> 'en' OR lang IS NULL"), "revise", words, "n1", "n0").unionByName(
+        change(counts, "insert", signs, "n1", None))
+    short = counts.where("n0 < 50")
+    third = change(short, "delete", words, None, kept).unionByName(change(short, "delete", signs, None, "n1"))
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, "rollup"))
+    for number, batch in ((1, change(counts, "insert", words, "n0", None)), (2, second), (2, second), (3, third)):
+        rollup.commit(number, batch)
+    return rollup.totals()
+
+
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree: source/language/number; short texts with a licence line are licence files, some of
+    them one or two levels up."""
+    docs = table(spark, folder, "documents")
+    short = F.col("text").rlike(licenses.CUE) & (F.octet_length("text") < 400)
+    level = F.when(~short, 3).otherwise(F.col("doc_id") % 3 + 1)
+    folder_of = F.slice(F.array("source", "lang", F.concat(F.lit("d"), (F.col("doc_id") % 8).cast("string"))), F.lit(1), level.cast("int"))
+    name = F.concat(F.when(short, "LICENSE.").otherwise("file."), F.col("doc_id").cast("string"))
+    files = docs.select(F.concat_ws("/", F.array_join(folder_of, "/"), name).alias("path"), "text")
+    return licenses.resolved(files)
+
+
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     hostile = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame(
@@ -64,6 +113,8 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_rules": op1_line_rules,
+    "op2_token_rollup": op2_token_rollup,
+    "op3_licenses": op3_licenses,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
@@ -72,4 +123,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_repeats": op10_repeats,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_token_rollup": """
+    WITH counts AS (
+        SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n0,
+               len(regexp_extract_all(coalesce(text, ''), '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]')) AS n1
+        FROM documents
+    )
+    SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens
+    FROM (SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN lang = 'en' THEN n0 ELSE n1 END AS n FROM counts WHERE n0 >= 50
+          UNION ALL SELECT source, lang, 'signs-2', n1 FROM counts WHERE n0 >= 50) AS t
+    GROUP BY ALL""", "op3_licenses": """
+    WITH files AS (
+        SELECT array_to_string(list_concat(CASE WHEN NOT small THEN [source, lang, 'd' || (doc_id % 8)] WHEN doc_id % 3 = 0
+                   THEN [source] WHEN doc_id % 3 = 1 THEN [source, lang] ELSE [source, lang, 'd' || (doc_id % 8)] END,
+                   [CASE WHEN small THEN 'LICENSE.' ELSE 'file.' END || doc_id]), '/') AS path, text
+        FROM (SELECT *, strlen(text) < 400 AND regexp_matches(text, '{cue}') AS small FROM documents) AS d
+    ), lines AS (
+        SELECT DISTINCT path, line_no, line
+        FROM (SELECT path, unnest(string_split(text, chr(10))) AS line,
+                     unnest(range(len(string_split(text, chr(10))))) AS line_no FROM files) AS l
+        WHERE regexp_matches(line, '{cue}')
+    ), counted AS (
+        SELECT path, line_no, term, count(*) AS tf
+        FROM (SELECT path, line_no, unnest(regexp_extract_all(lower(line), '{word}')) AS term FROM lines) AS t GROUP BY ALL
+    ), templates(template, license, line) AS (VALUES {templates}
+    ), shaped AS (
+        SELECT template, license, term, count(*) AS tf
+        FROM (SELECT template, license, unnest(regexp_extract_all(lower(line), '{word}')) AS term FROM templates) AS t
+        GROUP BY ALL
+    ), df AS (
+        SELECT term, count(c.tf) AS df FROM (SELECT DISTINCT term FROM shaped) AS w LEFT JOIN counted AS c USING (term) GROUP BY term
+    ), mine AS (
+        SELECT path, line_no, term, (1 + ln(tf::DOUBLE)) * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) AS weight
+        FROM counted LEFT JOIN df USING (term), (SELECT count(*) AS n FROM lines) AS total
+    ), theirs AS (
+        SELECT template, license, term, (1 + ln(tf::DOUBLE)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS weight
+        FROM shaped JOIN df USING (term), (SELECT count(*) AS n FROM lines) AS total
+    ), scored AS (
+        SELECT path, line_no, template, license, sum(m.weight * t.weight) / max(mn.norm * tn.norm) AS score
+        FROM mine AS m JOIN theirs AS t USING (term)
+        JOIN (SELECT path, line_no, sqrt(sum(weight * weight)) AS norm FROM mine GROUP BY ALL) AS mn USING (path, line_no)
+        JOIN (SELECT template, sqrt(sum(weight * weight)) AS norm FROM theirs GROUP BY ALL) AS tn USING (template)
+        GROUP BY path, line_no, template, license
+    ), own AS (
+        SELECT DISTINCT ON (path) path, license, round(score, 6) AS score FROM scored WHERE round(score, 6) >= 0.6
+        ORDER BY path, round(score, 6) DESC, license
+    ), holders AS (
+        SELECT DISTINCT ON (holder) * FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS holder, license, score FROM own
+            WHERE regexp_matches(path, '/LICENSE')) AS h ORDER BY holder, score DESC, license
+    ), nearest AS (
+        SELECT DISTINCT ON (path) path, h.holder, h.license, h.score FROM files AS f JOIN holders AS h
+            ON starts_with(f.path, h.holder || '/') ORDER BY path, length(h.holder) DESC
+    )
+    SELECT f.path, coalesce(o.license, n.license) AS license, coalesce(o.score, n.score) AS score,
+           CASE WHEN o.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+           CASE WHEN o.license IS NULL THEN n.holder END AS from_directory
+    FROM files AS f LEFT JOIN own AS o USING (path) LEFT JOIN nearest AS n USING (path)""".format(
+        cue=licenses.CUE, word="[a-z0-9]+(?:[.-][a-z0-9]+)*",
+        templates=", ".join(f"({n}, '{i}', '{t}')" for n, (i, t) in enumerate(licenses.TEMPLATES)))}
