@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 GROUP = ("source", "lang", "tokenizer")
 #: One change: `change_id` is unique within its batch; `op` is insert, delete or revise; the old columns hold what was
@@ -59,6 +59,9 @@ class Rollup:
         try:
             batches = self.spark.read.schema("source string, lang string, tokenizer string, n_docs long, n_tokens long"
                                              ).parquet(self.path)
-        except AnalysisException:  # nothing was committed yet
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # nothing was committed yet
             batches = self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
         return summed(batches).where("n_docs <> 0 OR n_tokens <> 0")
