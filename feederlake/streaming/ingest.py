@@ -1,11 +1,20 @@
 """Incremental ingestion of landed files into bronze tables.
 
-Every file is read once; the stream's checkpoint remembers which. A run handles
-what is there and stops.
+A stream over the names of the landed files remembers in its checkpoint which ones
+were read. Each of its batches is read by column name and written to a folder of its
+own, so a batch that is repeated after a failure replaces itself. A run handles what
+is there and stops; old files are not opened again.
 """
 
 from __future__ import annotations
 
+import csv
+import json
+from collections import defaultdict
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +23,8 @@ from feederlake.operators.latest import LINEAGE
 from feederlake.schemas import EXTRACTS, Extract
 
 FILES_PER_BATCH = 10_000
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+_LINEAGE = T.StructType([T.StructField("_source_file", T.StringType()), T.StructField("_ingested_at", T.TimestampType())])
 
 
 class Landing:
@@ -36,79 +47,100 @@ class Landing:
 
     # ------------------------------------------------------------ schema
 
-    def _known(self, extract: Extract) -> T.StructType:
-        """Declared columns, then those an earlier run has added."""
-        declared = T.StructType.fromDDL(extract.columns)
+    def schema(self, name: str) -> T.StructType:
+        """Declared columns, then those that landed files have added, in the order of their arrival."""
+        declared = T.StructType.fromDDL(EXTRACTS[name].columns)
         try:
-            stored = self.bronze(extract.name).schema
-        except Exception:  # no bronze table yet
+            stored = self.spark.read.schema("value string").text(f"{self.bronze_root}/_schemas/{name}").withColumn(
+                "batch", F.col("batch").cast("long")).orderBy(F.desc("batch")).first()
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+                raise
             return declared
-        return _extend(declared, [f for f in stored.fields if f.name not in LINEAGE])
+        return T.StructType.fromJson(json.loads(stored.value)) if stored else declared
+
+    def _store_schema(self, name: str, batch: int, schema: T.StructType) -> None:
+        row = self.spark.createDataFrame([(schema.json(),)], "value string").coalesce(1)
+        row.write.mode("overwrite").text(f"{self.bronze_root}/_schemas/{name}/batch={batch}")
+
+    # ------------------------------------------------------------ files by column name
 
-    def _landed(self, extract: Extract, since: str | None) -> list[T.StructField]:
-        """Columns present in the files (newer than ``since``)."""
+    def _read(self, extract: Extract, files: list[str], known: T.StructType) -> tuple[DataFrame, T.StructType]:
+        """Rows of some files, and the schema grown by what is new in them."""
+        if extract.format == "csv":
+            return self._read_csv(files, known)
         reader = self.spark.read
-        if since is not None:
-            reader = reader.option("modifiedAfter", since)
-        path = self.folder(extract.name)
-        try:
-            if extract.format == "json":
-                return reader.json(path).schema.fields
-            if extract.format == "parquet":
-                return reader.option("mergeSchema", "true").parquet(path).schema.fields
-            return self._csv_fields(extract, path, since)
-        except Exception as error:  # nothing new in the folder
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return []
-            raise
-
-    def _csv_fields(self, extract: Extract, path: str, since: str | None) -> list[T.StructField]:
-        """Header lines start with the first declared column; types come from one file with the widest."""
-        first = T.StructType.fromDDL(extract.columns).fieldNames()[0]
-        reader = self.spark.read.option("modifiedAfter", since) if since is not None else self.spark.read
-        widest = (reader.text(path).filter(F.col("value").startswith(f"{first},"))
-                  .select(F.size(F.split("value", ",")).alias("n"), F.col("_metadata.file_path").alias("file"))
-                  .agg(F.max_by("file", "n")).first()[0])
-        if widest is None:
-            return []
-        return self.spark.read.csv(widest, header=True, inferSchema=True).schema.fields
-
-    def schema(self, name: str, since: str | None = None) -> T.StructType:
-        """Declared and known columns, with newly landed ones added at the end.
-
-        A CSV extract grows to the right; JSON and Parquet may add columns anywhere.
-        """
-        extract = EXTRACTS[name]
-        return _extend(self._known(extract), self._landed(extract, since))
+        found = reader.json(files) if extract.format == "json" else reader.option("mergeSchema", "true").parquet(*files)
+        grown = _extend(known, found.schema.fields)
+        return reader.schema(grown).format(extract.format).load(files), grown
+
+    def _read_csv(self, files: list[str], known: T.StructType) -> tuple[DataFrame, T.StructType]:
+        """Files with the same header are read together, each value under the name above it."""
+        lines = self.spark.read.text(files).select("value", "_metadata.file_path", "_metadata.file_block_start")
+        # the first line of the first block of each file
+        heads = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header")).collect()
+        groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+        for head in heads:
+            names = tuple(n.strip() for n in next(csv.reader([head.header.removeprefix("﻿")]), []))
+            if len(set(names)) < len(names) or "" in names:
+                raise ValueError(f"{head.file_path}: column names must be there and differ: {names}")
+            groups[names].append(unquote(head.file_path))
+        parts = []
+        for names, members in sorted(groups.items()):
+            if any(n not in known.names for n in names):
+                known = _extend(known, self.spark.read.csv(members, header=True, inferSchema=True).schema.fields)
+            own = T.StructType([known[n] for n in names])
+            parts.append(self.spark.read.schema(own).option("header", "true").csv(members))
+        rows = [p.withColumn("_source_file", F.col("_metadata.file_path")) for p in parts]
+        empty = self.spark.createDataFrame([], T.StructType(known.fields + _LINEAGE.fields[:1]))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows, empty), known
 
     # ------------------------------------------------------------ runs
 
-    def ingest(self, name: str, since: str | None = None) -> int:
+    def ingest(self, name: str) -> int:
         """Append what has landed since the last run; returns the rows added."""
         extract = EXTRACTS[name]
-        reader = (self.spark.readStream.format(extract.format).schema(self.schema(name, since))
-                  .option("maxFilesPerTrigger", FILES_PER_BATCH))
-        if extract.format == "csv":
-            reader = reader.option("header", "true")
-        rows = (reader.load(self.folder(name))
-                .withColumn("_source_file", F.col("_metadata.file_path"))
-                .withColumn("_ingested_at", F.current_timestamp()))
-        query = (rows.writeStream.format("parquet").outputMode("append")
-                 .option("path", self.table_path(name))
+        added: dict[int, int] = {}
+
+        def write(batch: DataFrame, number: int) -> None:
+            files = [row.path for row in batch.select("path").collect()]  # at most FILES_PER_BATCH names
+            if not files:
+                return
+            known = self.schema(name)
+            rows, grown = self._read(extract, files, known)
+            if grown != known or number == 0:
+                self._store_schema(name, number, grown)
+            if "_source_file" not in rows.columns:
+                rows = rows.withColumn("_source_file", F.col("_metadata.file_path"))
+            target = f"{self.table_path(name)}/batch={number}"
+            rows.withColumn("_ingested_at", F.current_timestamp()).select(*grown.names, *_LINEAGE.names).write.mode(
+                "overwrite").parquet(target)
+            added[number] = self.spark.read.parquet(target).count()
+
+        try:
+            names = (self.spark.readStream.format("binaryFile").schema(_FILE)
+                     .option("maxFilesPerTrigger", FILES_PER_BATCH).load(self.folder(name)))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+        query = (names.select("path").writeStream.foreachBatch(write)
                  .option("checkpointLocation", f"{self.bronze_root}/_checkpoints/{name}")
                  .trigger(availableNow=True).start())
         query.awaitTermination()
-        return sum(p["numInputRows"] for p in query.recentProgress)
+        return sum(added.values())
 
     def ingest_all(self) -> dict[str, int]:
         """The same for every registered extract."""
         return {name: self.ingest(name) for name in EXTRACTS}
 
     def bronze(self, name: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(self.table_path(name))
+        """All rows so far, under the stored schema; files from before a column was added have NULL there."""
+        schema = T.StructType(self.schema(name).fields + _LINEAGE.fields)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.table_path(name))
 
 
 def _extend(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:
-    known = {f.name for f in schema.fields}
+    known = {f.name for f in schema.fields} | set(LINEAGE)
     return T.StructType(schema.fields + [T.StructField(f.name, f.dataType, True) for f in fields
                                          if f.name not in known])
