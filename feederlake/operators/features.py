@@ -24,6 +24,10 @@ def wkt_to_geojson(wkt: Column) -> Column:
     head = r"(?is)^(\w+?)\s*(?:ZM|Z|M)?\s*\((.*)\)\s*$"
     kind = F.upper(F.regexp_extract(text, head, 1))
     body = F.regexp_extract(text, head, 2)
+    # JSON numbers have no plus sign, and digits on both sides of a point
+    for found, written in ((r"(^|[\s,(])\+", "$1"), (r"(^|[\s,(]-?)\.(\d)", "$10.$2"), (r"(\d)\.(?=[\s,)eE]|$)", "$1"),
+                           (r"(^|[\s,(]-?)0+(\d)", "$1$2")):
+        body = F.regexp_replace(body, found, written)
     pairs = F.regexp_replace(body, rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*", "[$1,$2]")
     pairs = F.regexp_replace(pairs, r"\s+", "")
     nested = F.translate(pairs, "()", "[]")
@@ -71,6 +75,7 @@ def to_features(df: DataFrame) -> DataFrame:
     kept = [c for c in df.columns if c != shape]
     properties = F.to_json(F.struct(*[_plain(df, c) for c in kept]), {"ignoreNullFields": "false"})
     geometry = F.coalesce(*options)
+    geometry = F.when(F.try_parse_json(geometry).isNotNull(), geometry)  # broken text has no place on a map
     feature = F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), properties,
                        F.lit("}"))
     return df.select(feature.alias("feature")).filter(F.col("feature").isNotNull())

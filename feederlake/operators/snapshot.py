@@ -47,6 +47,13 @@ def classify(old: DataFrame, new: DataFrame, key: str, volatile: Sequence[str] =
                          *[F.col(f"o.{c}").alias(c) for c in old_only])
 
 
+def check_keys(df: DataFrame, key: str, side: str) -> None:
+    """Raise if a key is NULL or stands on several rows: a full outer join would multiply them on every merge."""
+    wrong = df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()).take(1)
+    if wrong:
+        raise ValueError(f"{side}: key {key} = {wrong[0][0]!r} stands on {wrong[0]['count']} rows")
+
+
 def changes(old: DataFrame, new: DataFrame, key: str, volatile: Sequence[str] = ()) -> DataFrame:
     return classify(old, new, key, volatile).filter(F.col("_op") != SAME)
 
@@ -71,7 +78,10 @@ class KeyedTable:
         writes the same version again. Without a change nothing is written.
         """
         version = self.store.version(self.name)
+        new = settle(new, "incoming")
+        check_keys(new, self.key, "new rows")
         if version:
+            check_keys(self.snapshot(), self.key, f"{self.name} as stored")
             compared = classify(self.snapshot(), new, self.key, self.volatile)
         else:
             compared = new.select(F.lit(INSERT).alias("_op"), "*")
