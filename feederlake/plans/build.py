@@ -17,7 +17,7 @@ STORED = [
         "customers", "outages", "weather_daily", "transformer_load_daily")],
     *[f"gold.{n}" for n in (
         "operating_centers", "substations", "poles", "spans", "protection_devices", "customers_pii", "line_areas",
-        "lines", "line_shapes", "transformers", "transformer_load_daily", "outages", "zone_summary", "zone_shapes",
+        "lines", "line_shapes", "line_bounds", "transformers", "transformer_load_daily", "outages", "zone_summary", "zone_shapes",
         "protection_zones", "chi_hex", "transformer_risk", "zone_risk", "zone_risk_recommendations")],
 ]
 

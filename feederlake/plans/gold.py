@@ -24,7 +24,8 @@ from feederlake.schemas import (
     ZONE_MARGIN_M,
 )
 
-PART_SPANS = 5000
+#: Places along a branch whose spans are kept together; one grain for short and long lines.
+BLOCK_SPANS = 1000
 
 
 # ---------------------------------------------------------------- reference
@@ -129,9 +130,9 @@ def protection_devices(net: Network) -> DataFrame:
 
 
 def _branch_zone(net: Network) -> DataFrame:
-    """The device that protects each branch."""
-    return net.table("silver.protection_devices").select(
-        F.col("protected_branch_id").alias("branch_id"), F.col("device_id").alias("zone_id"))
+    """The device that protects each branch; of several the first by id, so that no asset is counted twice."""
+    return net.table("silver.protection_devices").groupBy(F.col("protected_branch_id").alias("branch_id")).agg(
+        F.min("device_id").alias("zone_id"))
 
 
 def _transformer_sites(net: Network) -> DataFrame:
@@ -186,22 +187,11 @@ def lines(net: Network) -> DataFrame:
                     F.round("area_m2", 0).alias("right_of_way_area_m2")))
 
 
-def _in_parts(net: Network, spans_df: DataFrame) -> DataFrame:
-    """Number the pieces a line's geometry is kept in.
-
-    Up to PART_SPANS spans a line is one piece; a longer one is spread over equal
-    pieces by span, so that no task has to hold all of it.
-    """
-    sizes = spans_df.groupBy("line_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(PART_SPANS)).cast("int").alias("n_parts"))
-    return spans_df.join(sizes, "line_id").withColumn(
-        "part", F.pmod(F.xxhash64("span_id"), F.col("n_parts")).cast("int"))
-
-
 @product("gold.line_shapes")
 def line_shapes(net: Network) -> DataFrame:
-    """All spans of a line as point pairs, and their right-of-way rings, per piece."""
-    pieces = _in_parts(net, net.table("silver.spans"))
+    """All spans of a line as point pairs, and their right-of-way rings, per block of a branch."""
+    block = F.expr(f"(branch_seq - 1) div {BLOCK_SPANS}").cast("string")
+    pieces = net.table("silver.spans").withColumn("part", F.concat_ws("#", "branch_id", block))
     start = F.struct(F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))
     end = F.struct(F.col("lon2").alias("lon"), F.col("lat2").alias("lat"))
     outline = F.expr(ring_degrees(corridor_ring(RIGHT_OF_WAY_M)))
@@ -211,6 +201,13 @@ def line_shapes(net: Network) -> DataFrame:
             .select("line_id", "part", F.col("s.path").alias("paths"), F.col("s.outline").alias("outlines")))
 
 
+@product("gold.line_bounds")
+def line_bounds(net: Network) -> DataFrame:
+    return net.table("silver.spans").groupBy("line_id").agg(
+        F.min(F.least("lon1", "lon2")).alias("xmin"), F.min(F.least("lat1", "lat2")).alias("ymin"),
+        F.max(F.greatest("lon1", "lon2")).alias("xmax"), F.max(F.greatest("lat1", "lat2")).alias("ymax"))
+
+
 # ---------------------------------------------------------------- load
 
 def _winter_columns(net: Network) -> list[Column]:

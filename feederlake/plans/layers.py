@@ -21,6 +21,7 @@ from feederlake.operators.spatial import (
     edges_literal,
     polygon_literal,
     touches_point,
+    touches_segment,
     with_cuts,
 )
 from feederlake.plans.gold import zone_outlines
@@ -151,13 +152,15 @@ def selection_totals(view: SecuredView, geojson: str) -> DataFrame:
     units = _inside(view.table("gold.transformers"), rings).agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(last) > OVERLOAD_PCT).alias("over")))
     # a condition inside the sum, not a filter: masked places are tested once per cell
-    homes = view.customer_places().selectExpr("*", f"{edges} AS _edges").agg(F.expr(
+    lons, lats = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
+    homes = view.customer_places((min(lons), min(lats), max(lons), max(lats))).selectExpr("*", f"{edges} AS _edges").agg(F.expr(
         f"coalesce(sum(CASE WHEN {box_test(rings)} AND {touches_point('_edges', 'lon', 'lat')} THEN n ELSE 0 END), 0)"))
     ends = ("lon1", "lat1", "lon2", "lat2")
-    lons, lats = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
     near = (f"least(lon1, lon2) <= {max(lons)!r}D AND greatest(lon1, lon2) >= {min(lons)!r}D AND "
             f"least(lat1, lat2) <= {max(lats)!r}D AND greatest(lat1, lat2) >= {min(lats)!r}D")
-    wire = (with_cuts(view.table("gold.spans").select(*ends).filter(near).selectExpr("*", f"{edges} AS _edges"), *ends)
+    met = (view.table("gold.spans").select(*ends).filter(near).selectExpr("*", f"{edges} AS _edges")
+           .filter(touches_segment("_edges", *ends)))  # without any the length is NULL, not 0
+    wire = (with_cuts(met, *ends)
             .agg(F.expr(f"round(sum({clipped_length_m('_edges', '_cuts', *ends)}) / 1000, 2)")))
     return poles.withColumns({"_units": units.scalar(), "customers": homes.scalar(), "conductor_km": wire.scalar()}).select(
         "poles", "poles_pre_1985", F.col("_units.n").alias("transformers"),
@@ -198,6 +201,4 @@ def centre_bounds(view: SecuredView) -> DataFrame:
 
 
 def line_bounds(view: SecuredView) -> DataFrame:
-    return view.table("silver.spans").groupBy("line_id").agg(
-        F.min(F.least("lon1", "lon2")).alias("xmin"), F.min(F.least("lat1", "lat2")).alias("ymin"),
-        F.max(F.greatest("lon1", "lon2")).alias("xmax"), F.max(F.greatest("lat1", "lat2")).alias("ymax"))
+    return view.table("gold.line_bounds")

@@ -17,7 +17,6 @@ KEYS = {
     "gold.ops_line_status": "line_id",
 }
 VOLATILE = ("updated_at",)
-MAX_PANEL_ROWS = 100
 
 
 @product("gold.ops_transformer_status")
@@ -35,8 +34,7 @@ def transformer_status(net: Network) -> DataFrame:
 @product("gold.ops_zone_risk")
 def zone_status(net: Network) -> DataFrame:
     french, english = split_reply(F.col("recommendation"))
-    centres = net.table("gold.zone_shapes").select("zone_id", "centroid_lon", "centroid_lat")
-    return (net.table("gold.zone_risk").join(centres, "zone_id")
+    return (net.table("gold.zone_risk")
             .join(net.table("gold.zone_risk_recommendations"), "zone_id", "left")
             .select("zone_id", "device_type", "line_id", "substation_code", "ced_code", "n_customers",
                     "interruptions_3m", "interruptions_6m", "chi_6m", "chi_trend_pct", "avg_pole_age_years",
@@ -104,7 +102,7 @@ def zone_panel(zones: DataFrame, ced: str | None = None, limit: int = 15) -> Dat
                     F.round("chi_6m", 0).alias("chi_6m"), "chi_trend_pct", "avg_pole_age_years",
                     "high_risk_transformers", "risk_score", "risk_tier", "recommendation_fr", "recommendation_en",
                     "lon", "lat")
-            .orderBy(F.desc("risk_score"), "zone_id").limit(min(limit, MAX_PANEL_ROWS)))
+            .orderBy(F.desc("risk_score"), "zone_id").limit(limit))
 
 
 def transformer_panel(status: DataFrame, ced: str | None = None, line: str | None = None,
@@ -113,7 +111,7 @@ def transformer_panel(status: DataFrame, ced: str | None = None, line: str | Non
             .select("transformer_id", "line_id", "ced_code", "kva", "n_customers", "max_overload_pct_last_winter",
                     "risk_score_next_winter", "risk_tier", "lon", "lat")
             .orderBy(F.desc_nulls_last("risk_score_next_winter"), "transformer_id")
-            .limit(min(limit, MAX_PANEL_ROWS)))
+            .limit(limit))
 
 
 def totals_strip(summary: DataFrame) -> DataFrame:

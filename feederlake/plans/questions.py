@@ -14,9 +14,6 @@ from feederlake.plans.secured import SecuredView
 from feederlake.schemas import OLD_ASSET_YEAR, OVERLOAD_PCT, TIER_HIGH
 from feederlake.session import settle
 
-MAX_ROWS = 1000
-
-
 def _here():
     return F.expr(point_geojson()).alias("geojson")
 
@@ -78,10 +75,16 @@ def highest_chi_zones(view: SecuredView, months: int = 6, top: int = 10) -> Data
 
 
 def right_of_way(view: SecuredView, substation: str) -> DataFrame:
-    """Right-of-way area per line of a substation; a very long line shows several pieces."""
+    """Right-of-way area of each line of a substation, one row per line."""
     lines = view.table("gold.lines").filter(F.col("substation_name") == substation).select(
-        "line_id", "substation_name", "length_km", F.col("right_of_way_area_m2").alias("emprise_m2"),
-        F.round(F.col("right_of_way_area_m2") / 10000, 2).alias("emprise_ha"))
+        "line_id", "substation_name", "length_km", F.col("right_of_way_area_m2").alias("emprise_m2"))
+    hectares = view.table("gold.line_areas").select("line_id", F.round(F.col("area_m2") / 10000, 2).alias("emprise_ha"))
+    return lines.join(hectares, "line_id", "left").orderBy("line_id")
+
+
+def right_of_way_shapes(view: SecuredView, substation: str) -> DataFrame:
+    """The outlines that belong to right_of_way, in pieces of a branch."""
+    lines = view.table("gold.lines").filter(F.col("substation_name") == substation).select("line_id")
     shapes = view.table("gold.line_shapes").select(
         "line_id", "part", F.expr(multipolygon_geojson("outlines")).alias("geojson"))
     return lines.join(shapes, "line_id").orderBy("line_id", "part")
@@ -167,6 +170,7 @@ QUESTIONS = {
     "most_interrupted_zones": most_interrupted_zones,
     "highest_chi_zones": highest_chi_zones,
     "right_of_way": right_of_way,
+    "right_of_way_shapes": right_of_way_shapes,
     "farthest_customers": farthest_customers,
     "overloaded_transformers": overloaded_transformers,
     "oldest_poles": oldest_poles,
@@ -178,6 +182,13 @@ QUESTIONS = {
 }
 
 
-def ask(view: SecuredView, question: str, **parameters) -> DataFrame:
-    """Answer a question by name; a screenful of rows at most."""
-    return QUESTIONS[question](view, **parameters).limit(MAX_ROWS)
+def ask(view: SecuredView, question: str, *, limit: int | None = None, **parameters) -> DataFrame:
+    """Answer a question by name: every row, or the first `limit`."""
+    rows = QUESTIONS[question](view, **parameters)
+    return rows if limit is None else rows.limit(limit)
+
+
+def ask_counted(view: SecuredView, question: str, limit: int, **parameters) -> tuple[DataFrame, int]:
+    """The first `limit` rows, and how many there are in all."""
+    rows = settle(QUESTIONS[question](view, **parameters).withColumn("_place", F.monotonically_increasing_id()), "answer")
+    return rows.orderBy("_place").limit(limit).drop("_place"), rows.count()

@@ -7,14 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederlake.functions.calendar import winter_name
-from feederlake.operators.ranks import average_precision, global_percent_rank
+from feederlake.operators.ranks import average_precision, percent_ranks, roc_auc
 from feederlake.plans.gold import transformer_profile
 from feederlake.plans.network import Network, product
 from feederlake.schemas import OVERLOAD_PCT, TIER_HIGH, TIER_LOW, TIER_MEDIUM
@@ -73,10 +72,21 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(weights, label)
 
 
-def hold_out(df: DataFrame, share: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(training, test) by hash of the id; the hash ignores the class, so both keep their share of it."""
-    bucket = F.pmod(F.xxhash64("transformer_id"), F.lit(100))
-    return df.filter(bucket >= share), df.filter(bucket < share)
+def hold_out(df: DataFrame, share: float = 0.25, label: str = "overload_next_winter") -> tuple[DataFrame, DataFrame]:
+    """(training, test), stratified: of every class the ids with the smallest hashes, up to its share, are the test.
+
+    Hashes fall into 4,096 buckets; a class is cut after the bucket that reaches the share, so a rare one has a row in
+    the test as well.
+    """
+    df = df.withColumn("_bucket", F.expr("CAST(conv(left(md5(transformer_id), 8), 16, 10) AS BIGINT) % 4096"))
+    sizes = df.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("n"))  # 4,096 rows per class at most
+    upto = Window.partitionBy(label).orderBy("_bucket")
+    whole = Window.partitionBy(label)
+    cuts = (sizes.select(label, "_bucket", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("all"))
+            .filter(F.col("before") < share * F.col("all")).groupBy(label).agg(F.max("_bucket").alias("_cut")))
+    marked = df.join(F.broadcast(cuts), label)  # one row per class
+    test = F.col("_bucket") <= F.col("_cut")
+    return marked.filter(~test).drop("_bucket", "_cut"), marked.filter(test).drop("_bucket", "_cut")
 
 
 # ---------------------------------------------------------------- model
@@ -124,16 +134,22 @@ def quality(scored: DataFrame) -> DataFrame:
     """ROC AUC, average precision, recall of the model and of last winter's overloads."""
     label = F.col("overload_next_winter")
     positives = F.greatest(F.lit(1), F.sum(label))
-    roc = BinaryClassificationEvaluator(rawPredictionCol="risk_score", labelCol="overload_next_winter").evaluate(
-        scored.withColumn("overload_next_winter", label.cast("double")))
     return scored.agg(
-        F.lit(roc).alias("roc_auc"),
         F.avg(label).alias("positive_rate"),
         (F.sum(F.when((F.col("max_overload_pct") > OVERLOAD_PCT) & (label == 1), 1).otherwise(0)) / positives)
         .alias("baseline_last_winter_recall"),
         (F.sum(F.when((F.col("risk_score") >= 0.5) & (label == 1), 1).otherwise(0)) / positives)
         .alias("model_recall_at_0_5"),
-    ).withColumn("pr_auc", average_precision(scored, "risk_score", "overload_next_winter").scalar())
+    ).withColumns({"roc_auc": roc_auc(scored, "risk_score", "overload_next_winter").scalar(),
+                   "pr_auc": average_precision(scored, "risk_score", "overload_next_winter").scalar()})
+
+
+def baseline(test: DataFrame) -> DataFrame:
+    """What is known before any model: held-out rows, their positive rate, and the recall of last winter's overloads."""
+    label = F.col("overload_next_winter")
+    again = F.when((F.col("max_overload_pct") > OVERLOAD_PCT) & (label == 1), 1).otherwise(0)
+    return test.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(label), 9).alias("positive_rate"),
+                    F.round(F.sum(again) / F.greatest(F.lit(1), F.sum(label)), 9).alias("baseline_last_winter_recall"))
 
 
 def evaluate(net: Network, spec: ModelSpec) -> DataFrame:
@@ -172,14 +188,15 @@ def boosted_scorer(spec: ModelSpec) -> Callable[[Network, DataFrame], DataFrame]
 
 
 def last_winter_scorer(net: Network, features: DataFrame) -> DataFrame:
-    """The naive baseline as a score: twice the limit counts as certain."""
-    return features.withColumn(
-        "risk_score", F.least(F.lit(1.0), F.col("max_overload_pct") / F.lit(2.0 * OVERLOAD_PCT)))
+    """The naive baseline as a score: twice the limit counts as certain. A unit without a rating has no score."""
+    share = F.col("max_overload_pct") / F.lit(2.0 * OVERLOAD_PCT)
+    return features.withColumn("risk_score", F.when(share.isNotNull(), F.least(F.lit(1.0), share)))
 
 
 def overload_tier(score: Column) -> Column:
-    """Right-closed bins: exactly 0.3 is still low."""
-    return F.when(score <= OVERLOAD_LOW, TIER_LOW).when(score <= OVERLOAD_MEDIUM, TIER_MEDIUM).otherwise(TIER_HIGH)
+    """Right-closed bins: exactly 0.3 is still low. Without a score there is no tier."""
+    return F.when(score <= OVERLOAD_LOW, TIER_LOW).when(score <= OVERLOAD_MEDIUM, TIER_MEDIUM).when(
+        score.isNotNull(), TIER_HIGH)
 
 
 @product("gold.transformer_risk")
@@ -212,17 +229,16 @@ def _zone_base(net: Network) -> DataFrame:
 def zone_risk(net: Network) -> DataFrame:
     """Weighted sum of four percentile ranks over all zones."""
     base = settle(_zone_base(net), "zones").withColumn("_trend", F.coalesce("chi_trend_pct", F.lit(0.0)))
-    ranked = base
-    for i, column in enumerate(SCORE_WEIGHTS):
-        ranked = global_percent_rank(ranked, column, f"_r{i}", base=base)
-    parts = [F.lit(w) * F.col(f"_r{i}") for i, w in enumerate(SCORE_WEIGHTS.values())]
+    centres = net.table("gold.zone_shapes").select("zone_id", "centroid_lon", "centroid_lat")
+    ranked = base.join(percent_ranks(base, "zone_id", list(SCORE_WEIGHTS)), "zone_id").join(centres, "zone_id")
+    parts = [F.lit(w) * F.col(f"rank_{i}") for i, w in enumerate(SCORE_WEIGHTS.values())]
     score = F.round(parts[0] + parts[1] + parts[2] + parts[3], 3)
     tier = (F.when(F.col("risk_score") >= ZONE_HIGH, TIER_HIGH)
             .when(F.col("risk_score") >= ZONE_MEDIUM, TIER_MEDIUM).otherwise(TIER_LOW))
     return ranked.withColumn("risk_score", score).withColumn("risk_tier", tier).select(
         "zone_id", "device_type", "line_id", "substation_code", "ced_code", "region_name", "n_customers",
         "avg_pole_age_years", "interruptions_3m", "interruptions_6m", "chi_3m", "chi_prev_3m", "chi_6m",
-        "high_risk_transformers", "chi_trend_pct", "risk_score", "risk_tier")
+        "high_risk_transformers", "chi_trend_pct", "risk_score", "risk_tier", "centroid_lon", "centroid_lat")
 
 
 def prompts(net: Network, top: int = 15) -> DataFrame:
