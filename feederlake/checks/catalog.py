@@ -52,7 +52,7 @@ class Check:
 CHECKS: dict[str, Check] = {}
 
 
-def check(name: str, sql: str | None, landed: bool = False):
+def check(name: str, sql: str | None, landed: bool = True):
     def register(fn):
         CHECKS[name] = Check(fn, o.sql(sql, landed) if sql else None)
         return fn
@@ -62,7 +62,7 @@ def check(name: str, sql: str | None, landed: bool = False):
 
 # ---------------------------------------------------------------- contexts
 
-def network(spark: SparkSession, folder: str, landed: bool = False) -> Network:
+def network(spark: SparkSession, folder: str, landed: bool = True) -> Network:
     tables = MappedTables(tune(spark), folder)
     settings = Settings(AS_OF, FEATURE_WINTER, LABEL_WINTER)
     extract = landed_twice(tables) if landed else tables.entity
@@ -200,16 +200,20 @@ _gold_check("substations", f"""SELECT substation_code, substation_name, s.ced_co
                                  F.expr(shapes.point_geojson()).alias("geojson")))
 _gold_check("poles", f"""SELECT pole_id, line_id, substation_code, substation_name, ced_code, region_name, branch_id,
   branch_type, branch_seq, parent_pole_id, install_year, age_years, material, height_m,
-  {_r(3, 'distance_to_substation_m', 'network_distance_m')}, {_r(7, 'lon', 'lat')} FROM g_poles""",
+  {_r(3, 'distance_to_substation_m', 'network_distance_m')}, {_r(7, 'lon', 'lat')}, {o.hexcell('x', 'y', 9)} AS hex_cell_9
+  FROM g_poles""",
             lambda df: rounded(rounded(df, 3, "distance_to_substation_m", "network_distance_m"), 7, "lon", "lat")
-            .drop("hex_cell_9", "x", "y", "sub_x", "sub_y"))
+            .drop("x", "y", "sub_x", "sub_y"))
 _gold_check("spans", f"""SELECT span_id, line_id, substation_code, ced_code, region_name, branch_id, from_node_id,
-  to_pole_id, {o.rnd('length_m', 1)} AS length_m FROM s_spans JOIN line_regions USING (line_id)""",
-            lambda df: df.drop("lon1", "lat1", "lon2", "lat2", "x1", "y1", "x2", "y2"))
-_gold_check("protection_devices", "SELECT * EXCLUDE (lon, lat) FROM g_devices", lambda df: df.drop("lon", "lat"))
-_gold_check("customers_pii", f"""SELECT * EXCLUDE (lon, lat) REPLACE ({_r(3, 'distance_to_substation_m',
-            'network_distance_m')}) FROM g_customers""",
-            lambda df: rounded(df, 3, "distance_to_substation_m", "network_distance_m").drop("lon", "lat", "x", "y"))
+  to_pole_id, {o.rnd('length_m', 1)} AS length_m, {_r(7, 'lon1', 'lat1', 'lon2', 'lat2')}
+  FROM s_spans JOIN line_regions USING (line_id)""",
+            lambda df: rounded(df, 7, "lon1", "lat1", "lon2", "lat2").drop("x1", "y1", "x2", "y2"))
+_gold_check("protection_devices", f"SELECT * REPLACE ({_r(7, 'lon', 'lat')}) FROM g_devices",
+            lambda df: rounded(df, 7, "lon", "lat"))
+_gold_check("customers_pii", f"""SELECT * REPLACE ({_r(3, 'distance_to_substation_m', 'network_distance_m')},
+            {_r(7, 'lon', 'lat')}) FROM g_customers""",
+            lambda df: rounded(rounded(df, 3, "distance_to_substation_m", "network_distance_m"), 7, "lon", "lat")
+            .drop("x", "y"))
 _gold_check("line_areas", f"SELECT line_id, {o.rnd('area_m2', 2)} AS area_m2 FROM line_areas",
             lambda df: rounded(df, 2, "area_m2"), key="right_of_way_area")
 _gold_check("lines", "SELECT * FROM g_lines")
@@ -242,9 +246,9 @@ o.STEPS["zone_centres"] = """SELECT zone_id, any_value(ox) + sum((x+nx)*(x*ny-nx
       SELECT zone_id, i, ox, oy, lon-ox AS x, lat-oy AS y FROM zone_ring_deg
       JOIN (SELECT zone_id, lon AS ox, lat AS oy FROM zone_ring_deg WHERE i = 0) USING (zone_id))
     WINDOW w AS (PARTITION BY zone_id ORDER BY i)) GROUP BY 1"""
-o.STEPS["paths"] = f"""SELECT line_id, '{{"type":"MultiLineString","coordinates":[' || string_agg('[[' || {o.num('lon1')} ||
+o.STEPS["paths"] = f"""SELECT line_id, branch_id || '#' || ((branch_seq - 1) // 1000) AS part, '{{"type":"MultiLineString","coordinates":[' || string_agg('[[' || {o.num('lon1')} ||
   ',' || {o.num('lat1')} || '],[' || {o.num('lon2')} || ',' || {o.num('lat2')} || ']]', ','
-  ORDER BY branch_id, branch_seq, span_id) || ']}}' AS geojson FROM s_spans GROUP BY 1"""
+  ORDER BY branch_id, branch_seq, span_id) || ']}}' AS geojson FROM s_spans GROUP BY 1, 2"""
 o.STEPS["outline_points"] = f"""SELECT line_id, branch_id, branch_seq, span_id, k, {o.lon_deg('px', 'py')} AS lon,
   {o.lat_deg('px', 'py')} AS lat FROM (SELECT *,
     CASE WHEN k % 34 <= 16 THEN x2 ELSE x1 END + CASE WHEN k % 34 <= 16 THEN 1 ELSE -1 END*15*
@@ -252,10 +256,10 @@ o.STEPS["outline_points"] = f"""SELECT line_id, branch_id, branch_seq, span_id,
     CASE WHEN k % 34 <= 16 THEN y2 ELSE y1 END + CASE WHEN k % 34 <= 16 THEN 1 ELSE -1 END*15*
       (ux*sin(pi()/2*((k%17)/8.0::DOUBLE-1)) + uy*cos(pi()/2*((k%17)/8.0::DOUBLE-1))) AS py
     FROM (SELECT *, (x2-x1)/length_m AS ux, (y2-y1)/length_m AS uy FROM s_spans), (SELECT unnest(range(35)) AS k))"""
-o.STEPS["outlines"] = f"""SELECT line_id, '{{"type":"MultiPolygon","coordinates":[' || string_agg('[[' || ring || ']]', ','
+o.STEPS["outlines"] = f"""SELECT line_id, branch_id || '#' || ((branch_seq - 1) // 1000) AS part, '{{"type":"MultiPolygon","coordinates":[' || string_agg('[[' || ring || ']]', ','
   ORDER BY branch_id, branch_seq, span_id) || ']}}' AS geojson FROM (SELECT line_id, branch_id, branch_seq, span_id,
     string_agg('[' || {o.num('lon')} || ',' || {o.num('lat')} || ']', ',' ORDER BY k) AS ring FROM outline_points
-    GROUP BY ALL) GROUP BY 1"""
+    GROUP BY ALL) GROUP BY 1, 2"""
 _corners = ", ".join(
     f"[{o.EDGE_M[8] * math.cos(math.pi / 6 + k * math.pi / 3)!r}::DOUBLE, "
     f"{o.EDGE_M[8] * math.sin(math.pi / 6 + k * math.pi / 3)!r}::DOUBLE]" for k in (0, 1, 2, 3, 4, 5, 0))
@@ -321,17 +325,37 @@ def baseline_transformer_risk(spark, folder):
 BENCH_MODEL = risk.ModelSpec(rounds=10, rate=0.2)
 
 
-@check("transformer_risk", None)
+@check("transformer_risk", """SELECT transformer_id, line_id, ced_code, target_winter, max_overload_pct_last_winter,
+  days_over_150_last_winter, kva, n_customers, true AS score_in_range, true AS tier_follows_score FROM tx_risk""")
 def transformer_risk(spark, folder):
-    """Scores of the learned model; no SQL counterpart."""
+    """The learned model's table: what does not depend on training, the range of the score and the rule of the tier."""
     net = network(spark, folder)
     net.scorer = risk.boosted_scorer(BENCH_MODEL)
-    return net.table("gold.transformer_risk")
-
-
-@check("zone_risk", """SELECT * EXCLUDE (n_poles, chi_24m) FROM g_zone_risk""")
+    score = F.col("risk_score")
+    tier = F.when(score > 0.6, "ÉLEVÉ").when(score > 0.3, "MOYEN").otherwise("FAIBLE")
+    return net.table("gold.transformer_risk").select(
+        "transformer_id", "line_id", "ced_code", "target_winter", "max_overload_pct_last_winter",
+        "days_over_150_last_winter", "kva", "n_customers", score.between(0.0, 1.0).alias("score_in_range"),
+        (F.col("risk_tier") == tier).alias("tier_follows_score"))
+
+
+@check("holdout_baseline", f"""SELECT count(*) AS rows, {o.rnd('avg(y)', 9)} AS positive_rate,
+  {o.rnd('(count(*) FILTER (max_overload_pct > 150 AND y = 1))::DOUBLE / greatest(1, sum(y))', 9)} AS baseline_last_winter_recall
+  FROM (SELECT *, max(CASE WHEN before < 0.25::DOUBLE * whole THEN bucket END) OVER (PARTITION BY y) AS cut FROM (
+    SELECT *, (count(*) OVER (PARTITION BY y ORDER BY bucket RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY y, bucket))
+        AS before, count(*) OVER (PARTITION BY y) AS whole
+    FROM (SELECT f.max_overload_pct, l.y, ('0x' || left(md5(f.transformer_id), 8))::BIGINT % 4096 AS bucket
+          FROM features_prev f JOIN (SELECT transformer_id, CAST(max(overload_pct) > 150 AS INTEGER) AS y FROM g_load
+            WHERE winter_label = 'Hiver {o.LABEL}' GROUP BY 1) l USING (transformer_id)))) WHERE bucket <= cut""")
+def holdout_baseline(spark, folder):
+    _, test = risk.hold_out(settle(risk.training_set(network(spark, folder)), "training"))
+    return risk.baseline(test)
+
+
+@check("zone_risk", f"""SELECT r.* EXCLUDE (n_poles, chi_24m), {_r(7, 'centroid_lon', 'centroid_lat')} FROM g_zone_risk r
+  JOIN zone_centres USING (zone_id)""")
 def zone_risk(spark, folder):
-    return network(spark, folder).table("gold.zone_risk")
+    return rounded(network(spark, folder).table("gold.zone_risk"), 7, "centroid_lon", "centroid_lat")
 
 
 @check("advice_prompts", """SELECT zone_id, risk_score, concat_ws('. ', concat_ws('; ',
@@ -394,7 +418,9 @@ _question("highest_chi_zones", f"""SELECT e.zone_id, device_type, line_id, regio
     {o.rnd('sum(chi)', 1)} AS chi_6_mois FROM g_outages WHERE start_ts >= {o.months_back(6)} GROUP BY 1) e
   JOIN zones USING (zone_id) JOIN zone_text USING (zone_id) ORDER BY chi_6_mois DESC, zone_id LIMIT 10""")
 _question("right_of_way", f"""SELECT line_id, substation_name, length_km, right_of_way_area_m2 AS emprise_m2,
-  {o.rnd('right_of_way_area_m2/10000', 2)} AS emprise_ha, 0 AS part, geojson FROM g_lines JOIN outlines USING (line_id)
+  {o.rnd('area_m2/10000', 2)} AS emprise_ha FROM g_lines JOIN line_areas USING (line_id)
+  WHERE substation_name = '{SUBSTATION}'""", substation=SUBSTATION)
+_question("right_of_way_shapes", f"""SELECT line_id, part, geojson FROM g_lines JOIN outlines USING (line_id)
   WHERE substation_name = '{SUBSTATION}'""", substation=SUBSTATION)
 _question("farthest_customers", f"""SELECT customer_id, line_id, substation_code, municipality,
   {o.rnd('distance_to_substation_m', 0)} AS distance_vol_oiseau_m, {o.rnd('network_distance_m', 0)} AS distance_reseau_m,
@@ -442,9 +468,9 @@ _layer("substations", f"""SELECT substation_code, substation_name, s.ced_code, r
   {o.point('lon', 'lat')} AS geojson FROM s_substations s JOIN s_ced c ON s.ced_code = c.ced_code
   WHERE s.ced_code = '{CENTRE}'""", ced=CENTRE, line=LINE)
 _layer("lines", """SELECT line_id, substation_name, ced_code, length_km, n_customers, n_transformers,
-  max_distance_to_substation_m, avg_pole_age_years, 0 AS part, geojson FROM g_lines JOIN paths USING (line_id)""")
+  max_distance_to_substation_m, avg_pole_age_years, part, geojson FROM g_lines JOIN paths USING (line_id)""")
 _layer("right_of_way", f"""SELECT line_id, substation_name, ced_code, right_of_way_area_m2,
-  {o.rnd('right_of_way_area_m2/10000', 2)} AS right_of_way_ha, 0 AS part, geojson FROM g_lines
+  {o.rnd('right_of_way_area_m2/10000', 2)} AS right_of_way_ha, part, geojson FROM g_lines
   JOIN outlines USING (line_id)""")
 _layer("spans", f"""SELECT span_id, line_id, ced_code, {o.rnd('length_m', 1)} AS length_m,
   {o.linestring('lon1', 'lat1', 'lon2', 'lat2')} AS geojson FROM s_spans JOIN line_regions USING (line_id)""")
@@ -559,7 +585,7 @@ def features_from_wkt(spark, folder):
     ends = spans.select(F.concat(F.lit("M"), "span_id").alias("id"), F.regexp_replace(
         F.regexp_replace(path, r"LINESTRING \((.*), (.*)\)", "MULTIPOINT (($1), ($2))"), "  ", " ")
         .alias("wkt"))
-    areas = net.extract("ced").select(F.col("ced_code").alias("id"), F.col("boundary_wkt").alias("wkt"))
+    areas = net.latest("ced").select(F.col("ced_code").alias("id"), F.col("boundary_wkt").alias("wkt"))
     return to_features(poles.unionByName(lines).unionByName(ends).unionByName(areas))
 
 
@@ -624,7 +650,7 @@ def panel_zones(spark, folder):
 
 @check("panel_transformers", f"""SELECT transformer_id, line_id, ced_code, kva, n_customers,
   max_overload_pct_last_winter, risk_score_next_winter, risk_tier, {_r(7, 'lon', 'lat')} FROM ops_transformers
-  WHERE ced_code = '{CENTRE}' ORDER BY risk_score_next_winter DESC NULLS LAST, transformer_id LIMIT 100""")
+  WHERE ced_code = '{CENTRE}' ORDER BY risk_score_next_winter DESC NULLS LAST, transformer_id LIMIT 500""")
 def panel_transformers(spark, folder):
     status = network(spark, folder).table("gold.ops_transformer_status")
     return rounded(ops.transformer_panel(status, CENTRE, limit=500), 7, "lon", "lat")
@@ -636,7 +662,7 @@ def panel_transformers(spark, folder):
 _BEFORE = "right(transformer_id, 1) <> '3'"
 _AFTER = "right(transformer_id, 1) <> '5'"
 _COLUMNS = ("transformer_id", "pole_id", "kva", "install_year", "phase", "manufacturer")
-_AFTER_VALUES = {"manufacturer": "CASE WHEN right(transformer_id, 1) = '0' THEN 'NEW' ELSE manufacturer END"}
+_AFTER_VALUES = {"manufacturer": "CASE WHEN right(transformer_id, 1) = '0' THEN 'RENEWED' ELSE manufacturer END"}
 
 
 def _before(net: Network) -> DataFrame:
