@@ -7,12 +7,13 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from feederlake.checks.catalog import BENCH_MODEL, MASKED_CALLER, access
+from feederlake.checks.catalog import BENCH_MODEL, LOCAL_CALLER, MASKED_CALLER, PII_CALLER, access, network, view
+from feederlake.checks.landed import landed_twice
 from feederlake.operators.snapshot import KeyedTable
 from feederlake.plans import risk
 from feederlake.plans.build import STORED, refresh
 from feederlake.plans.network import Network, Settings
-from feederlake.plans.questions import QUESTIONS, ask
+from feederlake.plans.questions import QUESTIONS, ask, ask_counted
 from feederlake.plans.secured import SecuredView
 from feederlake.sources.mapped import AS_OF, FEATURE_WINTER, LABEL_WINTER, MappedTables
 from feederlake.sources.tables import TableStore, bind, literal_rows, row_count
@@ -67,6 +68,41 @@ def test_new_columns_are_added(spark, root):
     assert {r.line_id: r.owner for r in landing.bronze("lines").collect()} == {"L1": None, "L2": "us"}
 
 
+def test_csv_columns_are_bound_by_name(spark, root):
+    """Reordered, quoted and differently grown headers in one run; a value may hold a comma."""
+    landing = Landing(spark, f"{root}/landed", f"{root}/bronze")
+    _land(root, "transformers", "a.csv", f"{HEADER}\nT1,P1,25,1980,A,X\n")
+    _land(root, "transformers", "b.csv", 'pole_id,transformer_id,"kva",install_year,phase,manufacturer\nP2,T2,50,1990,B,"Y, Inc"\n')
+    _land(root, "transformers", "c one.csv", f'"transformer_id","pole_id",kva,install_year,phase,manufacturer,cooling\nT3,P3,5,1,A,X,oil\n')
+    _land(root, "transformers", "d.csv", f"{HEADER},weight\nT4,P4,5,1,A,X,120\n")
+    assert landing.ingest("transformers") == 4
+    rows = {r.transformer_id: r for r in landing.bronze("transformers").collect()}
+    assert [rows[f"T{i}"].pole_id for i in (1, 2, 3, 4)] == ["P1", "P2", "P3", "P4"]
+    assert rows["T2"].manufacturer == "Y, Inc" and rows["T2"].kva == 50
+    assert [rows[t].cooling for t in ("T1", "T3", "T4")] == [None, "oil", None]
+    assert rows["T4"].weight == 120 and rows["T3"].weight is None
+    _land(root, "transformers", "e.csv", "kva,transformer_id\n7,T5\n")
+    assert landing.ingest("transformers") == 1
+    rows = {r.transformer_id: r for r in landing.bronze("transformers").collect()}
+    assert rows["T5"].kva == 7 and rows["T5"].pole_id is None and rows["T3"].cooling == "oil"
+    _land(root, "transformers", "f.csv", "kva,kva\n7,8\n")
+    with pytest.raises(Exception, match="must be there and differ"):
+        landing.ingest("transformers")
+
+
+def test_nothing_landed_and_parquet(spark, root):
+    landing = Landing(spark, f"{root}/landed", f"{root}/bronze")
+    assert landing.ingest("poles") == 0
+    load = "transformer_id string, reading_date date, peak_kva double, energy_kwh double"
+    rows = spark.createDataFrame([("T1", None, 1.0, 2.0)], load)
+    rows.write.mode("append").parquet(landing.folder("transformer_load"))
+    assert landing.ingest("transformer_load") == 1
+    rows.withColumn("quality", F.lit("ok")).select("quality", *rows.columns).write.mode("append").parquet(
+        landing.folder("transformer_load"))
+    assert landing.ingest("transformer_load") == 1
+    assert sorted(r.quality or "" for r in landing.bronze("transformer_load").collect()) == ["", "ok"]
+
+
 def test_an_invalid_territory_stops_the_refresh(spark, root):
     landing = Landing(spark, f"{root}/landed", f"{root}/bronze")
     centre = {"ced_code": "C", "ced_name": "n", "region_name": "r", "is_urban": True,
@@ -119,19 +155,21 @@ def test_store_versions_and_insert_only_merge(spark, root):
 def test_refresh_stores_every_product_and_is_repeatable(spark, folder, root):
     tables = MappedTables(spark, folder)
     settings = Settings(AS_OF, FEATURE_WINTER, LABEL_WINTER)
-    net = Network(spark, tables.entity, settings, relanded=False, store=TableStore(spark, root),
-                  scorer=risk.last_winter_scorer)
+    extract = landed_twice(tables)
+    net = Network(spark, extract, settings, store=TableStore(spark, root), scorer=risk.last_winter_scorer)
     net.count_violations = True
     written = refresh(net)
     assert set(STORED) <= set(written)
-    assert net.observations["outages"].get["valid_customers"] == 0
+    assert net.observations["outages"].get["valid_customers"] > 0
     assert "/" in net.store.read("gold.outages").schema["chi"].metadata["comment"]
-    stored = Network(spark, tables.entity, settings, relanded=False, store=net.store)
-    fresh = Network(spark, tables.entity, settings, relanded=False, scorer=risk.last_winter_scorer)
+    stored = Network(spark, extract, settings, store=net.store)
+    fresh = Network(spark, extract, settings, scorer=risk.last_winter_scorer)
     view, plain = (SecuredView(n, MASKED_CALLER, access(n)) for n in (stored, fresh))
     for question, parameters in (("oldest_poles", {"line": "Supplier#000000003"}), ("highest_chi_zones", {})):
         assert question in QUESTIONS
         assert ask(view, question, **parameters).collect() == ask(plain, question, **parameters).collect()
+    first, total = ask_counted(view, "oldest_poles", 3, line="Supplier#000000003")
+    assert first.collect() == ask(view, "oldest_poles", line="Supplier#000000003").collect()[:3] and total == 20
     ops = KeyedTable(net.store, "gold.ops_line_status", "line_id", ["updated_at"])
     before = net.store.version("gold.ops_line_status")
     from feederlake.plans.network import PRODUCTS
@@ -139,6 +177,64 @@ def test_refresh_stores_every_product_and_is_repeatable(spark, folder, root):
     assert net.store.version("gold.ops_line_status") == before
 
 
+def test_merge_refuses_keys_that_would_multiply(spark, root):
+    table = KeyedTable(TableStore(spark, root), "t", "k")
+    good = literal_rows(spark, "k string, v int", [("a", 1), ("b", 2)])
+    for bad in ([("a", 1), ("a", 1)], [("a", 1), (None, 2)]):
+        with pytest.raises(ValueError, match="stands on"):
+            table.merge(literal_rows(spark, "k string, v int", bad))
+    assert table.merge(good) == {"I": 2}
+    assert [table.merge(good) for _ in range(3)] == [{"S": 2}] * 3
+    assert row_count(table.snapshot()) == 2
+
+
+def test_secured_view_refuses_exact_personal_data(spark, folder):
+    masked, reader = view(spark, folder, MASKED_CALLER), view(spark, folder, PII_CALLER)
+    for name in ("silver.customers", "silver.poles", "gold.customers_pii", "bronze.customers"):
+        with pytest.raises(PermissionError):
+            masked.table(name)
+    with pytest.raises(PermissionError):
+        reader.table("silver.customers")
+    shown = masked.table("gold.customers").first()
+    assert shown.customer_name == shown.address == "*** masqué / masked ***"
+    assert reader.table("gold.customers_pii").first().customer_name != shown.customer_name
+
+
+def test_the_row_filter_reaches_the_scan(spark, folder, root):
+    net = network(spark, folder)
+    store = TableStore(spark, root)
+    store.replace("gold.outages", net.table("gold.outages"))
+    net.store = store
+    net.forget("gold.outages")
+    plan = SecuredView(net, LOCAL_CALLER, access(network(spark, folder))).table("gold.outages")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ced_code), EqualTo(ced_code," in text or "In(ced_code" in text
+
+
+def test_no_answer_is_cut(spark, folder):
+    """More than a thousand answers, and a line of 6,000 spans kept in blocks of its branch."""
+    net = network(spark, folder)
+    spans = spark.range(6000).selectExpr(
+        "concat('S', id) AS span_id", "'L' AS line_id", "'L-T' AS branch_id", "CAST(id + 1 AS INT) AS branch_seq",
+        "-70D + id * 0.0001 AS lon1", "46D AS lat1", "-70D + (id + 1) * 0.0001 AS lon2", "46D AS lat2",
+        "id * 10D AS x1", "0D AS y1", "(id + 1) * 10D AS x2", "0D AS y2", "10D AS length_m")
+    net._frames["silver.spans"] = spans
+    shapes = net.table("gold.line_shapes").selectExpr("part", "size(paths) AS n").collect()
+    assert {(r.part, r.n) for r in shapes} == {(f"L-T#{k}", 1000) for k in range(6)}
+    big = net.table("gold.transformers").limit(1).crossJoin(spark.range(1500)).withColumn("install_year", F.lit(1950))
+    other = network(spark, folder)
+    other._frames["gold.transformers"] = big.withColumn("transformer_id", F.col("id").cast("string"))
+    region = big.first().region_name
+    assert ask(SecuredView(other, MASKED_CALLER, access(other)), "old_transformers_in_region", region=region).count() == 1500
+
+
+def test_hold_out_is_stratified(spark):
+    rows = spark.range(4000).selectExpr("concat('T', id) AS transformer_id", "CAST(id % 400 = 0 AS INT) AS overload_next_winter")
+    train, test = risk.hold_out(rows)
+    share = {r[0]: r[1] for r in test.groupBy("overload_next_winter").count().collect()}
+    assert 3 <= share[1] <= 4 and 970 <= share[0] <= 1040 and row_count(train) + row_count(test) == 4000
+
+
 def test_model_beats_chance_on_a_planted_signal(spark):
     rows = spark.range(800).selectExpr(
         "concat('T', id) AS transformer_id", "CAST((id * 37) % 200 AS DOUBLE) AS max_overload_pct",

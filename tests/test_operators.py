@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -14,7 +15,7 @@ from feederlake.operators.features import to_features, wkt_to_geojson
 from feederlake.operators.hulls import convex_hull, hull_rings, widen
 from feederlake.operators.latest import latest_record
 from feederlake.operators.quality import DROP, FAIL, WARN, Rule, count_violations, enforce
-from feederlake.operators.ranks import average_precision, global_percent_rank
+from feederlake.operators.ranks import average_precision, global_percent_rank, percent_ranks, roc_auc
 from feederlake.operators.running import running_sum
 from feederlake.operators.snapshot import classify
 
@@ -210,7 +211,9 @@ def test_text_mask_covers_null_and_access_merge_only_inserts(spark):
     ("SRID=4326;POINT Z (1 2 3)", '{"type":"Point","coordinates":[1,2]}'),
     ("linestring(1 2, 3.5 -4)", '{"type":"LineString","coordinates":[[1,2],[3.5,-4]]}'),
     ("POLYGON ((0 0, 1 0, 1 1, 0 0), (.1 .1, .2 .1, .2 .2, .1 .1))",
-     '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]],[[.1,.1],[.2,.1],[.2,.2],[.1,.1]]]}'),
+     '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]],[[0.1,0.1],[0.2,0.1],[0.2,0.2],[0.1,0.1]]]}'),
+    ("POINT (+1 -.5)", '{"type":"Point","coordinates":[1,-0.5]}'),
+    ("LINESTRING (1. 2.50, 007 1e3)", '{"type":"LineString","coordinates":[[1,2.50],[7,1e3]]}'),
     ("MULTIPOINT ((1 2), (3 4))", '{"type":"MultiPoint","coordinates":[[1,2],[3,4]]}'),
     ("MULTILINESTRING ((1 2, 3 4), (5 6, 7 8))",
      '{"type":"MultiLineString","coordinates":[[[1,2],[3,4]],[[5,6],[7,8]]]}'),
@@ -222,6 +225,12 @@ def test_wkt_to_geojson(spark, wkt, want):
     assert spark.createDataFrame([(wkt,)], "w string").select(wkt_to_geojson(F.col("w"))).first()[0] == want
 
 
+def test_broken_geometry_is_left_out(spark):
+    rows = [("a", "{broken"), ("b", "POINT (+1 .5)"), ("c", '{"type":"Point","coordinates":[1,2]}'), ("d", "POINT (1 x)")]
+    found = [json.loads(r.feature) for r in to_features(spark.createDataFrame(rows, "id string, geojson string")).collect()]
+    assert sorted(f["properties"]["id"] for f in found) == ["b", "c"]
+
+
 def test_features_use_a_geometry_first_and_coordinates_otherwise(spark):
     df = spark.createDataFrame(
         [("a", '{"type":"Point","coordinates":[9,9]}', 1.0, 2.0), ("b", None, 3.0, 4.0), ("c", None, None, 4.0)],
@@ -232,3 +241,21 @@ def test_features_use_a_geometry_first_and_coordinates_otherwise(spark):
         '"properties":{"id":"a","lon":1.0,"lat":2.0}}',
         '{"type":"Feature","geometry":{"type":"Point","coordinates":[3.0,4.0]},'
         '"properties":{"id":"b","lon":3.0,"lat":4.0}}']
+
+
+def test_percent_ranks_of_several_columns_in_one_pass(spark):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else i % 3, 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, a double, b int, c int")
+    got = percent_ranks(df, "k", ["a", "b", "c"])
+    want = df.select("k", *[F.percent_rank().over(Window.orderBy(c)).alias(f"rank_{i}") for i, c in enumerate("abc")])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_roc_auc_is_exact_beyond_a_thousand_scores(spark):
+    rows = [((i * 7919) % 5000 / 5000, int((i * 31) % 100 < (i * 7919) % 5000 / 50)) for i in range(5000)] + [(0.5, 1), (0.5, 0)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    ups, downs = [s for s, y in rows if y], sorted(s for s, y in rows if not y)
+    from bisect import bisect_left, bisect_right
+    wins = sum(bisect_left(downs, s) + (bisect_right(downs, s) - bisect_left(downs, s)) / 2 for s in ups)
+    assert abs(roc_auc(df, "s", "y").first()[0] - wins / (len(ups) * len(downs))) < 1e-12
+    assert roc_auc(df.filter("y = 1"), "s", "y").first()[0] is None
