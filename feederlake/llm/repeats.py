@@ -292,29 +292,30 @@ def without_repeats(
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     )
 
-    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        data, bounds = text_bytes(batch.column(1))
-        lists = batch.column(2)
+    def cut(data: np.ndarray, bounds: np.ndarray, lists: pa.ListArray) -> dict[str, object]:
         gone = np.zeros(len(data) + 1, dtype=np.int32)
         flat = lists.flatten()
-        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy())
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy())
         np.add.at(gone, bounds[row] + flat.field(0).to_numpy(zero_copy_only=False), 1)
         np.add.at(gone, bounds[row] + flat.field(1).to_numpy(zero_copy_only=False), -1)
         hit = np.cumsum(gone[:-1], dtype=np.int32) > 0
-        sums = np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))
-        removed = sums[bounds[1:]] - sums[bounds[:-1]]
         begins = hit.copy()
         begins[1:] &= ~hit[:-1]
         full = bounds[:-1][bounds[:-1] < bounds[1:]]
         begins[full] = hit[full]
-        counts = np.concatenate(([0], np.cumsum(begins, dtype=np.int64)))
+        removed, counts = (np.diff(np.searchsorted(np.flatnonzero(m), bounds)) for m in (hit, begins))
         left = data[~hit].tobytes()
         ends = np.concatenate(([0], np.cumsum(np.diff(bounds) - removed))).tolist()
         kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield {
-            "row": batch.column(0),
-            "kept": pa.array([k.decode(errors="ignore") for k in kept] if as_text else kept, type=kept_type),
-            "n_bytes": np.diff(bounds), "n_removed": removed, "n_spans": counts[bounds[1:]] - counts[bounds[:-1]]}
+        return {"kept": pa.array([k.decode(errors="ignore") for k in kept] if as_text else kept, type=kept_type),
+                "n_bytes": np.diff(bounds), "n_removed": removed, "n_spans": counts}
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+        data, bounds = text_bytes(batch.column(1))
+        for first, last in row_groups(bounds):
+            yield {"row": batch.column(0).slice(first, last - first)} | cut(
+                data[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first],
+                batch.column(2).slice(first, last - first))
 
     kept_type = pa.string() if as_text else pa.binary()
     joined = rows.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")

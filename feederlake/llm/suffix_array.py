@@ -16,6 +16,34 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Suffixes whose beginnings are held at a time while they are sorted, unless more begin with the same two bytes.
+HELD = 20_000
+
+
+def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first `depth` bytes: dealt out by two bytes, then sorted some buckets at a time."""
+    raw = text.tobytes()
+    pair = text[at].astype(np.uint16) << 8
+    inner = at + 1 < len(text)
+    pair[inner] |= text[at[inner] + 1]
+    order = np.argsort(pair, kind="stable")
+    at, pair = at[order], pair[order]
+    cuts = [*(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(at)]
+    done, last = 0, 0
+    for cut in cuts:
+        if cut - done > HELD and last > done:
+            at[done:last] = _by_text(raw, at[done:last], depth)
+            done = last
+        last = cut
+    at[done:] = _by_text(raw, at[done:], depth)
+    return at
+
+
+def _by_text(raw: bytes, at: np.ndarray, depth: int) -> np.ndarray:
+    keys = [raw[i:i + depth] for i in at.tolist()]
+    return at[sorted(range(len(keys)), key=keys.__getitem__)]
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Start positions of the suffixes in the order of their first `depth` bytes at least.
 
@@ -25,12 +53,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """
     if not len(text):
         return np.zeros(0, dtype=np.int64)
-    raw = text.tobytes()
-    small = smaller_than_next(text)
-    at = np.flatnonzero(small)
-    keys = [raw[i:i + depth] for i in at.tolist()]
-    direct = at[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    direct = _sorted_directly(text, np.flatnonzero(smaller_than_next(text)), depth)
     ends = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[text[-1]].append(np.array([len(text) - 1]))
