@@ -17,12 +17,12 @@ PIECE = 1 << 20
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch_mb: int = 4) -> SparkSession:
     """Session settings, and Arrow batches that stay small when texts are long."""
     tune(spark)
     for key, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", str(1000 * batch_mb)),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_mb << 20)),
     ):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

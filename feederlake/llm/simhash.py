@@ -183,7 +183,7 @@ def without_near_copies(
     pieces of 16 bits: texts meet in a table if their pieces are at most two bits apart and the smallest of their
     shingle hashes is the same, which keeps strangers out however large the corpus is. At a similarity of 0.8 a table
     joins a pair with a chance of about 0.44 and the six with 0.97, more above. Those who meet are tied to the smallest
-    and the largest among them; pairs whose long fingerprints are near enough are compared by their whole sets of
+    among them; pairs whose long fingerprints are near enough are compared by their whole sets of
     shingles, and groups are connected components.
 
     Equal texts are one node. NULL text counts as empty; rows without words are copies of each other. A NULL doc_id
@@ -213,20 +213,19 @@ def without_near_copies(
         .select("k2", "t", "shared", F.explode(F.expr(ball)).alias("variant"))
         .select("k2", F.xxhash64("t", "shared", "variant").alias("place"))
     )
-    ends = met.groupBy("place").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo < hi")
-    tied = met.join(ends, "place").select("k2", F.explode(F.array("lo", "hi")).alias("end")).where("k2 <> end")
-    pairs = tied.select(F.least("k2", "end").alias("lo"), F.greatest("k2", "end").alias("hi")).distinct()
+    smallest = met.groupBy("place").agg(F.min("k2").alias("lo"), F.count("*").alias("n")).where("n > 1")
+    pairs = met.join(smallest, "place").where("lo < k2").select("lo", F.col("k2").alias("hi")).distinct()
     apart = " + ".join(f"bit_count(a[{w}] ^ b[{w}])" for w in range(WORDS))
     likely = settle(
         pairs.join(nodes.select(F.col("k2").alias("lo"), F.col("bits").alias("a")), "lo")
         .join(nodes.select(F.col("k2").alias("hi"), F.col("bits").alias("b")), "hi")
         .where(f"{apart} <= {distance_limit(similarity)}").select("lo", "hi"), "pairs")
     sets = settle(shingle_sets(rows, likely.select(F.explode(F.array("lo", "hi")).alias("k2")).distinct(), width), "sets")
-    common = "size(array_intersect(a, b))"
     near = settle(
         likely.join(sets.select(F.col("k2").alias("lo"), F.col("shingles").alias("a")), "lo")
         .join(sets.select(F.col("k2").alias("hi"), F.col("shingles").alias("b")), "hi")
-        .where(f"{common} >= {similarity}D * (size(a) + size(b) - {common})").select("lo", "hi"), "near")
+        .selectExpr("lo", "hi", "size(a) + size(b) AS both", "size(array_intersect(a, b)) AS common")
+        .where(f"common >= {similarity}D * (both - common)").select("lo", "hi"), "near")
     part = components(near, "lo", "hi").withColumnRenamed("node", "k2")
     kept = (
         nodes.join(part, "k2", "left").groupBy(F.coalesce("component", "k2").alias("component"))
