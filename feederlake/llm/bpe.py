@@ -16,14 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feederlake.llm.byte_tokens import byte_alphabet
-from feederlake.llm.common import map_batches, prepare, text_bytes
+from feederlake.llm.common import map_batches, prepare, row_groups, text_bytes
 
 #: Chunks between white space that a Python worker remembers, and bytes up to which one is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
+#: Bytes of text whose unknown words are merged together.
+TOGETHER = 6 << 20
 #: Beyond these characters the library normalises and splits; lower case and white space are plain within.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
 
 
+def _different(places: list[np.ndarray]) -> np.ndarray:
+    """All places once, in order."""
+    at = np.sort(np.concatenate(places)) if len(places) > 1 else np.sort(places[0])
+    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) > 1 else at
+
+
 class WordMerges:
     """Vocabulary and merges of a file for the tokenizers library; encode() and decode() give what that library gives."""
 
@@ -57,6 +65,7 @@ class WordMerges:
         np.minimum.at(lowest, right, np.arange(len(left)))
         self.stepwise = lowest[self.made] < np.arange(len(left))
         self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 if it is never merged."""
@@ -98,7 +107,7 @@ class WordMerges:
         note(np.flatnonzero(after >= 0))
         while active:
             rank = heapq.heappop(active)
-            at = np.unique(np.concatenate(index.pop(rank)))
+            at = _different(index.pop(rank))
             follower = after[at]
             good = alive[at] & (follower >= 0)
             good &= (symbol[at] == self.left[rank]) & (symbol[follower] == self.right[rank])
@@ -124,7 +133,7 @@ class WordMerges:
             inside = beyond >= 0
             before[beyond[inside]] = at[inside]
             previous = before[at]
-            note(np.unique(np.concatenate((at[inside], previous[previous >= 0]))))
+            note(_different([at[inside], previous[previous >= 0]]))
         raw = symbol[alive].astype("<u4").tobytes()
         upto = (4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))).tolist()
         return [raw[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
@@ -153,9 +162,13 @@ class WordMerges:
                 plain[i] = text.split()
         fresh = {c: [w.encode() for w in self.split.findall(c.lower())]
                  for c in dict.fromkeys(c for chunks in plain.values() for c in chunks if c not in self.known)}
-        words = list(dict.fromkeys([w for ws in fresh.values() for w in ws]
-                                   + [w for parts in other.values() for w in parts if isinstance(w, bytes)]))
-        merged = dict(zip(words, self.merge(words), strict=True)) if words else {}
+        merged = self.words
+        if len(merged) > REMEMBERED:
+            merged = self.words = {}
+        words = [w for w in dict.fromkeys([w for ws in fresh.values() for w in ws] + [
+            w for parts in other.values() for w in parts if isinstance(w, bytes)]) if w not in merged]
+        if words:
+            merged.update(zip(words, self.merge(words), strict=True))
         now = {c: b"".join([merged[w] for w in ws]) for c, ws in fresh.items()}
         known = self.known
         out = []
@@ -187,11 +200,14 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataF
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         data, bounds = text_bytes(batch.column(1))
-        raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield {"row": batch.column(0), "ids": pa.array(word_merges(vocabulary).encode(texts), type=pa.binary())}
-
-    prepare(docs.sparkSession)
+        for first, last in row_groups(bounds, TOGETHER):
+            raw = data[bounds[first]:bounds[last]].tobytes()
+            at = (bounds[first:last + 1] - bounds[first]).tolist()
+            texts = [raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+            ids = pa.array(word_merges(vocabulary).encode(texts), type=pa.binary())
+            yield {"row": batch.column(0).slice(first, last - first), "ids": ids}
+
+    prepare(docs.sparkSession, batch_mb=8)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("text"))
     return map_batches(rows, per_batch, f"row {rows.schema['row'].dataType.simpleString()}, ids binary")
 
@@ -209,6 +225,6 @@ def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
             yield {"row": batch.column(0).slice(first, 500), "ids": batch.column(1).slice(first, 500),
                    "decoded": pa.array(texts, type=pa.binary()).cast(pa.string())}
 
-    prepare(coded.sparkSession)
+    prepare(coded.sparkSession, batch_mb=8)
     return map_batches(coded.select("row", "ids"), per_batch,
                        f"row {coded.schema['row'].dataType.simpleString()}, ids binary, decoded string")
