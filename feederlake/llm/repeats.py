@@ -275,7 +275,7 @@ def without_repeats(
     """
     if not ANCHOR < length <= 255 + ANCHOR:
         raise ValueError(f"length must be over {ANCHOR} and at most {255 + ANCHOR}")
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, batch_mb=16)
     named = docs.select(
         F.struct("*").alias("row"), F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -311,13 +311,13 @@ def without_repeats(
                 "n_bytes": np.diff(bounds), "n_removed": removed, "n_spans": counts}
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        data, bounds = text_bytes(batch.column(1))
+        data, bounds = text_bytes(pc.struct_field(batch.column(0), [text_column]))
         for first, last in row_groups(bounds):
             yield {"row": batch.column(0).slice(first, last - first)} | cut(
                 data[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first],
-                batch.column(2).slice(first, last - first))
+                batch.column(1).slice(first, last - first))
 
     kept_type = pa.string() if as_text else pa.binary()
-    joined = rows.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
+    joined = rows.select("k1", "k2", "row").join(spans, ["k1", "k2"], "left").select("row", "spans")
     kind = f"{joined.schema['row'].dataType.simpleString()}, kept {'string' if as_text else 'binary'}"
     return map_batches(joined, per_batch, f"row {kind}, n_bytes long, n_removed long, n_spans long")
