@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,29 +134,24 @@ def _stirred(hashes: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def long_fingerprint(text: bytes, width: int) -> tuple[list[int], list[int]]:
-    """WORDS words of majority bits, and the smallest of the shingle hashes under TABLES orders."""
-    counts, total = np.zeros((WORDS, 64), dtype=np.int64), 0
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different shingle hashes of a text."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def long_fingerprint(text: bytes, width: int) -> tuple[list[int], list[int], int]:
+    """WORDS words of majority bits of the different shingles, the smallest of them under TABLES orders, their number."""
+    hashes = shingle_set(text, width)
+    counts = np.zeros((WORDS, 64), dtype=np.int64)
     least = np.full(TABLES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for hashes in shingle_hashes(text, width):
+    for at in range(0, len(hashes), 1 << 15):
+        own = hashes[at:at + (1 << 15)]
         for turn in range(WORDS):
-            _majority(_stirred(hashes, turn), counts[turn])
+            _majority(_stirred(own, turn), counts[turn])
         for turn in range(TABLES):
-            least[turn] = min(least[turn], _stirred(hashes, WORDS + turn).min())
-        total += len(hashes)
-    bits = np.packbits(2 * counts > total, axis=1).view(">u8").astype(np.uint64).ravel()
-    return bits.view(np.int64).tolist(), least.view(np.int64).tolist()
-
-
-def distance_limit(similarity: float) -> int:
-    """Differing bits of a long fingerprint up to which texts count as that similar.
-
-    Sets of shingles with Jaccard similarity s have the cosine 2s / (1 + s), and each bit differs with the share that
-    their angle has of half a turn. One standard deviation is granted.
-    """
-    bits = 64 * WORDS
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+            least[turn] = min(least[turn], _stirred(own, WORDS + turn).min())
+    bits = np.packbits(2 * counts > len(hashes), axis=1).view(">u8").astype(np.uint64).ravel()
+    return bits.view(np.int64).tolist(), least.view(np.int64).tolist(), len(hashes)
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -166,7 +160,7 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         data, bounds = text_bytes(batch.column(1))
         raw = data.tobytes()
-        found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(raw[a:b], width)])).view(np.int64)
+        found = [shingle_set(raw[a:b], width).view(np.int64)
                  for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield {"k2": batch.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))}
 
@@ -179,12 +173,13 @@ def without_near_copies(
 ) -> DataFrame:
     """The rows of `docs` without near copies: of each group the one with the smallest doc_id stays, once.
 
-    Texts are near copies if the Jaccard similarity of their sets of `width`-word shingles is `similarity` or more. Such texts seldom lie within two bits in 64, so the balls are thrown around six
-    pieces of 16 bits: texts meet in a table if their pieces are at most two bits apart and the smallest of their
-    shingle hashes is the same, which keeps strangers out however large the corpus is. At a similarity of 0.8 a table
-    joins a pair with a chance of about 0.44 and the six with 0.97, more above. Those who meet are tied to the smallest
-    among them; pairs whose long fingerprints are near enough are compared by their whole sets of
-    shingles, and groups are connected components.
+    Texts are near copies if the Jaccard similarity of their sets of `width`-word shingles is `similarity` or more. Such
+    texts seldom lie within two bits in 64, so the balls are thrown around six pieces of 16 bits, made from the different
+    shingles: texts meet in a table if their pieces are at most two bits apart and the smallest of their shingle hashes
+    is the same, which keeps strangers out however large the corpus is. At a similarity of 0.8 a table joins a pair with
+    a chance of about 0.44 and the six with 0.97, more above. Those who meet are tied to the smallest among them. Pairs
+    are compared by their whole sets of shingles, unless their sizes alone rule the similarity out, and groups are
+    connected components.
 
     Equal texts are one node. NULL text counts as empty; rows without words are copies of each other. A NULL doc_id
     counts as larger than any other. All columns of `docs` are returned, whatever their names.
@@ -195,16 +190,16 @@ def without_near_copies(
         raw = data.tobytes()
         marks = [long_fingerprint(raw[a:b], width) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield {"k1": batch.column(0), "k2": batch.column(1), "bits": pa.array([m[0] for m in marks], pa.list_(pa.int64())),
-               "least": pa.array([m[1] for m in marks], pa.list_(pa.int64()))}
+               "least": pa.array([m[1] for m in marks], pa.list_(pa.int64())), "size": [m[2] for m in marks]}
 
     prepare(docs.sparkSession)
     key = [F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("k1"),
            F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("k2")]
     rows = docs.select(*key, F.col(text_column).alias("text"))
     marked = settle(
-        map_batches(rows, per_batch, "k1 long, k2 long, bits array<long>, least array<long>"), "fingerprints")
+        map_batches(rows, per_batch, "k1 long, k2 long, bits array<long>, least array<long>, size long"), "fingerprints")
     nodes = settle(marked.groupBy("k2").agg(
-        F.min("k1").alias("k1"), F.first("bits").alias("bits"), F.first("least").alias("least")), "nodes")
+        F.min("k1").alias("k1"), F.first("bits").alias("bits"), F.first("least").alias("least"), F.first("size").alias("size")), "nodes")
     piece = "shiftright(bits[t div 4], 16 * (t % 4)) & 65535"
     ball = "concat(array(piece), transform(sequence(0, 15), i -> piece ^ shiftleft(1L, i)))"
     met = (
@@ -215,11 +210,10 @@ def without_near_copies(
     )
     smallest = met.groupBy("place").agg(F.min("k2").alias("lo"), F.count("*").alias("n")).where("n > 1")
     pairs = met.join(smallest, "place").where("lo < k2").select("lo", F.col("k2").alias("hi")).distinct()
-    apart = " + ".join(f"bit_count(a[{w}] ^ b[{w}])" for w in range(WORDS))
     likely = settle(
-        pairs.join(nodes.select(F.col("k2").alias("lo"), F.col("bits").alias("a")), "lo")
-        .join(nodes.select(F.col("k2").alias("hi"), F.col("bits").alias("b")), "hi")
-        .where(f"{apart} <= {distance_limit(similarity)}").select("lo", "hi"), "pairs")
+        pairs.join(nodes.select(F.col("k2").alias("lo"), F.col("size").alias("a")), "lo")
+        .join(nodes.select(F.col("k2").alias("hi"), F.col("size").alias("b")), "hi")
+        .where(f"least(a, b) >= {similarity}D * greatest(a, b)").select("lo", "hi"), "pairs")
     sets = settle(shingle_sets(rows, likely.select(F.explode(F.array("lo", "hi")).alias("k2")).distinct(), width), "sets")
     near = settle(
         likely.join(sets.select(F.col("k2").alias("lo"), F.col("shingles").alias("a")), "lo")

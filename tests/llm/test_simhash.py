@@ -115,3 +115,37 @@ def test_near_copies_odd(odd_docs, odd_rows):
     assert sum(i == 17 for i, _ in rows) == 2  # the same id with another text is another document
     assert [i for i, t in rows if t in (dict(odd_rows)[6], dict(odd_rows)[20])] == [6]
     assert sum(i is None for i, _ in rows) == 1
+
+
+def meetings(spark, pairs):
+    """How many of the pairs of texts are brought down to one."""
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    ids = {r.doc_id for r in simhash.without_near_copies(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    return sum(2 * i + 1 not in ids for i in range(len(pairs)))
+
+
+def edited(own, size, gone):
+    """Two texts of `size` words, all different; `gone` words at the end of the second are others."""
+    words = [f"{own.getrandbits(40):x}" for _ in range(size)]
+    return " ".join(words), " ".join(words[:size - gone] + [f"{own.getrandbits(40):x}" for _ in range(gone)])
+
+
+@pytest.mark.parametrize(("gone", "least"), [(22, 0.92), (18, 0.96), (10, 0.99)])
+def test_chance_to_meet(spark, gone, least):
+    """At similarities of 0.8, 0.84 and 0.9: what meets is compared, whatever the distance of the fingerprints."""
+    own = random.Random(gone)
+    pairs = [edited(own, 204, gone) for _ in range(600)]
+    assert all(0.8 <= alike(*map(shingles, p)) for p in pairs[:20])
+    assert meetings(spark, pairs) >= least * len(pairs)
+
+
+def test_repeated_lines_do_not_hide_near_copies(spark):
+    own = random.Random(12)
+    pairs = []
+    for _ in range(60):
+        text, other = edited(own, 204, 5)
+        line = " ".join(text.split()[:25])
+        pairs.append((text, other + f" {line}" * 60))
+    assert all(0.8 <= alike(*map(shingles, p)) for p in pairs)
+    assert meetings(spark, pairs) >= 55
