@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederlake.llm.common import map_batches, prepare, text_bytes, word_pieces
@@ -168,6 +168,88 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return map_batches(texts, per_batch, "k2 long, shingles array<long>")
 
 
+def shared_places(met: DataFrame) -> DataFrame:
+    """(place, k2) of the places with more than one member; of places with the same members only one."""
+    crowd = met.groupBy("place").agg(
+        F.count("*").alias("n"), F.min("k2").alias("lo"), F.expr("bit_xor(xxhash64(k2))").alias("mark")).where("n > 1")
+    return met.join(crowd.groupBy("n", "lo", "mark").agg(F.min("place").alias("place")).select("place"), "place")
+
+
+def _distances(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(lo, hi, near, nearest, farthest): whether the sets of a pair are that similar, and bounds of 1 - similarity.
+
+    Both bounds are the distance itself, except where the numbers of shingles alone rule the similarity out.
+    """
+    sized = (
+        pairs.join(sizes.select(F.col("k2").alias("lo"), F.col("size").alias("m")), "lo")
+        .join(sizes.select(F.col("k2").alias("hi"), F.col("size").alias("n")), "hi")
+    )
+    fit = f"least(m, n) >= {similarity}D * greatest(m, n)"
+    ruled_out = sized.where(f"NOT {fit}").selectExpr(
+        "lo", "hi", "false AS near", "1D - least(m, n) / greatest(m, n) AS nearest", "1D AS farthest")
+    compared = (
+        sized.where(fit).join(sets.select(F.col("k2").alias("lo"), F.col("shingles").alias("a")), "lo")
+        .join(sets.select(F.col("k2").alias("hi"), F.col("shingles").alias("b")), "hi")
+        .selectExpr("lo", "hi", "m + n AS both", "size(array_intersect(a, b)) AS common")
+        .selectExpr("lo", "hi", f"common >= {similarity}D * (both - common) AS near",
+                    "IF(both = 0, 0D, 1D - common / (both - common)) AS nearest")
+        .withColumn("farthest", F.col("nearest"))
+    )
+    return compared.unionByName(ruled_out)
+
+
+def linked_texts(members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the groups that all pairs of near copies make which share a place of `members`.
+
+    In rounds: the first members of each place, one and then twice as many each time, are compared with all others there
+    that are not in their group yet, and leave. A member of the group of such a centre goes too where nobody of another
+    group can be its near copy: 1 - similarity is a metric, so that takes somebody about as far from the centre. A place
+    ends when one group is left in it, and no pair is dropped otherwise. Small groups are centres first.
+    """
+    spark = members.sparkSession
+    empty = spark.createDataFrame([], "node long, component long")
+    part, known, centres_each = empty, None, 1
+    here = settle(members.withColumn("part", F.col("k2")), "members")
+    while not here.isEmpty():
+        weight = here.groupBy("place", "part").agg(F.count("*").alias("n"))
+        first = Window.partitionBy("place").orderBy("n", "part", "k2")
+        centres = settle(
+            here.join(weight, ["place", "part"]).withColumn("turn", F.row_number().over(first))
+            .where(f"turn <= {centres_each}").select("place", F.col("k2").alias("centre"), F.col("part").alias("own")),
+            "centres")
+        pairs = here.join(centres, "place").where("part <> own").select(
+            F.least("k2", "centre").alias("lo"), F.greatest("k2", "centre").alias("hi")).distinct()
+        if known is not None:
+            pairs = pairs.join(known, ["lo", "hi"], "left_anti")
+        found = settle(_distances(pairs, sizes, sets, similarity), "distances")
+        known = found if known is None else known.unionByName(found)
+        links = found.where("near").select("lo", "hi").unionByName(part.toDF("lo", "hi"))
+        part = components(links, "lo", "hi")
+        rest = (
+            here.join(centres.select("place", F.col("centre").alias("k2")), ["place", "k2"], "left_anti").drop("part")
+            .join(part.toDF("k2", "part"), "k2", "left").select("place", "k2", F.coalesce("part", "k2").alias("part"))
+        )
+        rest = settle(_open(rest), "members")
+        seen = (
+            rest.join(centres.drop("own"), "place").join(part.toDF("centre", "own"), "centre", "left")
+            .select("place", "k2", "part", "centre", F.coalesce("own", "centre").alias("own"),
+                    F.least("k2", "centre").alias("lo"), F.greatest("k2", "centre").alias("hi"))
+            .join(known.drop("near"), ["lo", "hi"])
+        )
+        others = seen.where("part <> own").groupBy("place", "centre").agg(F.min("nearest").alias("gap"))
+        done = seen.where("part = own").join(others, ["place", "centre"], "left").where(
+            f"gap IS NULL OR gap - farthest > {1 - similarity + 1e-9}D").select("place", "k2").distinct()
+        here = settle(_open(rest.join(done, ["place", "k2"], "left_anti")), "members")
+        centres_each *= 2
+    return part
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of places with more than one group."""
+    two = members.groupBy("place").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
+    return members.join(two.select("place"), "place", "left_semi")
+
+
 def without_near_copies(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
@@ -177,9 +259,8 @@ def without_near_copies(
     texts seldom lie within two bits in 64, so the balls are thrown around six pieces of 16 bits, made from the different
     shingles: texts meet in a table if their pieces are at most two bits apart and the smallest of their shingle hashes
     is the same, which keeps strangers out however large the corpus is. At a similarity of 0.8 a table joins a pair with
-    a chance of about 0.44 and the six with 0.97, more above. Those who meet are tied to the smallest among them. Pairs
-    are compared by their whole sets of shingles, unless their sizes alone rule the similarity out, and groups are
-    connected components.
+    a chance of about 0.44 and the six with 0.97, more above. Those who meet are compared by their whole sets of shingles
+    in rounds (see linked_texts), unless their sizes alone rule the similarity out; groups are connected components.
 
     Equal texts are one node. NULL text counts as empty; rows without words are copies of each other. A NULL doc_id
     counts as larger than any other. All columns of `docs` are returned, whatever their names.
@@ -208,19 +289,9 @@ def without_near_copies(
         .select("k2", "t", "shared", F.explode(F.expr(ball)).alias("variant"))
         .select("k2", F.xxhash64("t", "shared", "variant").alias("place"))
     )
-    smallest = met.groupBy("place").agg(F.min("k2").alias("lo"), F.count("*").alias("n")).where("n > 1")
-    pairs = met.join(smallest, "place").where("lo < k2").select("lo", F.col("k2").alias("hi")).distinct()
-    likely = settle(
-        pairs.join(nodes.select(F.col("k2").alias("lo"), F.col("size").alias("a")), "lo")
-        .join(nodes.select(F.col("k2").alias("hi"), F.col("size").alias("b")), "hi")
-        .where(f"least(a, b) >= {similarity}D * greatest(a, b)").select("lo", "hi"), "pairs")
-    sets = settle(shingle_sets(rows, likely.select(F.explode(F.array("lo", "hi")).alias("k2")).distinct(), width), "sets")
-    near = settle(
-        likely.join(sets.select(F.col("k2").alias("lo"), F.col("shingles").alias("a")), "lo")
-        .join(sets.select(F.col("k2").alias("hi"), F.col("shingles").alias("b")), "hi")
-        .selectExpr("lo", "hi", "size(a) + size(b) AS both", "size(array_intersect(a, b)) AS common")
-        .where(f"common >= {similarity}D * (both - common)").select("lo", "hi"), "near")
-    part = components(near, "lo", "hi").withColumnRenamed("node", "k2")
+    members = settle(shared_places(met), "places")
+    sets = settle(shingle_sets(rows, members.select("k2").distinct(), width), "sets")
+    part = linked_texts(members, nodes.select("k2", "size"), sets, similarity).withColumnRenamed("node", "k2")
     kept = (
         nodes.join(part, "k2", "left").groupBy(F.coalesce("component", "k2").alias("component"))
         .agg(F.min(F.struct("k1", "k2")).alias("key")).select("key.*")

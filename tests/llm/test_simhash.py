@@ -149,3 +149,29 @@ def test_repeated_lines_do_not_hide_near_copies(spark):
         pairs.append((text, other + f" {line}" * 60))
     assert all(0.8 <= alike(*map(shingles, p)) for p in pairs)
     assert meetings(spark, pairs) >= 55
+
+
+def test_copies_behind_strangers(spark):
+    """A family at a similarity of 0.75, each with a twin: twins are found although another text is smallest where they meet."""
+    own = random.Random(5)
+    word = lambda n: [f"{own.getrandbits(40):x}" for _ in range(n)]
+    core, texts = word(180), []
+    for _ in range(60):
+        tail = word(30)
+        texts += [" ".join(core + tail), " ".join(core + tail[:-1] + word(1))]
+    assert alike(shingles(texts[0]), shingles(texts[2])) < 0.78 and alike(shingles(texts[0]), shingles(texts[1])) > 0.97
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == set(range(0, 120, 2))
+
+
+def test_rounds_find_all_links_of_a_place(spark):
+    own = random.Random(9)
+    pool = [own.sample(range(60), 30) for _ in range(6)]
+    sets = [sorted(set(own.choice(pool)) ^ set(own.sample(range(60), own.randint(0, 9)))) for _ in range(60)]
+    want = [(a, b) for a in range(60) for b in range(a) if alike(set(sets[a]), set(sets[b])) >= 0.8]
+    part = classes(set(range(60)), want)
+    members = spark.createDataFrame([(p, i) for p in range(2) for i in range(60)], "place long, k2 long")
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "k2 long, size long")
+    rows = spark.createDataFrame(list(enumerate(sets)), "k2 long, shingles array<long>")
+    got = {r.node: r.component for r in simhash.linked_texts(members, sizes, rows, 0.8).collect()}
+    assert got == {i: c for i, c in part.items() if i != c} and 3 < len(set(part.values())) < 60
