@@ -52,3 +52,15 @@ def test_empty_table_passes_every_stage(spark, folder, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame([], stage(spark, docs, folder).schema)
         assert docs.count() == 0
+
+
+def test_rules_reject_boilerplate_that_reaches_them(spark, folder):
+    folder = folder.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    junk = crf.judged(docs.join(labels.where("quality = 0"), "doc_id", "left_semi"), crf.Crf()).where("kept and n_words >= 50")
+    planted = junk.select("row.*").selectExpr("doc_id + 1000000 AS doc_id", *docs.columns[1:])
+    survivors = corpus_pipeline.quality_classifier(spark, docs, folder)
+    kept = corpus_pipeline.quality_rules(spark, survivors.unionByName(planted), folder)
+    assert planted.count() > 20
+    assert kept.where("doc_id >= 1000000").count() < 0.15 * planted.count()
+    assert kept.where("doc_id < 1000000").count() > 0.9 * survivors.count()
