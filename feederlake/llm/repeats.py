@@ -155,52 +155,86 @@ def _compared(runs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(per_partition, "k1 long, k2 long, place long, anchor long")
 
 
-def _windows(rows: DataFrame, marks: DataFrame, length: int, together: int) -> DataFrame:
-    """The text of the runs to be compared: (route, k1, k2, start, more, known, bytes).
+def _crowded(marks: DataFrame, together: int) -> DataFrame:
+    """The anchors with very many windows to be compared."""
+    return marks.where("place & 2 = 2").groupBy("anchor").count().where(F.col("count") > together).select("anchor")
 
-    The windows of an anchor have one route. If they are very many, each start goes its own way, by its distance from
-    the anchor's run and a hash of its string: equal strings still meet, as all of this depends on the string alone.
+
+def _marked_texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(k1, k2, text, marks) of the texts that have runs to be compared."""
+    per_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "anchor")).alias("marks"))
+    return rows.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "marks")
+
+
+def _marks_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and anchor of every mark of a batch of marked texts."""
+    lists = batch.column(3)
+    flat = lists.flatten()
+    place, anchor = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    return np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), place, anchor
+
+
+def _windows(rows: DataFrame, marks: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
+    """The text of the runs to be compared: (route, k1, k2, start, more, known, bytes), but for crowded anchors.
+
+    The windows of an anchor have one route.
     """
-    asked = marks.where("place & 2 = 2")
-    crowded = asked.groupBy("anchor").count().where(F.col("count") > together).select(
-        "anchor", F.ceil(F.col("count") / together).cast("long").alias("ways"))
-    asked = asked.join(crowded, "anchor", "left").select(
-        "k1", "k2", F.struct("place", "anchor", F.coalesce("ways", F.lit(0).cast("long")).alias("ways")).alias("mark"))
-    per_text = asked.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks"))
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         data, bounds = text_bytes(batch.column(2))
-        lists = batch.column(3)
-        flat = lists.flatten()
-        place, anchor, ways = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        row, place, anchor = _marks_of(batch)
         start, more = place >> 10, (place >> 2) & 255
-        alone = np.flatnonzero(ways)
-        if len(alone):
-            single = np.repeat(alone, more[alone] + 1)
-            step = np.arange(len(single)) - np.repeat(np.cumsum(more[alone] + 1) - more[alone] - 1, more[alone] + 1)
-            usual = np.flatnonzero(ways == 0)
-            pick = np.concatenate((usual, single))
-            start = start[pick] + np.concatenate((np.zeros(len(usual), np.int64), step))
-            more = np.where(np.arange(len(pick)) < len(usual), more[pick], 0)
-            row, anchor, ways, place = row[pick], anchor[pick], ways[pick], place[pick]
         begin = bounds[row] + start
         raw = data.tobytes()
         texts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + more + length).tolist(), strict=True)]
-        route = anchor.copy()
-        for i in np.flatnonzero(ways):  # crowded anchors only
-            digest = int.from_bytes(hashlib.blake2b(texts[i], digest_size=8).digest(), "little")
-            route[i] = int(anchor[i]) ^ (digest % int(ways[i]) * 0x9E3779B97F4A7C15 >> 2 & (1 << 62) - 1)
         for at in range(0, len(row), 20_000):
             own = slice(at, at + 20_000)
             index = pa.array(row[own])
-            yield {"route": route[own], "k1": batch.column(0).take(index), "k2": batch.column(1).take(index),
+            yield {"route": anchor[own], "k1": batch.column(0).take(index), "k2": batch.column(1).take(index),
                    "start": start[own], "more": more[own], "known": (place[own] & 1) > 0,
                    "bytes": pa.array(texts[own], type=pa.binary())}
 
-    joined = rows.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "marks")
+    asked = marks.where("place & 2 = 2").join(crowded, "anchor", "left_anti")
     return map_batches(
-        joined, per_batch, "route long, k1 long, k2 long, start long, more long, known boolean, bytes binary")
+        _marked_texts(rows, asked), per_batch,
+        "route long, k1 long, k2 long, start long, more long, known boolean, bytes binary")
+
+
+def _counted(rows: DataFrame, marks: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
+    """Spans (k1, k2, first, last) of the repeated strings of crowded anchors.
+
+    Every start sends a hash of 128 bits of its string in place of the string. Equal ones are counted before the shuffle,
+    and all starts of those counted twice or more are found by a join, so no task holds the copies of a string.
+    """
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+        data, bounds = text_bytes(batch.column(2))
+        raw = data.tobytes()
+        row, place, _ = _marks_of(batch)
+        runs = np.cumsum((place >> 2 & 255) + 1)
+        done = 0
+        while done < len(row):  # about 20,000 starts at a time
+            last = max(done + 1, int(np.searchsorted(runs, (runs[done - 1] if done else 0) + 20_000)))
+            more = (place[done:last] >> 2) & 255
+            step = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+            start = np.repeat(place[done:last] >> 10, more + 1) + step
+            own = np.repeat(row[done:last], more + 1)
+            digests = b"".join(hashlib.blake2b(raw[a:a + length], digest_size=16).digest()
+                               for a in (bounds[own] + start).tolist())
+            halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+            index = pa.array(own)
+            yield {"k1": batch.column(0).take(index), "k2": batch.column(1).take(index), "first": start,
+                   "known": np.repeat(place[done:last] & 1 > 0, more + 1),
+                   "h1": np.ascontiguousarray(halves[:, 0]), "h2": np.ascontiguousarray(halves[:, 1])}
+            done = last
+
+    asked = marks.where("place & 2 = 2").join(crowded, "anchor", "left_semi")
+    starts = settle(map_batches(
+        _marked_texts(rows, asked), per_batch,
+        "k1 long, k2 long, first long, known boolean, h1 long, h2 long"), "starts")
+    twice = starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    return starts.where("NOT known").join(twice, ["h1", "h2"], "left_semi").select(
+        "k1", "k2", "first", (F.col("first") + length).alias("last"))
 
 
 def _settled(windows: DataFrame, length: int, block: int) -> DataFrame:
@@ -283,7 +317,10 @@ def without_repeats(
     plain = rows.select("k1", "k2", "text")
     runs = settle(_runs(plain, length), "runs")
     marks = settle(_compared(runs), "marks")
-    compared = _settled(_windows(plain, marks, length, together), length, block)
+    crowded = settle(_crowded(marks, together), "crowded")
+    compared = _settled(_windows(plain, marks, crowded, length), length, block)
+    if not crowded.isEmpty():
+        compared = compared.unionByName(_counted(plain, marks, crowded, length))
     end = F.expr(f"shiftright(place, 10) + (shiftright(place, 2) & 255) + {length}")
     span = ["k1", "k2", F.expr("shiftright(place, 10)").alias("first"), end.alias("last")]
     spans = (

@@ -85,3 +85,18 @@ def test_empty(no_docs):
     assert repeats.without_repeats(no_docs).count() == 0
     with pytest.raises(ValueError):
         repeats.without_repeats(no_docs, length=64)
+
+
+def test_copies_of_a_string_do_not_fill_a_task(spark):
+    """A passage in different surroundings in every document: its anchors are crowded, and no route holds all copies."""
+    own = random.Random(13)
+    passage = "".join(own.choices("abcdefgh ", k=140))
+    rows = [(i, "".join(own.choices("xyz", k=50)) + passage + "".join(own.choices("xyz", k=50))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, usual = [], repeats._settled
+    repeats._settled = lambda windows, *more: seen.append(windows) or usual(windows, *more)
+    try:
+        assert found(docs, 100, together=50) == plain(rows, 100)
+    finally:
+        repeats._settled = usual
+    assert max([r[1] for r in seen[0].groupBy("route").count().collect()], default=0) <= 50
