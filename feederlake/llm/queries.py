@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederlake.llm import bpe, chat, crf, gam, licenses, order_minhash, packing, repeats, simhash, token_rollup
+from feederlake.llm import (
+    bpe, chat, crf, gam, licenses, merkle, order_minhash, packing, repeats, simhash, token_rollup,
+)
 from feederlake.session import scratch_path, settle
 
 
@@ -111,6 +113,17 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents; those with an even checksum of their number are read back without line ends."""
+    even = F.expr("crc32(cast(doc_id AS string)) % 2 = 0")
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    whole = merkle.manifest(
+        table(spark, folder, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), {"text": tampered})
+    return whole.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_rules": op1_line_rules,
     "op2_token_rollup": op2_token_rollup,
@@ -122,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_bpe": op9_bpe,
     "op10_repeats": op10_repeats,
+    "op13_merkle": op13_merkle,
 }
 SQL: dict[str, str] = {"op2_token_rollup": """
     WITH counts AS (
@@ -181,3 +195,63 @@ SQL: dict[str, str] = {"op2_token_rollup": """
     FROM files AS f LEFT JOIN own AS o USING (path) LEFT JOIN nearest AS n USING (path)""".format(
         cue=licenses.CUE, word="[a-z0-9]+(?:[.-][a-z0-9]+)*",
         templates=", ".join(f"({n}, '{i}', '{t}')" for n, (i, t) in enumerate(licenses.TEMPLATES)))}
+
+
+def merkle_sql(levels: int = 12, over: int = 8) -> str:
+    """The manifest level by level, for up to 3 ** levels documents of a source and 3 ** over sources."""
+    code = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    row = lambda text: "sha256(" + " || ".join(map(code, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = ("list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), "
+           "lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+           "lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))")
+    parts = [f"""
+    leaves AS MATERIALIZED (
+        SELECT row_number() OVER () AS k, source, doc_id, {row('text')} AS leaf,
+               CASE WHEN xor({crc}, 4294967295::UBIGINT) % 2 = 0 THEN {row("replace(text, chr(10), '')")}
+                    ELSE {row('text')} END AS claim
+        FROM documents
+    ), a0 AS MATERIALIZED (
+        SELECT k, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS pos,
+               count(*) OVER (PARTITION BY source) AS n, leaf AS d FROM leaves
+    )"""]
+
+    def story(name: str, height: int) -> None:
+        for i in range(height):
+            run = f"OVER (PARTITION BY g, pos // 3 ORDER BY pos ROWS BETWEEN"
+            parts.append(f"""{name}{i}s AS MATERIALIZED (
+        SELECT g, pos, n, coalesce(string_agg(d, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               coalesce(string_agg(d, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i}
+    ), {name}{i + 1} AS MATERIALIZED (
+        SELECT g, pos // 3 AS pos, (n + 2) // 3 AS n,
+               CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE min(d) END AS d
+        FROM {name}{i} GROUP BY g, pos // 3, n
+    )""")
+
+    def folds(name: str, height: int, first: str) -> str:
+        for i in range(height):
+            parts.append(f"""{name}{i}f AS MATERIALIZED (
+        SELECT f.* EXCLUDE (pos, claim, proof), f.pos // 3 AS pos, f.proof || s.l || s.r AS proof,
+               CASE WHEN s.n > 1 THEN sha256(s.l || f.claim || s.r) ELSE f.claim END AS claim
+        FROM {first} AS f JOIN {name}{i}s AS s ON f.g IS NOT DISTINCT FROM s.g AND f.pos = s.pos
+    )""")
+            first = f"{name}{i}f"
+        return first
+
+    story("a", levels)
+    parts.append(f"""b0 AS MATERIALIZED (
+        SELECT '' AS g, g AS source, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, d FROM a{levels}
+    )""")
+    story("b", over)
+    parts.append("start AS MATERIALIZED (SELECT a0.*, leaf, doc_id, claim, '' AS proof FROM a0 JOIN leaves USING (k))")
+    below = folds("a", levels, "start")
+    parts.append(f"""middle AS MATERIALIZED (
+        SELECT f.* EXCLUDE (g, pos), b0.g, b0.pos, b0.d AS subroot
+        FROM {below} AS f JOIN b0 ON f.g IS NOT DISTINCT FROM b0.source
+    )""")
+    last = folds("b", over, "middle")
+    return "WITH " + ", ".join(parts) + f"""
+    SELECT doc_id, leaf, subroot, (SELECT d FROM b{over}) AS root, sha256(proof) AS proof_sha256, claim AS folded_root,
+           claim = (SELECT d FROM b{over}) AS verified FROM {last}"""
+
+
+SQL["op13_merkle"] = merkle_sql()
