@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feederlake.llm import (
-    bpe, chat, crf, gam, licenses, merkle, order_minhash, packing, repeats, simhash, token_rollup,
+    bpe, chat, crf, gam, licenses, merkle, order_minhash, packing, repair, repeats, simhash, token_rollup,
 )
 from feederlake.session import scratch_path, settle
 
@@ -113,6 +113,20 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations damaged by a checksum of their number and turn, repaired."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    turns = table(spark, folder, "conversations").select(
+        "conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"),
+        (F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20).alias("code"))
+    damaged = turns.select(
+        "conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text")).alias("text"),
+        (F.col("code") == 0).alias("dropped"), F.explode(F.sequence(F.lit(0), (F.col("code") == 3).cast("int"))).alias("copy"))
+    return repair.digests(repair.repaired(damaged, absent=F.col("dropped")))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest of all documents; those with an even checksum of their number are read back without line ends."""
     even = F.expr("crc32(cast(doc_id AS string)) % 2 = 0")
@@ -135,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_bpe": op9_bpe,
     "op10_repeats": op10_repeats,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle": op13_merkle,
 }
 SQL: dict[str, str] = {"op2_token_rollup": """
