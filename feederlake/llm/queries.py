@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feederlake.llm import (
-    bpe, chat, crf, gam, licenses, merkle, order_minhash, packing, repair, repeats, simhash, token_rollup,
+    bpe, chat, crf, gam, language, licenses, merkle, order_minhash, packing, repair, repeats, simhash, token_rollup,
 )
 from feederlake.session import scratch_path, settle
 
@@ -113,6 +113,12 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.predict(docs, language.fit(docs)).select(
+        "row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations damaged by a checksum of their number and turn, repaired."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -149,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_bpe": op9_bpe,
     "op10_repeats": op10_repeats,
+    "op11_language": op11_language,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle": op13_merkle,
 }
