@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from feederlake.llm.components import components
 from feederlake.session import settle
 
 SEED = 42
+#: From pairs (lo, hi, m, n) and what is known of each text to the pairs with the shingles they have in common.
+Common = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
@@ -120,42 +122,79 @@ def near_duplicates(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-#: 64-bit words of a long fingerprint, and the tables of 16 bits of it in which copies are looked for.
-WORDS, TABLES = 4, 6
-
-
-def _stirred(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """Another hash for each hash; the same one for turn 0."""
-    if not turn:
-        return hashes
-    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: A text of n different shingles keeps about n / 2 ** level of them, SAMPLE at least and twice that at most.
+SAMPLE = 32
+#: Share of the kept shingles that two texts have in common at least, unless all are kept.
+COMMON = 0.6
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The different shingle hashes of a text."""
+    """The different shingle hashes of a text, in order."""
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
 
 
-def long_fingerprint(text: bytes, width: int) -> tuple[list[int], list[int], int]:
-    """WORDS words of majority bits of the different shingles, the smallest of them under TABLES orders, their number."""
-    hashes = shingle_set(text, width)
-    counts = np.zeros((WORDS, 64), dtype=np.int64)
-    least = np.full(TABLES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1 << 15):
-        own = hashes[at:at + (1 << 15)]
-        for turn in range(WORDS):
-            _majority(_stirred(own, turn), counts[turn])
-        for turn in range(TABLES):
-            least[turn] = min(least[turn], _stirred(own, WORDS + turn).min())
-    bits = np.packbits(2 * counts > len(hashes), axis=1).view(">u8").astype(np.uint64).ravel()
-    return bits.view(np.int64).tolist(), least.view(np.int64).tolist(), len(hashes)
+def level(size: int) -> int:
+    """How often the shingles of a text are halved: those whose hash begins with that many zero bits are kept."""
+    return max(0, (size // SAMPLE).bit_length() - 1)
+
 
+def shingle_sketches(rows: DataFrame, width: int) -> DataFrame:
+    """(key, s1, s2, size, level, kept): a 128-bit hash of the set of shingles of each text, and the shingles kept."""
 
-def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(k2, shingles): the different shingle hashes of each wanted text, taken from one of the rows that have it."""
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+        data, bounds = text_bytes(batch.column(1))
+        raw = data.tobytes()
+        marks, numbers, kept = [], [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = shingle_set(raw[a:b], width)
+            here = level(len(own))
+            marks.append(xxhash.xxh3_128_digest(own.tobytes()))
+            numbers.append((len(own), here))
+            kept.append(own[:np.searchsorted(own, np.uint64(1 << 64 - here))].view(np.int64) if here else own.view(np.int64))
+        halves = np.frombuffer(b"".join(marks), dtype="<i8").reshape(-1, 2)
+        number = np.array(numbers, dtype=np.int64).reshape(-1, 2)
+        yield {"key": batch.column(0), "s1": np.ascontiguousarray(halves[:, 0]), "s2": np.ascontiguousarray(halves[:, 1]),
+               "size": np.ascontiguousarray(number[:, 0]), "level": number[:, 1].astype(np.int32),
+               "kept": pa.array(kept, pa.list_(pa.int64()))}
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return map_batches(rows, per_batch, f"key {kind}, s1 long, s2 long, size long, level int, kept array<long>")
+
+
+def _in_order(entries: DataFrame, by: list[str]) -> DataFrame:
+    """The entries (k2, h, ...) that another text has too, with `shared`, how many of them a text has, and `turn`, the
+    place of each among them from 1, the rarest first."""
+    key = [*by, "h"]
+    often = entries.groupBy(*key).agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("k2", *by)
+    return entries.join(often, key).withColumns(
+        {"turn": F.row_number().over(own.orderBy("df", "h")), "shared": F.count("*").over(own)})
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(k2) of the texts, given as (k2, size, level, kept), of whose kept shingles a share of COMMON stands in other texts.
+
+    Where all are kept the share is `similarity`: then no text with a near copy is left out. Texts are held against
+    those of their own level, and against the next one if they may have near copies there.
+    """
+    both = nodes.select("k2", F.col("level").alias("at"), "kept").unionByName(
+        nodes.where(f"size >= {similarity}D * {SAMPLE} * shiftleft(2L, level)").selectExpr(
+            "k2", "level + 1 AS at", "filter(kept, h -> shiftrightunsigned(h, 63 - level) = 0) AS kept"))
+    entries = both.select("k2", "at", F.size("kept").alias("n"), F.explode("kept").alias("h"))
+    often = entries.groupBy("at", "h").agg(F.count("*").alias("df")).where("df > 1").select("at", "h")
+    shared = entries.join(often, ["at", "h"]).groupBy("k2", "at", "n").agg(F.count("*").alias("shared"))
+    return shared.where(f"shared >= n * IF(at = 0, {similarity}D, {COMMON}D) - 1e-9D").select("k2").distinct()
+
+
+def rare_places(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(place, k2, size, reach): at which shingles texts (k2, text) meet, and the largest text that each can match there.
+
+    All shingles of a text are put in the order of their frequency, the rarest first. If the first shingle that two texts
+    share comes after i others in one of them, those i are not shared, so the overlap is `size` - i at most, and the
+    other text can have no more than `reach` shingles at that similarity. A text enters only where the reach is not below
+    the smallest text that is similar enough by number. What a crowd shares comes last: it is met only by texts that
+    hold little else, and two texts that add much of their own to it never meet.
+    """
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         data, bounds = text_bytes(batch.column(1))
@@ -164,33 +203,73 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                  for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield {"k2": batch.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))}
 
-    texts = rows.join(wanted, "k2").select("k2", "text").dropDuplicates(["k2"])
-    return map_batches(texts, per_batch, "k2 long, shingles array<long>")
+    sets = map_batches(texts.select("k2", "text"), per_batch, "k2 long, shingles array<long>")
+    entries = sets.select("k2", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("h"))
+    at = "(shared + 1 - turn)"  # size - i: the shingles from this one on
+    reach = f"CAST(floor({at} * {1 + similarity}D / {similarity}D - size + 1e-6D) AS LONG)"
+    return _in_order(entries, []).where(f"{at} >= {similarity}D * size - 1e-6D").select(
+        F.col("h").alias("place"), "k2", "size", F.expr(reach).alias("reach"))
 
 
 def shared_places(met: DataFrame) -> DataFrame:
-    """(place, k2) of the places with more than one member; of places with the same members only one."""
+    """(place, k2, size, reach) of the places with more than one member; places with the same members become one."""
     crowd = met.groupBy("place").agg(
         F.count("*").alias("n"), F.min("k2").alias("lo"), F.expr("bit_xor(xxhash64(k2))").alias("mark")).where("n > 1")
-    return met.join(crowd.groupBy("n", "lo", "mark").agg(F.min("place").alias("place")).select("place"), "place")
+    one = crowd.withColumn("least", F.min("place").over(Window.partitionBy("n", "lo", "mark"))).select("place", "least")
+    return met.join(one, "place").groupBy(F.col("least").alias("place"), "k2").agg(
+        F.first("size").alias("size"), F.max("reach").alias("reach"))
+
+
+def _common_of_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (lo, hi, m, n) with `common`, the number of shingles that both have."""
+    return (
+        pairs.join(sets.select(F.col("k2").alias("lo"), F.col("shingles").alias("a")), "lo")
+        .join(sets.select(F.col("k2").alias("hi"), F.col("shingles").alias("b")), "hi")
+        .selectExpr("lo", "hi", "m", "n", "size(array_intersect(a, b)) AS common")
+    )
+
 
+def common_of_texts(width: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The same from (k2, text): a text travels as it is, which is a quarter of its shingles' hashes."""
 
-def _distances(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+        sets = []
+        for column in (4, 5):
+            data, bounds = text_bytes(batch.column(column))
+            raw, last = data.tobytes(), (b"", shingle_set(b"", width))
+            own = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if raw[a:b] != last[0]:  # a centre stands beside many texts
+                    last = raw[a:b], shingle_set(raw[a:b], width)
+                own.append(last[1])
+            sets.append(own)
+        common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets, strict=True)]
+        yield {n: batch.column(i) for i, n in enumerate(("lo", "hi", "m", "n"))} | {"common": np.array(common, dtype=np.int64)}
+
+    def common(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        met = (
+            pairs.join(texts.select(F.col("k2").alias("lo"), F.col("text").alias("a")), "lo")
+            .join(texts.select(F.col("k2").alias("hi"), F.col("text").alias("b")), "hi").select("lo", "hi", "m", "n", "a", "b")
+        )
+        return map_batches(met, per_batch, "lo long, hi long, m long, n long, common long")
+
+    return common
+
+
+def _distances(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, common: Common) -> DataFrame:
     """(lo, hi, near, nearest, farthest): whether the sets of a pair are that similar, and bounds of 1 - similarity.
 
     Both bounds are the distance itself, except where the numbers of shingles alone rule the similarity out.
     """
     sized = (
         pairs.join(sizes.select(F.col("k2").alias("lo"), F.col("size").alias("m")), "lo")
-        .join(sizes.select(F.col("k2").alias("hi"), F.col("size").alias("n")), "hi")
+        .join(sizes.select(F.col("k2").alias("hi"), F.col("size").alias("n")), "hi").select("lo", "hi", "m", "n")
     )
     fit = f"least(m, n) >= {similarity}D * greatest(m, n)"
     ruled_out = sized.where(f"NOT {fit}").selectExpr(
         "lo", "hi", "false AS near", "1D - least(m, n) / greatest(m, n) AS nearest", "1D AS farthest")
     compared = (
-        sized.where(fit).join(sets.select(F.col("k2").alias("lo"), F.col("shingles").alias("a")), "lo")
-        .join(sets.select(F.col("k2").alias("hi"), F.col("shingles").alias("b")), "hi")
-        .selectExpr("lo", "hi", "m + n AS both", "size(array_intersect(a, b)) AS common")
+        common(sized.where(fit), sets).withColumn("both", F.col("m") + F.col("n"))
         .selectExpr("lo", "hi", f"common >= {similarity}D * (both - common) AS near",
                     "IF(both = 0, 0D, 1D - common / (both - common)) AS nearest")
         .withColumn("farthest", F.col("nearest"))
@@ -198,45 +277,53 @@ def _distances(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity:
     return compared.unionByName(ruled_out)
 
 
-def linked_texts(members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of the groups that all pairs of near copies make which share a place of `members`.
-
-    In rounds: the first members of each place, one and then twice as many each time, are compared with all others there
-    that are not in their group yet, and leave. A member of the group of such a centre goes too where nobody of another
-    group can be its near copy: 1 - similarity is a metric, so that takes somebody about as far from the centre. A place
-    ends when one group is left in it, and no pair is dropped otherwise. Small groups are centres first.
+def linked_texts(
+    members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, common: Common = _common_of_sets
+) -> DataFrame:
+    """(node, component) of the groups that all pairs of near copies make which can meet at a place of `members`.
+
+    Members are (place, k2, size, reach); two of them can be near copies only if the size of each is within the reach of
+    the other. Without these columns all can. In rounds: the first members of each place, one and then twice as many each
+    time, are compared with all others that they can match there and that are not in their group yet, and leave. A member
+    of the group of such a centre goes too where nobody of another group can be its near copy: 1 - similarity is a metric,
+    so that takes somebody about as far from the centre. So does one whom nobody of another group can match by size.
+    Small groups are centres first, and texts with a far reach, which have little of their own. No pair is dropped
+    otherwise.
     """
     spark = members.sparkSession
-    empty = spark.createDataFrame([], "node long, component long")
-    part, known, centres_each = empty, None, 1
-    here = settle(members.withColumn("part", F.col("k2")), "members")
+    part, known, centres_each = spark.createDataFrame([], "node long, component long"), None, 1
+    if "reach" not in members.columns:
+        members = members.withColumns({"size": F.lit(0).cast("long"), "reach": F.lit(0).cast("long")})
+    here = settle(_open(members.withColumn("part", F.col("k2"))), "members")
     while not here.isEmpty():
         weight = here.groupBy("place", "part").agg(F.count("*").alias("n"))
-        first = Window.partitionBy("place").orderBy("n", "part", "k2")
+        first = Window.partitionBy("place").orderBy("n", F.col("size") - F.col("reach"), "part", "k2")
         centres = settle(
             here.join(weight, ["place", "part"]).withColumn("turn", F.row_number().over(first))
-            .where(f"turn <= {centres_each}").select("place", F.col("k2").alias("centre"), F.col("part").alias("own")),
-            "centres")
-        pairs = here.join(centres, "place").where("part <> own").select(
+            .where(f"turn <= {centres_each}").select(
+                "place", F.col("k2").alias("centre"), F.col("part").alias("own"), F.col("size").alias("c_size"),
+                F.col("reach").alias("c_reach")), "centres")
+        meeting = (F.col("here.place") == F.col("c.place")) & F.expr("part <> own AND size <= c_reach AND c_size <= reach")
+        pairs = here.alias("here").join(centres.alias("c"), meeting).select(
             F.least("k2", "centre").alias("lo"), F.greatest("k2", "centre").alias("hi")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["lo", "hi"], "left_anti")
-        found = settle(_distances(pairs, sizes, sets, similarity), "distances")
+        found = settle(_distances(pairs, sizes, sets, similarity, common), "distances")
         known = found if known is None else known.unionByName(found)
         links = found.where("near").select("lo", "hi").unionByName(part.toDF("lo", "hi"))
         part = components(links, "lo", "hi")
         rest = (
             here.join(centres.select("place", F.col("centre").alias("k2")), ["place", "k2"], "left_anti").drop("part")
-            .join(part.toDF("k2", "part"), "k2", "left").select("place", "k2", F.coalesce("part", "k2").alias("part"))
+            .join(part.toDF("k2", "part"), "k2", "left").withColumn("part", F.coalesce("part", "k2"))
         )
         rest = settle(_open(rest), "members")
         seen = (
-            rest.join(centres.drop("own"), "place").join(part.toDF("centre", "own"), "centre", "left")
+            rest.join(centres.select("place", "centre"), "place").join(part.toDF("centre", "own"), "centre", "left")
             .select("place", "k2", "part", "centre", F.coalesce("own", "centre").alias("own"),
                     F.least("k2", "centre").alias("lo"), F.greatest("k2", "centre").alias("hi"))
-            .join(known.drop("near"), ["lo", "hi"])
+            .join(known.drop("near"), ["lo", "hi"], "left")  # who was not compared may be anywhere
         )
-        others = seen.where("part <> own").groupBy("place", "centre").agg(F.min("nearest").alias("gap"))
+        others = seen.where("part <> own").groupBy("place", "centre").agg(F.min(F.coalesce("nearest", F.lit(0.0))).alias("gap"))
         done = seen.where("part = own").join(others, ["place", "centre"], "left").where(
             f"gap IS NULL OR gap - farthest > {1 - similarity + 1e-9}D").select("place", "k2").distinct()
         here = settle(_open(rest.join(done, ["place", "k2"], "left_anti")), "members")
@@ -245,9 +332,15 @@ def linked_texts(members: DataFrame, sizes: DataFrame, sets: DataFrame, similari
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of places with more than one group."""
-    two = members.groupBy("place").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
-    return members.join(two.select("place"), "place", "left_semi")
+    """The members that somebody of another group at their place can match by size."""
+    groups = members.groupBy("place", "part").agg(F.min("size").alias("s"), F.max("reach").alias("r"))
+    ends = groups.groupBy("place").agg(
+        F.min(F.struct("s", "part")).alias("low"), F.max(F.struct("r", "part")).alias("high"), F.count("*").alias("n"))
+    others = groups.join(ends.where("n > 1"), "place").groupBy("place", "low", "high").agg(
+        F.expr("min(s) FILTER (WHERE part <> low.part)").alias("s2"),
+        F.expr("max(r) FILTER (WHERE part <> high.part)").alias("r2"))
+    return members.join(others, "place").where(
+        "reach >= IF(part <> low.part, low.s, s2) AND size <= IF(part <> high.part, high.r, r2)").drop("low", "high", "s2", "r2")
 
 
 def without_near_copies(
@@ -256,45 +349,30 @@ def without_near_copies(
     """The rows of `docs` without near copies: of each group the one with the smallest doc_id stays, once.
 
     Texts are near copies if the Jaccard similarity of their sets of `width`-word shingles is `similarity` or more. Such
-    texts seldom lie within two bits in 64, so the balls are thrown around six pieces of 16 bits, made from the different
-    shingles: texts meet in a table if their pieces are at most two bits apart and the smallest of their shingle hashes
-    is the same, which keeps strangers out however large the corpus is. At a similarity of 0.8 a table joins a pair with
-    a chance of about 0.44 and the six with 0.97, more above. Those who meet are compared by their whole sets of shingles
-    in rounds (see linked_texts), unless their sizes alone rule the similarity out; groups are connected components.
-
-    Equal texts are one node. NULL text counts as empty; rows without words are copies of each other. A NULL doc_id
-    counts as larger than any other. All columns of `docs` are returned, whatever their names.
+    texts seldom lie within two bits in 64, so they meet at their rarest shingles in place of the balls of fingerprints (see
+    rare_places). Texts of up to 2 * SAMPLE shingles keep all and surely meet. From a longer one a sample is kept, the
+    same shingles in every text, and a pair at 0.8 is lost with a chance below one in a hundred, less above. Those who
+    meet are compared by their whole sets of shingles in rounds (see linked_texts), unless their sizes alone rule the
+    similarity out; groups are connected components.
+
+    Equal sets of shingles are one node. NULL text counts as empty; rows without words are copies of each other. A NULL
+    doc_id counts as larger than any other. All columns of `docs` are returned, whatever their names.
     """
-
-    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        data, bounds = text_bytes(batch.column(2))
-        raw = data.tobytes()
-        marks = [long_fingerprint(raw[a:b], width) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield {"k1": batch.column(0), "k2": batch.column(1), "bits": pa.array([m[0] for m in marks], pa.list_(pa.int64())),
-               "least": pa.array([m[1] for m in marks], pa.list_(pa.int64())), "size": [m[2] for m in marks]}
-
     prepare(docs.sparkSession)
-    key = [F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("k1"),
-           F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("k2")]
-    rows = docs.select(*key, F.col(text_column).alias("text"))
-    marked = settle(
-        map_batches(rows, per_batch, "k1 long, k2 long, bits array<long>, least array<long>, size long"), "fingerprints")
-    nodes = settle(marked.groupBy("k2").agg(
-        F.min("k1").alias("k1"), F.first("bits").alias("bits"), F.first("least").alias("least"), F.first("size").alias("size")), "nodes")
-    piece = "shiftright(bits[t div 4], 16 * (t % 4)) & 65535"
-    ball = "concat(array(piece), transform(sequence(0, 15), i -> piece ^ shiftleft(1L, i)))"
-    met = (
-        nodes.select("k2", "bits", "least", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t"))
-        .select("k2", "t", F.expr(piece).alias("piece"), F.expr("least[t]").alias("shared"))
-        .select("k2", "t", "shared", F.explode(F.expr(ball)).alias("variant"))
-        .select("k2", F.xxhash64("t", "shared", "variant").alias("place"))
-    )
-    members = settle(shared_places(met), "places")
-    sets = settle(shingle_sets(rows, members.select("k2").distinct(), width), "sets")
-    part = linked_texts(members, nodes.select("k2", "size"), sets, similarity).withColumnRenamed("node", "k2")
+    plain = F.coalesce(F.col(text_column), F.lit(""))
+    key = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("k1"),
+                   F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(1), plain).alias("t2")).alias("key")
+    rows = docs.select(key, plain.alias("text"))
+    nodes = shingle_sketches(rows, width).groupBy("s1", "s2").agg(
+        F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "level", "kept")))
+    nodes = settle(nodes.drop("s1", "s2").withColumn("k2", F.monotonically_increasing_id()), "nodes")
+    met = nodes.join(candidates(nodes, similarity), "k2", "left_semi").select("key", "k2")
+    texts = settle(rows.join(met, "key").select("k2", "text").dropDuplicates(["k2"]), "texts")
+    members = settle(shared_places(rare_places(texts, width, similarity)), "places")
+    part = linked_texts(members, nodes.select("k2", "size"), texts, similarity, common_of_texts(width))
     kept = (
-        nodes.join(part, "k2", "left").groupBy(F.coalesce("component", "k2").alias("component"))
-        .agg(F.min(F.struct("k1", "k2")).alias("key")).select("key.*")
+        nodes.select("k2", "key").join(part.withColumnRenamed("node", "k2"), "k2", "left")
+        .groupBy(F.coalesce("component", "k2").alias("component")).agg(F.min("key").alias("key")).select("key")
     )
-    held = docs.select(F.struct("*").alias("row"), *key).join(kept, ["k1", "k2"], "left_semi")
-    return held.dropDuplicates(["k1", "k2"]).select("row.*")
+    held = docs.select(F.struct("*").alias("row"), key).join(kept, "key", "left_semi")
+    return held.dropDuplicates(["key"]).select("row.*")

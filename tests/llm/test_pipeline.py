@@ -20,7 +20,7 @@ def test_stages(spark, folder, tmp_path):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scored = gam.score(docs, gam.fit(docs, labels)).where("predicted = 1").select("row.doc_id").collect()
     assert ids[1] == {r.doc_id for r in scored}
-    ruled = crf.judged(kept[1], crf.fit(kept[1], labels)).where("kept").select("row.doc_id").collect()
+    ruled = crf.judged(kept[1], crf.fit(docs, labels)).where("kept").select("row.doc_id").collect()
     assert ids[2] == {r.doc_id for r in ruled} and len(ids[2]) < len(ids[1])
     texts = {r.doc_id: r.text for r in kept[2].collect()}
     sets = {i: shingles(t) for i, t in texts.items()}
