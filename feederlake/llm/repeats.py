@@ -95,7 +95,8 @@ def owned_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> dict[str, n
 
 def _runs(rows: DataFrame, length: int) -> DataFrame:
     """All runs (k1, k2, place, anchor, window). Within a batch equal runs meet at once: all but one of them are known to
-    be repeated (`anchor` NULL), and the one that goes on says so. place = start * 1024 + more starts * 4 + repeated."""
+    be repeated (place % 4 = 3) and get an anchor of their own, and the one that goes on says so (1).
+    place = start * 1024 + more starts * 4 + repeated."""
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         runs = owned_runs(*text_bytes(batch.column(2)), length)
@@ -104,13 +105,14 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
                 & (runs["window"][order][1:] == runs["window"][order][:-1]))
         later, twice = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=np.int64)
         later[order[1:]] = same
-        twice[order[1:]] |= same
         twice[order[:-1]] |= same
+        twice[later] = 3
         row = pa.array(runs["row"])
-        yield {
-            "k1": batch.column(0).take(row), "k2": batch.column(1).take(row),
-            "place": (runs["start"] << 10) + (runs["more"] << 2) + twice,
-            "anchor": pa.array(runs["anchor"].view(np.int64), mask=later), "window": runs["window"].view(np.int64)}
+        k1, k2, anchor = batch.column(0).take(row), batch.column(1).take(row), runs["anchor"].copy()
+        alone = k1.to_numpy().view(np.uint64) * _A + k2.to_numpy().view(np.uint64) * _B + runs["start"].astype(np.uint64)
+        anchor[later] = _stir(_stir(alone) * _A)[later]
+        yield {"k1": k1, "k2": k2, "place": (runs["start"] << 10) + (runs["more"] << 2) + twice,
+               "anchor": anchor.view(np.int64), "window": runs["window"].view(np.int64)}
 
     return map_batches(rows, per_batch, "k1 long, k2 long, place long, anchor long, window long")
 
@@ -118,7 +120,8 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
 def _compared(runs: DataFrame) -> DataFrame:
     """Runs that are repeated as a whole (place % 4 = 1), must be compared (2), or both, as one copy of them must (3).
 
-    The runs of an anchor stand next to each other, sorted by window; one row at a time is carried along.
+    The runs of an anchor stand next to each other, sorted by window; one row at a time is carried along. Those known to be
+    repeated pass through.
     """
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +154,7 @@ def _compared(runs: DataFrame) -> DataFrame:
         if len(held[0]):
             yield from decide(held, final=True)
 
-    dealt = runs.where("anchor IS NOT NULL").repartition("anchor").sortWithinPartitions("anchor", "window")
+    dealt = runs.repartition("anchor").sortWithinPartitions("anchor", "window")
     return dealt.mapInArrow(per_partition, "k1 long, k2 long, place long, anchor long")
 
 
@@ -161,9 +164,9 @@ def _crowded(marks: DataFrame, together: int) -> DataFrame:
 
 
 def _marked_texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(k1, k2, text, marks) of the texts that have runs to be compared."""
+    """(k1, k2, text, marks) of the texts that have runs to be compared. The lists have no bound, so none are broadcast."""
     per_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "anchor")).alias("marks"))
-    return rows.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "marks")
+    return rows.join(per_text.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "marks")
 
 
 def _marks_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,8 +318,7 @@ def without_repeats(
         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = named.selectExpr("coalesce(doc_id, -9223372036854775808) AS k1", "xxhash64(text) AS k2", "text", "row")
     plain = rows.select("k1", "k2", "text")
-    runs = settle(_runs(plain, length), "runs")
-    marks = settle(_compared(runs), "marks")
+    marks = settle(_compared(_runs(plain, length)), "marks")
     crowded = settle(_crowded(marks, together), "crowded")
     compared = _settled(_windows(plain, marks, crowded, length), length, block)
     if not crowded.isEmpty():
@@ -325,7 +327,6 @@ def without_repeats(
     span = ["k1", "k2", F.expr("shiftright(place, 10)").alias("first"), end.alias("last")]
     spans = (
         compared.unionByName(marks.where("place & 1 = 1").select(*span))
-        .unionByName(runs.where("anchor IS NULL").select(*span))
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     )
 
