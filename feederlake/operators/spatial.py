@@ -1,10 +1,11 @@
 """Containment, intersection, clipping and distance, and the joins built on them.
 
-Predicates are SQL text over an array of edges. Joins go through a grid: every
-point has one cell, every shape lists the cells its bounding box touches, and the
+Predicates are SQL text over an array of edges. Joins go through grids: every
+point has one cell in each, every shape lists the cells of one of them, and the
 exact test runs on equal cells. That is an equi-join, so Spark broadcasts a small
 side after checking its size and shuffles by cell otherwise; each pair meets in
-exactly one cell.
+exactly one cell. A polygon's inner cells answer without a test, and those on its
+outline carry only the edges that a ray to the right can meet.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from feederlake.functions.projection import number, x_metres, y_metres
 from feederlake.functions.shapes import bounds, distance, following, leading
 
-POLYGON_CELL_DEG = 0.25
+#: Cell sizes in degrees, powers of two, so that cell borders are exact numbers.
+CELLS_DEG = (2.0 ** -2, 2.0 ** -4, 2.0 ** -6, 2.0 ** -8)
+#: Bounds of the cells along the longer side of a polygon's box; between them, the square root of its edges.
+CELLS_ALONG, CELLS_ALONG_MAX = 16, 64
 
 Rings = list[list[tuple[float, float]]]
 
@@ -134,21 +138,47 @@ def edges_apart(rings: str) -> str:
     return f"NOT exists({edges}, e -> exists({edges}, f -> {later} AND {_meets('e', 'f')}))"
 
 
-def join_containing(points: DataFrame, polygons: DataFrame, rings: str, cell_deg: float = POLYGON_CELL_DEG) -> DataFrame:
-    """Inner join of points (lon, lat) with the polygons that contain them."""
-    def cell(value: str) -> str:
-        return f"floor({value} / {number(cell_deg)})"
-
-    box = bounds(rings)
-    shapes = (
-        polygons.selectExpr("*", f"{ring_edges(rings)} AS _edges", *[f"{v} AS _{k}" for k, v in box.items()])
-        .withColumn("_cx", F.expr(f"explode(sequence({cell('_xmin')}, {cell('_xmax')}))"))
-        .withColumn("_cy", F.expr(f"explode(sequence({cell('_ymin')}, {cell('_ymax')}))")))
-    placed = points.selectExpr("*", f"{cell('lon')} AS _cx", f"{cell('lat')} AS _cy")
-    return (placed.join(shapes, ["_cx", "_cy"])
-            .filter("lon BETWEEN _xmin AND _xmax AND lat BETWEEN _ymin AND _ymax")
-            .filter(contains_point("_edges", "lon", "lat"))
-            .drop("_cx", "_cy", "_edges", "_xmin", "_xmax", "_ymin", "_ymax"))
+def polygon_cells(polygons: DataFrame, rings: str, cells_deg: tuple[float, ...] = CELLS_DEG) -> DataFrame:
+    """The polygons, one row for each cell that may hold points of it: ``_deg``, ``_cx``, ``_cy`` and ``_edges``.
+
+    The grid of a polygon is the finest in which its box is few cells long, more of them the more edges it has. Its
+    edges are dealt to rows of cells first. A cell that no edge's box touches is inside or outside as a whole: ``_edges``
+    is NULL there, or the cell is left out. Any other one carries the edges of its row that do not end to its left, which
+    decide about all its points just as the whole outline does.
+    """
+    along = f"least({CELLS_ALONG_MAX}, greatest({CELLS_ALONG}, sqrt(size(_all))))"
+    longer = "greatest(_xmax - _xmin, _ymax - _ymin)"
+    sizes = sorted(cells_deg)
+    fits = " ".join(f"WHEN {longer} <= {number(d)} * {along} THEN {number(d)}" for d in sizes[:-1])
+    deg = f"CASE {fits} ELSE {number(sizes[-1])} END" if fits else number(sizes[-1])
+    across = "least(e.ay, e.by) <= (_cy + 1) * _deg AND greatest(e.ay, e.by) >= _cy * _deg"
+    beside = "least(e.ax, e.bx) <= (_cx + 1) * _deg AND greatest(e.ax, e.bx) >= _cx * _deg"
+    centre = "(_cx + 0.5D) * _deg", "(_cy + 0.5D) * _deg"
+    return (
+        polygons.filter(f"size({rings}) > 0").selectExpr("*", f"{ring_edges(rings)} AS _all", *[f"{v} AS _{k}" for k, v in bounds(rings).items()])
+        .withColumn("_deg", F.expr(deg))
+        .withColumn("_cy", F.expr("explode(sequence(floor(_ymin / _deg), floor(_ymax / _deg)))"))
+        .withColumn("_all", F.expr(f"filter(_all, e -> {across})"))
+        .withColumn("_cx", F.expr("explode(sequence(floor(_xmin / _deg), floor(_xmax / _deg)))"))
+        .withColumn("_edges", F.expr(
+            f"CASE WHEN exists(_all, e -> {beside}) THEN filter(_all, e -> greatest(e.ax, e.bx) >= _cx * _deg) END"))
+        .filter(f"_edges IS NOT NULL OR {_odd_crossings('_all', *centre)}")
+        .drop("_all", "_xmin", "_xmax", "_ymin", "_ymax"))
+
+
+def join_containing(points: DataFrame, polygons: DataFrame, rings: str, cells_deg: tuple[float, ...] = CELLS_DEG) -> DataFrame:
+    """Inner join of points (lon, lat) with the polygons that contain them; a point on the outline is not contained.
+
+    Points of any number meet polygons of any number of edges by equal cells. Neither side is collected, and no row of
+    the join holds a whole outline of many edges.
+    """
+    shapes = polygon_cells(polygons, rings, cells_deg)
+    grids = ", ".join(number(d) for d in cells_deg)
+    placed = points.selectExpr("*", f"explode(array({grids})) AS _deg").selectExpr(
+        "*", "floor(lon / _deg) AS _cx", "floor(lat / _deg) AS _cy")
+    return (placed.join(shapes, ["_deg", "_cx", "_cy"])
+            .filter(f"_edges IS NULL OR {contains_point('_edges', 'lon', 'lat')}")
+            .drop("_deg", "_cx", "_cy", "_edges"))
 
 
 def join_within(points: DataFrame, centres: DataFrame, metres: float) -> DataFrame:

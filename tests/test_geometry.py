@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from feederlake.operators.spatial import (
     edges_literal,
     join_containing,
     join_within,
+    polygon_cells,
     ring_edges,
     touches_point,
     touches_segment,
@@ -130,3 +132,51 @@ def test_grid_joins_equal_brute_force(spark):
     near = join_within(placed, centres, 5000.0).select("id", "centre")
     slow = placed.join(centres, F.expr("(x-cx)*(x-cx) + (y-cy)*(y-cy) <= 25000000")).select("id", "centre")
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, slow.collect()))
+
+
+def outline(seed: int, edges: int, lon: float, lat: float, wide: float) -> list[tuple[float, float]]:
+    """A closed ring around a place: a star with a ragged edge, seen from its middle."""
+    own = random.Random(seed)
+    turns = [2 * math.pi * i / edges for i in range(edges)]
+    ring = [(lon + r * math.cos(t), lat + 0.7 * r * math.sin(t)) for t in turns for r in [wide * own.uniform(0.55, 1.0)]]
+    return [*ring, ring[0]]
+
+
+def comb(teeth: int, lon: float, lat: float, wide: float) -> list[tuple[float, float]]:
+    """A ring of tall narrow teeth: every row of cells meets nearly all of its edges."""
+    step = wide / teeth
+    upper = [(lon + i * step / 2, lat + (wide if i % 2 else 0.1 * wide)) for i in range(2 * teeth + 1)]
+    return [(lon, lat), (lon + wide, lat), *reversed(upper), (lon, lat)]
+
+
+def test_containment_by_cells_equals_brute_force(spark):
+    """Outlines of 4 to 3,000 edges with holes, corners on cell borders, points on corners and edges."""
+    own = random.Random(11)
+    square = [(-72.0, 45.0), (-71.0, 45.0), (-71.0, 46.0), (-72.0, 46.0), (-72.0, 45.0)]
+    hole = [(-71.75, 45.25), (-71.5, 45.25), (-71.5, 45.5), (-71.75, 45.5), (-71.75, 45.25)]
+    rings = {
+        "square": [square, hole], "small": [outline(1, 12, -71.6, 45.4, 0.003)], "ragged": [outline(2, 3000, -71.4, 45.6, 0.8)],
+        "wide": [outline(3, 400, -71.5, 45.5, 9.0)], "comb": [comb(300, -71.9, 45.1, 0.7)], "thin": [outline(4, 60, -71.2, 45.2, 0.1)]}
+    polygons = spark.createDataFrame(
+        [(k, [[{"lon": x, "lat": y} for x, y in ring] for ring in v]) for k, v in rings.items()],
+        "name string, r array<array<struct<lon: double, lat: double>>>")
+    places = [(own.uniform(-72.3, -70.7), own.uniform(44.7, 46.3)) for _ in range(2500)]
+    places += [(-71.6 + own.uniform(-0.004, 0.004), 45.4 + own.uniform(-0.004, 0.004)) for _ in range(200)]
+    places += [p for v in rings.values() for ring in v for p in ring[:40]]
+    places += [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for ring in (square, hole) for a, b in zip(ring, ring[1:])]
+    places += [(-72 + i / 4, 45 + j / 4) for i in range(5) for j in range(5)] + [(None, 45.0), (-71.0, None)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, lon double, lat double")
+    got = {tuple(r) for r in join_containing(points, polygons, "r").select("id", "name").collect()}
+    brute = points.crossJoin(polygons.selectExpr("name", f"{ring_edges('r')} AS e")).where(contains_point("e", "lon", "lat"))
+    assert got == {tuple(r) for r in brute.select("id", "name").collect()} and len(got) > 2000
+    cells = polygon_cells(polygons, "r").groupBy("name").agg(
+        F.max(F.size("_edges")).alias("most"), F.count_if(F.col("_edges").isNull()).alias("inner")).collect()
+    most = {r.name: r.most for r in cells}
+    assert most["ragged"] < 600 and most["wide"] < 200 and {r.name: r.inner for r in cells}["square"] > 4
+
+
+def test_containment_without_rows(spark):
+    polygons = spark.createDataFrame([("none", None), ("empty", [])], "name string, r array<array<struct<lon: double, lat: double>>>")
+    points = spark.createDataFrame([(1, -71.0, 45.0)], "id int, lon double, lat double")
+    assert join_containing(points, polygons, "r").count() == 0
+    assert join_containing(points.where("false"), polygons, "r").count() == 0
