@@ -163,81 +163,66 @@ def _crowded(marks: DataFrame, together: int) -> DataFrame:
     return marks.where("place & 2 = 2").groupBy("anchor").count().where(F.col("count") > together).select("anchor")
 
 
-def _marked_texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(k1, k2, text, marks) of the texts that have runs to be compared. The lists have no bound, so none are broadcast."""
-    per_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "anchor")).alias("marks"))
-    return rows.join(per_text.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "marks")
+def _pieces(rows: DataFrame, marks: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
+    """What the runs to be compared are compared by: (route, h2, k1, k2, start, more, known, bytes).
 
-
-def _marks_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place and anchor of every mark of a batch of marked texts."""
-    lists = batch.column(3)
-    flat = lists.flatten()
-    place, anchor = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-    return np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), place, anchor
-
-
-def _windows(rows: DataFrame, marks: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
-    """The text of the runs to be compared: (route, k1, k2, start, more, known, bytes), but for crowded anchors.
-
-    The windows of an anchor have one route.
+    The text of a run goes by its anchor. For crowded anchors every start sends a hash of 128 bits of its string in place
+    of the string, in route and h2 (NULL otherwise). The text is shuffled once for both; the lists of marks have no
+    bound, so they are not broadcast.
     """
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         data, bounds = text_bytes(batch.column(2))
-        row, place, anchor = _marks_of(batch)
-        start, more = place >> 10, (place >> 2) & 255
-        begin = bounds[row] + start
         raw = data.tobytes()
-        texts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + more + length).tolist(), strict=True)]
-        for at in range(0, len(row), 20_000):
-            own = slice(at, at + 20_000)
-            index = pa.array(row[own])
-            yield {"route": anchor[own], "k1": batch.column(0).take(index), "k2": batch.column(1).take(index),
-                   "start": start[own], "more": more[own], "known": (place[own] & 1) > 0,
-                   "bytes": pa.array(texts[own], type=pa.binary())}
-
-    asked = marks.where("place & 2 = 2").join(crowded, "anchor", "left_anti")
+        lists = batch.column(3)
+        flat = lists.flatten()
+        place, anchor, crowd = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        for chosen in (np.flatnonzero(~crowd), np.flatnonzero(crowd)):
+            hashed = len(chosen) and crowd[chosen[0]]
+            sizes = np.cumsum((place[chosen] >> 2 & 255) + 1) if hashed else np.arange(1, len(chosen) + 1)
+            done = 0
+            while done < len(chosen):  # about 20,000 rows at a time
+                last = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + 20_000)))
+                at = chosen[done:last]
+                done = last
+                own, start, more, known = row[at], place[at] >> 10, place[at] >> 2 & 255, (place[at] & 1) > 0
+                if hashed:
+                    steps = more + 1
+                    step = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
+                    start, own, known = np.repeat(start, steps) + step, np.repeat(own, steps), np.repeat(known, steps)
+                    digests = b"".join(hashlib.blake2b(raw[a:a + length], digest_size=16).digest()
+                                       for a in (bounds[own] + start).tolist())
+                    halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+                    route, h2 = np.ascontiguousarray(halves[:, 0]), pa.array(np.ascontiguousarray(halves[:, 1]))
+                    more, texts = np.zeros(len(own), dtype=np.int64), pa.nulls(len(own), pa.binary())
+                else:
+                    begin = bounds[own] + start
+                    texts = pa.array([raw[a:b] for a, b in zip(begin.tolist(), (begin + more + length).tolist(), strict=True)],
+                                     type=pa.binary())
+                    route, h2 = anchor[at], pa.nulls(len(own), pa.int64())
+                index = pa.array(own)
+                yield {"route": route, "h2": h2, "k1": batch.column(0).take(index), "k2": batch.column(1).take(index),
+                       "start": start, "more": more, "known": known, "bytes": texts}
+
+    asked = marks.where("place & 2 = 2").join(crowded.withColumn("crowd", F.lit(True)), "anchor", "left")
+    per_text = asked.groupBy("k1", "k2").agg(F.collect_list(
+        F.struct("place", "anchor", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("marks"))
+    marked = rows.join(per_text.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "marks")
     return map_batches(
-        _marked_texts(rows, asked), per_batch,
-        "route long, k1 long, k2 long, start long, more long, known boolean, bytes binary")
+        marked, per_batch,
+        "route long, h2 long, k1 long, k2 long, start long, more long, known boolean, bytes binary")
 
 
-def _counted(rows: DataFrame, marks: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
+def _counted(starts: DataFrame, length: int) -> DataFrame:
     """Spans (k1, k2, first, last) of the repeated strings of crowded anchors.
 
-    Every start sends a hash of 128 bits of its string in place of the string. Equal ones are counted before the shuffle,
-    and all starts of those counted twice or more are found by a join, so no task holds the copies of a string.
+    Equal hashes are counted before the shuffle, and all starts of those counted twice or more are found by a join, so
+    no task holds the copies of a string.
     """
-
-    def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        data, bounds = text_bytes(batch.column(2))
-        raw = data.tobytes()
-        row, place, _ = _marks_of(batch)
-        runs = np.cumsum((place >> 2 & 255) + 1)
-        done = 0
-        while done < len(row):  # about 20,000 starts at a time
-            last = max(done + 1, int(np.searchsorted(runs, (runs[done - 1] if done else 0) + 20_000)))
-            more = (place[done:last] >> 2) & 255
-            step = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-            start = np.repeat(place[done:last] >> 10, more + 1) + step
-            own = np.repeat(row[done:last], more + 1)
-            digests = b"".join(hashlib.blake2b(raw[a:a + length], digest_size=16).digest()
-                               for a in (bounds[own] + start).tolist())
-            halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-            index = pa.array(own)
-            yield {"k1": batch.column(0).take(index), "k2": batch.column(1).take(index), "first": start,
-                   "known": np.repeat(place[done:last] & 1 > 0, more + 1),
-                   "h1": np.ascontiguousarray(halves[:, 0]), "h2": np.ascontiguousarray(halves[:, 1])}
-            done = last
-
-    asked = marks.where("place & 2 = 2").join(crowded, "anchor", "left_semi")
-    starts = settle(map_batches(
-        _marked_texts(rows, asked), per_batch,
-        "k1 long, k2 long, first long, known boolean, h1 long, h2 long"), "starts")
-    twice = starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    return starts.where("NOT known").join(twice, ["h1", "h2"], "left_semi").select(
-        "k1", "k2", "first", (F.col("first") + length).alias("last"))
+    twice = starts.groupBy("route", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    return starts.where("NOT known").join(twice, ["route", "h2"], "left_semi").select(
+        "k1", "k2", F.col("start").alias("first"), (F.col("start") + length).alias("last"))
 
 
 def _settled(windows: DataFrame, length: int, block: int) -> DataFrame:
@@ -320,9 +305,9 @@ def without_repeats(
     plain = rows.select("k1", "k2", "text")
     marks = settle(_compared(_runs(plain, length)), "marks")
     crowded = settle(_crowded(marks, together), "crowded")
-    compared = _settled(_windows(plain, marks, crowded, length), length, block)
-    if not crowded.isEmpty():
-        compared = compared.unionByName(_counted(plain, marks, crowded, length))
+    pieces = settle(_pieces(plain, marks, crowded, length), "pieces")
+    compared = _settled(pieces.where("h2 IS NULL"), length, block).unionByName(
+        _counted(pieces.where("h2 IS NOT NULL"), length))
     end = F.expr(f"shiftright(place, 10) + (shiftright(place, 2) & 255) + {length}")
     span = ["k1", "k2", F.expr("shiftright(place, 10)").alias("first"), end.alias("last")]
     spans = (
