@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -39,29 +40,51 @@ def summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+
+
 @dataclass(frozen=True)
 class Rollup:
-    """Totals below a folder that all executors reach; each batch is a small table of its own, named by its id.
+    """Totals below a folder that all executors reach.
 
-    A commit writes the sums of one batch to the batch's own place and replaces what is there, so a commit that is
-    repeated, after a failure or by mistake, changes nothing. A batch counts from the moment Spark has marked its
-    folder as complete.
+    Every attempt to commit a batch writes its sums to a folder of its own, and then publishes it with one small row. Only
+    the attempt that was published last counts for a batch, so a commit that is repeated, after a failure or by mistake,
+    changes nothing, one that dies is not seen, and what was committed before stays readable all the time. Two commits of
+    one batch at the same time are not foreseen.
     """
 
     spark: SparkSession
     path: str
 
-    def commit(self, batch_id: int, changes: DataFrame) -> None:
-        summed(signed(changes)).write.mode("overwrite").parquet(f"{self.path}/batch_id={int(batch_id)}")
-
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens of the groups that have documents or tokens left."""
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            batches = self.spark.read.schema("source string, lang string, tokenizer string, n_docs long, n_tokens long"
-                                             ).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            # nothing was committed yet
-            batches = self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
-        return summed(batches).where("n_docs <> 0 OR n_tokens <> 0")
+            return self.spark.createDataFrame([], schema)  # nothing was committed yet
+
+    def published(self) -> DataFrame:
+        """(batch_id, attempt) of the attempts that count."""
+        rows = self._read("published", "batch_id long, turn long, attempt string")
+        return rows.groupBy("batch_id").agg(F.max(F.struct("turn", "attempt")).alias("last")).select("batch_id", "last.attempt")
+
+    def write_attempt(self, batch_id: int, changes: DataFrame) -> str:
+        """Write the sums of a batch where nobody reads them yet."""
+        attempt = uuid.uuid4().hex
+        summed(signed(changes)).write.parquet(f"{self.path}/sums/batch_id={int(batch_id)}/attempt={attempt}")
+        return attempt
+
+    def publish(self, batch_id: int, attempt: str) -> None:
+        """Let an attempt count from now on, in place of earlier ones of its batch."""
+        before = self._read("published", "batch_id long, turn long, attempt string").where(F.col("batch_id") == int(batch_id)).count()
+        row = self.spark.createDataFrame([(int(batch_id), before, attempt)], "batch_id long, turn long, attempt string")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/published")
+
+    def commit(self, batch_id: int, changes: DataFrame) -> None:
+        self.publish(batch_id, self.write_attempt(batch_id, changes))
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens of the groups that have documents or tokens left."""
+        sums = self._read("sums", f"{SUMS}, batch_id long, attempt string")
+        return summed(sums.join(self.published(), ["batch_id", "attempt"])).where("n_docs <> 0 OR n_tokens <> 0")

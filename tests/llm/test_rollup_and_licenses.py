@@ -38,6 +38,20 @@ def test_rollup(spark):
     assert len(totals(rollup)) == 2
 
 
+def test_only_published_attempts_count(spark):
+    """A first commit that dies before it is published is not seen; one that is repeated leaves the old sums until then."""
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, "rollup-test"))
+    five, nine = (spark.createDataFrame([change("a", "insert", n)], token_rollup.CHANGES) for n in (5, 9))
+    rollup.write_attempt(1, five)
+    assert totals(rollup) == {}
+    rollup.commit(1, five)
+    again = rollup.write_attempt(1, nine)
+    assert totals(rollup) == {("s", "en", "t1"): (1, 5)}
+    rollup.publish(1, again)
+    rollup.write_attempt(2, nine)
+    assert totals(rollup) == {("s", "en", "t1"): (1, 9)}
+
+
 def test_licenses(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [
