@@ -18,8 +18,12 @@ from feederlake.session import settle
 END = 2
 #: Pieces of one length that are numbered together in one task.
 NUMBERED_TOGETHER = 50_000
-#: (epsilon, favour) of the price settings that are tried.
-PRICES = ((0.02, 0.0), (0.02, 0.1), (0.0, 0.1))
+#: Turns of the multiplicative weights at most; after every `LOOK` of them they stop if the plan is within `GAP` of the bound.
+TURNS, LOOK, GAP = 1500, 500, 0.0005
+#: How fast a price falls as its length gets covered, and the share of a demand that one turn covers.
+ETA, STEP = 2.0, 0.5
+#: Shares of the fractional solution that are rounded; 0 is plain best-fit, so a plan is never worse than that.
+SHARES = (1.0, 0.8, 0.6, 0.4, 0.0)
 
 
 def pieces(
@@ -62,86 +66,113 @@ def pieces(
     return map_batches(rows, per_batch, schema + (", ids array<int>" if keep_ids else ""))
 
 
-def _price(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration of greatest price: how many of each length, by a knapsack over the capacities."""
+def _price(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The configuration of greatest price, how many of each length, and that price: a knapsack over the rooms.
+
+    `lengths` ascend. A length that nobody has is worth nothing and stands for waste.
+    """
+    low = int(lengths[0])
+    worth = np.zeros(capacity + 1)
+    worth[lengths] = prices
     best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1, dtype=np.int64)
-    for room in range(int(lengths[0]), capacity + 1):
-        fit = int(np.searchsorted(lengths, room, side="right"))
-        value = best[room - lengths[:fit]] + prices[:fit]
+    taken = np.zeros(capacity + 1, dtype=np.int64)
+    for room in range(low, capacity + 1):
+        value = best[room - low::-1] + worth[low:room + 1]
         k = int(value.argmax())
-        if value[k] > best[room - 1]:
-            best[room], taken[room] = value[k], k
-        else:
-            best[room] = best[room - 1]
-    counts = np.zeros(len(lengths), dtype=np.int64)
+        best[room], taken[room] = value[k], k + low
+    counts = np.zeros(capacity + 1, dtype=np.int64)
     room = capacity
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            counts[taken[room]] += 1
-            room -= int(lengths[taken[room]])
-    return counts
-
-
-def solve(
-    lengths: np.ndarray, wanted: np.ndarray, capacity: int, epsilon: float, favour: float
-) -> list[tuple[float, np.ndarray]]:
-    """A fractional cover of the demands: configurations (how many of each length) and how often each is used.
-
-    Multiplicative weights: the price of a length is its size times exp(epsilon * share not covered yet), and a little
-    more for long ones, by `favour`, so that of two full configurations the one with fewer items wins. In each turn the
-    longest length that is not covered asks for the configuration of greatest price around it, found by a knapsack,
-    which is used until one of its lengths is covered; covered lengths leave. A turn covers a length, so there are at
-    most as many configurations as lengths.
+    while room >= low:
+        counts[taken[room]] += 1
+        room -= int(taken[room])
+    return counts[lengths], float(best[capacity])
+
+
+@dataclass
+class Cover:
+    """The averaged configurations (rows of `counts`) and how often each is used, `bound` times all together."""
+
+    times: np.ndarray
+    counts: np.ndarray
+    #: No solution of the program, whole or fractional, needs fewer sequences.
+    bound: float
+
+
+def solve(lengths: np.ndarray, wanted: np.ndarray, capacity: int, turns: int = TURNS, gap: float = GAP) -> Cover:
+    """Fractional solution of the configuration program by multiplicative weights, with a bound from below.
+
+    Every length starts with its size as price. In each turn the knapsack names the configuration of greatest price,
+    which is used until half of the smallest demand in it is met; the prices of its lengths fall by exp(-ETA * share of
+    the demand met). Prices are kept over all turns, and the configurations are averaged over them. Divided by the
+    greatest price of a configuration, the prices solve the dual program, so every turn gives a bound. Ends if the
+    average, rounded and filled up, comes within `gap` of the bound, or after `turns`.
+    `lengths` ascend and lie in 1 .. `capacity`; `wanted` are at least 1.
     """
-    order = np.argsort(lengths)
-    lengths, total = lengths[order], wanted[order].astype(float)
-    left = total.copy()
-    found: list[tuple[float, np.ndarray]] = []
-    while (open_ := np.flatnonzero(left > 0)).size:
-        longest = open_[-1]
-        counts = np.zeros(len(lengths), dtype=np.int64)
-        room = capacity - int(lengths[longest])
-        fill = open_[lengths[open_] <= room]
-        if fill.size:
-            size = lengths[fill] / capacity
-            prices = size * (1 + favour * size) * np.exp(epsilon * left[fill] / total[fill])
-            counts[fill] = _price(prices, lengths[fill], room)
-        counts[longest] += 1
-        # never more of a length than there is
-        counts = np.minimum(counts, np.ceil(left - 1e-9).astype(np.int64))
-        used = counts > 0
-        times = float((left[used] / counts[used]).min())
-        left[used] -= times * counts[used]
-        left[left < 1e-6] = 0
-        back = np.zeros(len(order), dtype=np.int64)
-        back[order] = counts
-        found.append((times, back))
-    return found
+    size, demand = lengths / capacity, wanted.astype(float)
+    met = np.zeros(len(lengths))
+    found: dict[bytes, int] = {}
+    counts: list[np.ndarray] = []
+    used: list[float] = []
+    bound = float(size @ demand)
+    for turn in range(1, turns + 1):
+        prices = size * np.exp(-ETA * (met - met.min()))
+        chosen, price = _price(prices, lengths, capacity)
+        bound = max(bound, float(prices @ demand) / price)
+        inside = chosen > 0
+        step = STEP * float((demand[inside] / chosen[inside]).min())
+        met += step * chosen / demand
+        at = found.setdefault(chosen.tobytes(), len(counts))
+        if at == len(counts):
+            counts.append(chosen)
+            used.append(0.0)
+        used[at] += step
+        if turn % LOOK == 0 or turn == turns:
+            cover = Cover(np.array(used) * (bound / sum(used)), np.array(counts), bound)
+            whole = sum(times for times, _ in rounded(cover, 1.0, lengths, wanted, capacity))
+            if whole <= max(np.ceil(bound - 1e-6), (1 + gap) * bound):
+                break
+    return cover
+
+
+def best_fit_groups(lengths: np.ndarray, wanted: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+    """Best-fit decreasing over a histogram, equal sequences in one: (how many, counts of each length).
+
+    The tightest sequence that takes a piece is also the tightest for the next of the same length until it is full, so a
+    whole group is filled at once. A length splits one group at most: the work grows with the lengths, not the pieces.
+    """
+    by_room: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(capacity + 1)]
+    for k in np.argsort(-lengths):
+        size, left = int(lengths[k]), int(wanted[k])
+        filled: list[tuple[int, int, np.ndarray]] = []
+
+        def fill(room: int, times: int, counts: np.ndarray) -> None:
+            """Put what is left into `times` sequences with this room."""
+            nonlocal left
+            fit = room // size
+            full = min(times, left // fit)
+            part = left - full * fit if full < times else 0
+            left -= full * fit + part
+            for number, taken in ((full, fit), (int(part > 0), part), (times - full - int(part > 0), 0)):
+                if number:
+                    after = counts.copy()
+                    after[k] += taken
+                    filled.append((room - taken * size, number, after))
+
+        for room in range(size, capacity + 1):
+            while left and by_room[room]:
+                fill(room, *by_room[room].pop())
+            if not left:
+                break
+        if left:
+            fill(capacity, -(-left // (capacity // size)), np.zeros(len(lengths), dtype=np.int64))
+        for room, number, counts in filled:
+            by_room[room].append((number, counts))
+    return [group for groups in by_room for group in groups]
 
 
 def best_fit(lengths: np.ndarray, wanted: np.ndarray, capacity: int) -> list[np.ndarray]:
     """Best-fit decreasing over a histogram: counts of each length, sequence by sequence."""
-    by_room: dict[int, list[int]] = {}
-    out: list[np.ndarray] = []
-    open_rooms = np.zeros(capacity + 1, dtype=np.int64)
-    for k in np.argsort(-lengths):
-        size = int(lengths[k])
-        for _ in range(int(wanted[k])):
-            fitting = np.flatnonzero(open_rooms[size:])
-            if len(fitting):
-                room = size + int(fitting[0])
-                which = by_room[room].pop()
-                open_rooms[room] -= 1
-            else:
-                room, which = capacity, len(out)
-                out.append(np.zeros(len(lengths), dtype=np.int64))
-            out[which][k] += 1
-            by_room.setdefault(room - size, []).append(which)
-            open_rooms[room - size] += 1
-    return out
+    return [counts for times, counts in best_fit_groups(lengths, wanted, capacity) for _ in range(times)]
 
 
 @dataclass
@@ -161,20 +192,28 @@ class Plan:
         return self.sequence[at] + turn, self.offset[at] + slot * length
 
 
-def _rounded(lengths: np.ndarray, wanted: np.ndarray, capacity: int, epsilon: float, favour: float
-             ) -> list[tuple[int, np.ndarray]]:
-    """The solution with every use rounded down, and what that leaves packed best-fit decreasing."""
-    used = [(int(times + 1e-9), counts) for times, counts in solve(lengths, wanted, capacity, epsilon, favour)]
-    left = wanted - sum((times * counts for times, counts in used), np.zeros_like(wanted))
-    return [u for u in used if u[0]] + [(1, counts) for counts in best_fit(lengths, left, capacity)]
+def rounded(cover: Cover, share: float, lengths: np.ndarray, wanted: np.ndarray, capacity: int
+            ) -> list[tuple[int, np.ndarray]]:
+    """A share of the solution, every use rounded down and never above the demand; the rest is packed best-fit decreasing."""
+    left, used = wanted.copy(), []
+    for at in np.argsort(-cover.times, kind="stable"):
+        counts = cover.counts[at]
+        inside = counts > 0
+        times = min(int(share * cover.times[at] + 1e-9), int((left[inside] // counts[inside]).min()))
+        if times:
+            left -= times * counts
+            used.append((times, counts))
+    return used + best_fit_groups(lengths, left, capacity)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Solve and round under a few price settings; the plan with the fewest sequences counts."""
+    """Solve, round a few shares of the solution; the plan with the fewest sequences counts, of equals the largest share."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     wanted = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    tried = [_rounded(lengths, wanted, capacity, *setting) for setting in PRICES]
-    used = min(tried, key=lambda u: sum(times for times, _ in u))
+    used: list[tuple[int, np.ndarray]] = []
+    if len(lengths):
+        cover = solve(lengths, wanted, capacity)
+        used = min((rounded(cover, share, lengths, wanted, capacity) for share in SHARES), key=lambda u: sum(n for n, _ in u))
     ranks, rows, sequence = np.zeros(len(lengths), dtype=np.int64), [], 0
     for times, counts in used:
         offset = 0

@@ -116,3 +116,98 @@ def test_equal_lengths_are_numbered_apart(spark):
         packing.NUMBERED_TOGETHER = saved
     assert len({(r.sequence_id, r.offset) for r in rows}) == 500
     assert len({r.sequence_id for r in rows}) == -(-500 // (16 // rows[0].length))
+
+
+def plain_best_fit(pieces, capacity):
+    """One piece after the other, longest first, each into the fullest sequence that takes it."""
+    rooms, held = [], []
+    for size in sorted(pieces, reverse=True):
+        fitting = [i for i, room in enumerate(rooms) if room >= size]
+        if fitting:
+            at = min(fitting, key=lambda i: rooms[i])
+        else:
+            at = len(rooms)
+            rooms.append(capacity)
+            held.append([])
+        rooms[at] -= size
+        held[at].append(size)
+    return held
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying all subsets."""
+    full = (1 << len(pieces)) - 1
+    best = {0: (0, capacity)}
+    for mask in range(1, full + 1):
+        found = []
+        for i, size in enumerate(pieces):
+            if mask >> i & 1:
+                used, filled = best[mask ^ (1 << i)]
+                found.append((used, filled + size) if filled + size <= capacity else (used + 1, size))
+        best[mask] = min(found)
+    return best[full][0]
+
+
+def histogram(sizes):
+    lengths, wanted = np.unique(np.array(sizes), return_counts=True)
+    return lengths.astype(np.int64), wanted.astype(np.int64)
+
+
+def test_groups_are_best_fit():
+    own = np.random.default_rng(4)
+    for _ in range(40):
+        sizes = own.integers(1, own.integers(3, 60), own.integers(1, 300)).tolist()
+        lengths, wanted = histogram(sizes)
+        groups = packing.best_fit_groups(lengths, wanted, 60)
+        assert (sum(times * counts for times, counts in groups) == wanted).all()
+        # which of two equally full sequences takes a piece is open, how full they get is not
+        got = sorted(int(counts @ lengths) for times, counts in groups for _ in range(times))
+        assert got == sorted(sum(h) for h in plain_best_fit(sizes, 60))
+
+
+def test_price_is_the_dearest_configuration():
+    own = np.random.default_rng(5)
+    for _ in range(30):
+        capacity = int(own.integers(5, 14))
+        lengths = np.unique(own.integers(1, capacity + 1, 4))
+        prices = own.random(len(lengths))
+        counts, price = packing._price(prices, lengths, capacity)
+        every = np.array(np.meshgrid(*[np.arange(capacity // n + 1) for n in lengths])).reshape(len(lengths), -1).T
+        assert counts @ lengths <= capacity and abs(counts @ prices - price) < 1e-9
+        assert abs(price - (every[every @ lengths <= capacity] @ prices).max()) < 1e-9
+
+
+def test_bound_and_plan_against_the_optimum():
+    own = np.random.default_rng(6)
+    for _ in range(15):
+        sizes = own.integers(3, 30, 11).tolist()
+        lengths, wanted = histogram(sizes)
+        least = fewest(sizes, 30)
+        cover = packing.solve(lengths, wanted, 30)
+        assert cover.bound <= least + 1e-6
+        where = packing.plan(dict(zip(lengths.tolist(), wanted.tolist(), strict=True)), 30)
+        assert least <= where.sequences <= len(plain_best_fit(sizes, 30))
+
+
+def test_prices_prove_more_than_the_volume():
+    """Pieces of over half a sequence cannot share one: prices find that, the volume does not."""
+    lengths, wanted = np.array([3, 5, 6, 7]), np.array([4, 50, 300, 200])
+    cover = packing.solve(lengths, wanted, 10)
+    assert cover.bound > 1.1 * (lengths @ wanted) / 10 and cover.bound > 495
+
+
+def test_solution_covers_every_demand():
+    """Scaled up, the average covers all; rounded, a plan of any size stays near the bound and below plain best-fit."""
+    own = np.random.default_rng(7)
+    lengths = np.arange(1, 129)
+    wanted = own.integers(1, 10**9, 128)
+    cover = packing.solve(lengths, wanted, 128)
+    met = cover.times @ cover.counts
+    assert (met > 0).all() and abs(cover.times.sum() - cover.bound) < 1e-6 * cover.bound
+    assert ((cover.counts @ lengths) <= 128).all()
+    where = packing.plan(dict(zip(lengths.tolist(), wanted.tolist(), strict=True)), 128)
+    assert cover.bound <= where.sequences <= 1.02 * cover.bound + len(lengths)
+    assert where.sequences <= sum(times for times, _ in packing.best_fit_groups(lengths, wanted, 128))
+    for share in packing.SHARES:
+        used = packing.rounded(cover, share, lengths, wanted, 128)
+        assert (sum(times * counts for times, counts in used) == wanted).all()
