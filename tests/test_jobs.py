@@ -90,6 +90,37 @@ def test_csv_columns_are_bound_by_name(spark, root):
         landing.ingest("transformers")
 
 
+def test_values_that_do_not_fit_are_kept_beside_the_row(spark, root):
+    landing = Landing(spark, f"{root}/landed", f"{root}/bronze")
+    _land(root, "transformers", "a.csv", f"{HEADER}\nT1,P1,abc,1980,A,X\nT2,P2,50,1990,B,Y\nT3,P3,5\n")
+    assert landing.ingest("transformers") == 3
+    rows = {r.transformer_id: r for r in landing.bronze("transformers").collect()}
+    assert rows["T1"].kva is None and rows["T1"].pole_id == "P1" and rows["T1"].install_year == 1980 and rows["T2"].kva == 50
+    assert {r.transformer_id: r._rescued for r in landing.rescued("transformers").collect()} == {
+        "T1": "T1,P1,abc,1980,A,X", "T3": "T3,P3,5"}
+    line = {"line_id": "L1", "substation_code": "S", "voltage_kv": "high", "commissioning_year": 1990}
+    _land(root, "lines", "a.json", json.dumps(line) + "\n" + json.dumps({**line, "line_id": "L2", "voltage_kv": 25}) + "\n")
+    landing.ingest("lines")
+    rows = {r.line_id: r for r in landing.bronze("lines").collect()}
+    assert (rows["L1"].voltage_kv, rows["L1"].commissioning_year, rows["L2"].voltage_kv) == (None, 1990, 25)
+    (kept,) = landing.rescued("lines").collect()
+    assert json.loads(kept._rescued) == line and "_rescued" not in landing.bronze("lines").columns
+
+
+def test_undeclared_columns_grow_wider_declared_ones_do_not(spark, root):
+    landing = Landing(spark, f"{root}/landed", f"{root}/bronze")
+    for file, row in (("a", "T1,P1,25,1980,A,X,120"), ("b", "T2,P2,25,1980.5,A,X,0.5"), ("c", "T3,P3,25,1980,A,X,7"),
+                      ("d", "T4,P4,25,1980,A,X,heavy")):
+        _land(root, "transformers", f"{file}.csv", f"{HEADER},weight\n{row}\n")
+        assert landing.ingest("transformers") == 1
+    table = landing.bronze("transformers")
+    assert dict(table.dtypes)["weight"] == "double" and dict(table.dtypes)["install_year"] == "int"
+    rows = {r.transformer_id: r for r in table.collect()}
+    assert [rows[f"T{i}"].weight for i in (1, 2, 3, 4)] == [120.0, 0.5, 7.0, None]
+    assert rows["T2"].install_year is None
+    assert sorted(r.transformer_id for r in landing.rescued("transformers").collect()) == ["T2", "T4"]
+
+
 def test_nothing_landed_and_parquet(spark, root):
     landing = Landing(spark, f"{root}/landed", f"{root}/bronze")
     assert landing.ingest("poles") == 0
