@@ -433,9 +433,10 @@ _question("overloaded_transformers", f"""SELECT transformer_id, t.kva, t.n_custo
     max(overload_pct) AS surcharge_max_pct, count(*) AS jours_sup_150, min(reading_date) AS premier_jour,
     max(reading_date) AS dernier_jour FROM g_load WHERE line_id = '{LINE}' AND winter_label = 'Hiver {o.FEATURE}'
     AND overload_pct > 150 GROUP BY 1) USING (transformer_id)""", line=LINE, winter=FEATURE_WINTER)
-_question("oldest_poles", f"""SELECT pole_id, install_year, age_years, material, branch_type,
+_OLDEST_POLES = f"""SELECT pole_id, install_year, age_years, material, branch_type,
   {o.rnd('network_distance_m', 0)} AS distance_reseau_m, {o.point('lon', 'lat')} AS geojson FROM g_poles
-  WHERE line_id = '{LINE}' ORDER BY install_year, pole_id LIMIT 20""", line=LINE)
+  WHERE line_id = '{LINE}' ORDER BY install_year, pole_id LIMIT 20"""
+_question("oldest_poles", _OLDEST_POLES, line=LINE)
 _question("longest_spans", f"""SELECT span_id, line_id, region_name, from_node_id, to_pole_id,
   {o.rnd('length_m', 1)} AS longueur_m, {o.linestring('lon1', 'lat1', 'lon2', 'lat2')} AS geojson FROM s_spans
   JOIN line_regions USING (line_id) ORDER BY longueur_m DESC, span_id LIMIT 20""")
@@ -774,3 +775,31 @@ def stream_ingest_all(spark, folder):
         return counted.join(F.broadcast(kept), F.lit(True)).select(F.lit(name).alias("extract"), "*")  # one row each
 
     return reduce(DataFrame.unionByName, map(totals, EXTRACTS))
+
+
+@check("change_feed", f"""SELECT 1 AS change_version, 'I' AS _op, {', '.join(_COLUMNS)} FROM s_transformers WHERE {_BEFORE}
+  UNION ALL SELECT 2, CASE WHEN right(transformer_id, 1) = '3' THEN 'I' WHEN right(transformer_id, 1) = '5' THEN 'D' ELSE 'U' END,
+  {', '.join(_COLUMNS[:-1])}, {_AFTER_VALUES['manufacturer']} FROM s_transformers WHERE right(transformer_id, 1) IN ('0', '3', '5')""")
+def change_feed(spark, folder):
+    """What two merges into a keyed table leave in its feed; a third one that changes nothing leaves nothing."""
+    net = network(spark, folder)
+    table = KeyedTable(TableStore(spark, scratch_path(spark, "feed")), "transformers", "transformer_id")
+    for state in (_before(net), _after(net), _after(net)):
+        table.merge(state)
+    return spark.read.parquet(table.feed_path).select("change_version", "_op", *_COLUMNS)
+
+
+@check("stored_oldest_poles", _OLDEST_POLES, landed=True)
+def stored_oldest_poles(spark, folder):
+    """A question answered from stored, clustered products alone; the extracts are out of reach by then."""
+    net = network(spark, folder)
+    net.store = TableStore(spark, scratch_path(spark, "tables"))
+    for name in ("silver.operating_centers", "silver.poles", "gold.poles"):
+        net.store.replace(name, net.table(name))
+        net.forget(name)
+
+    def nothing(name: str) -> DataFrame:
+        raise RuntimeError(f"{name} is read from its extract")
+
+    stored = Network(spark, nothing, net.settings, store=net.store)
+    return questions.ask(SecuredView(stored, MASKED_CALLER, access(stored)), "oldest_poles", line=LINE)
