@@ -73,3 +73,17 @@ def test_licenses(spark):
 @pytest.mark.parametrize("name", list(SQL))
 def test_sql(spark, folder, name):
     assert difference(QUERIES[name](spark, folder), duck(folder), SQL[name]) is None
+
+
+def test_named_licences(spark):
+    """A line that names a licence declares it, whatever stands around it; unknown names declare nothing."""
+    names = sorted({i for i, _ in licenses.TEMPLATES})
+    assert {"AGPL-3.0-only", "BSD-2-Clause", "ISC", "MIT"} <= set(names)
+    files = [(f"{n}/{k}.c", f"{mark} SPDX-License-Identifier: {n}\nint x;") for n in names for k, mark in enumerate(("//", "#", " *"))]
+    files += [("x.c", "// SPDX-License-Identifier: Zlib"), ("y.c", "no word of it"), ("z.c", None),
+              ("a.py", "# Licensed under the GNU Affero General Public License, version 3."),
+              ("g.py", "# This work is licensed under the GNU General Public License, version 3.")]
+    rows = {r.path: r for r in licenses.declared(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: r.license for p, r in rows.items()} == {
+        **{p: p.split("/")[0] for p, _ in files if "/" in p}, "a.py": "AGPL-3.0-only", "g.py": "GPL-3.0-only"}
+    assert all(r.score > 0.99 for r in rows.values())
