@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +8,7 @@ import pytest
 
 from feederlake.llm import chat, order_minhash
 
+A, B, FULL = int(order_minhash._A), int(order_minhash._B), (1 << 64) - 1
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["<", "s>", "/s>", "\\", "[", "INST]", "/INST]", "<s>", "</s>", "[ROLE]", "x", " ", "<\\s>", "é", "漢", "<|endoftext|>"]
 
@@ -48,6 +50,82 @@ def test_fingerprints_do_not_depend_on_company():
         assert (marks([text])[0] == mark).all()
 
 
+def plain_letters(text):
+    """The letters of a text as byte strings, by a loop over its words."""
+    found = []
+    for word in re.findall(rb"[^\x20\x09-\x0d]+", text.encode()):
+        if len(word) <= order_minhash.LONG:
+            found += [word[i:i + 4] for i in range(0, len(word), 4)]
+            continue
+        start = 0
+        for i in range(1, len(word) + 1):
+            number = 0
+            for b in reversed(word[max(0, i - 4):i]):
+                number = (number * A + b + 1) & FULL
+            chosen = i >= 4 and stir(stir(number)) >> 62 == 0
+            if i == len(word) or chosen or i - start == order_minhash.LONGEST:
+                found.append(word[start:i])
+                start = i
+    return found
+
+
+def stir(x):
+    x = ((x ^ (x >> 31)) * B) & FULL
+    return x ^ (x >> 29)
+
+
+def plain_fingerprint(text):
+    """Order MinHash of one text in plain numbers: minimal numbered k-mers in text order, hashed as tuples."""
+    numbers = []
+    for letter in plain_letters(text):
+        total, power = 0, 1
+        for b in letter:
+            power = power * A & FULL
+            total = (total + (b + 1) * power) & FULL
+        numbers.append(stir(total))
+    kmers = []
+    for i in range(max(len(numbers) - 2, min(1, len(numbers)))):
+        mixed = 0
+        for step, number in enumerate(numbers[i:i + 3]):
+            mixed = stir((mixed * A + number + step + 1) & FULL)
+        kmers.append(mixed)
+    seen, numbered = {}, []
+    for k in kmers:
+        seen[k] = seen.get(k, -1) + 1
+        numbered.append(stir((k + seen[k] * A) & FULL))
+    out = []
+    for sketch in range(order_minhash.SKETCHES):
+        ranks = []
+        for i, n in enumerate(numbered):
+            rank = (n ^ int(order_minhash._SEEDS[sketch])) * A & FULL
+            ranks.append((((rank ^ (rank >> 32)) * B & FULL) >> 24, i))
+        chosen = sorted(i for _, i in sorted(ranks)[:2])
+        mixed = sketch + 1
+        for i in chosen + [None] * (2 - len(chosen)):
+            mixed = stir((mixed * A + (0 if i is None else kmers[i])) & FULL)
+        out.append(mixed >> 48 if kmers else 0)
+    return out
+
+
+def test_fingerprints_equal_a_plain_version(odd_rows):
+    own = random.Random(7)
+    texts = [t or "" for _, t in odd_rows if len(t or "") < 20_000]
+    texts += ["".join(own.choices("abc \n漢字語é", k=own.randint(0, 300))) for _ in range(40)]
+    texts += ["x" * 500, "ab" * 300, "漢" * 33, "w" * 32, "w" * 33, " " * 40 + "end", "one", "one two", "one two three"]
+    for text, mark in zip(texts, marks(texts), strict=True):
+        assert mark.tolist() == plain_fingerprint(text), text[:80]
+
+
+def test_texts_without_blanks_keep_their_likeness_after_an_edit():
+    own = random.Random(3)
+    for alphabet in ("".join(chr(own.randint(0x4E00, 0x9FA5)) for _ in range(800)), "abcdefghijklmnopqrstuvwxyz"):
+        text = "".join(own.choices(alphabet, k=600))
+        base, *edited = marks([text, "新" + text, text[:300] + "新" + text[300:], text[:300] + text[301:], text[:450] + "q" + text[451:]])
+        assert all((base == e).mean() >= 0.8 for e in edited)
+        halves, other = marks([text[300:] + text[:300], "".join(own.choices(alphabet, k=600))])
+        assert (base == halves).mean() < 0.8 and (base == other).mean() < 0.1
+
+
 def test_order_matters_and_edits_show():
     own = random.Random(1)
     words = ["".join(own.choices("abcdefghij", k=6)) for _ in range(400)]
