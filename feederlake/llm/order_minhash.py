@@ -166,8 +166,8 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),
         F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("k"))
-    ranges = min(1_000, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = rows.select(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.select(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0]
     splits = sorted(set(found or []))
     listed = ", ".join(f"bigint('{s}')" for s in splits)
     placed = rows.withColumn("bucket", F.expr(f"size(filter(array({listed}), s -> s >= k))") if splits else F.lit(0))
@@ -230,7 +230,9 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     prepare(docs.sparkSession)
     rows = with_next(docs, id_column, text_column)
     order = [F.col("bucket"), F.col("own").desc(), F.col("k").desc(), F.col("text")]
-    dealt = rows.repartition("bucket").sortWithinPartitions(*order).select("doc_id", "text", "own")
+    # a task for every range: hashed, some tasks would get several of them and others none
+    tasks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionById(tasks, "bucket").sortWithinPartitions(*order).select("doc_id", "text", "own")
     return dealt.mapInArrow(
         per_partition, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, "
                        "near_edited double, near_next double")
