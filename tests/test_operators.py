@@ -10,7 +10,7 @@ from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from feederlake.operators.access import Caller, access_table, masked_text, merge_access, row_filter, with_comments
-from feederlake.operators.corridor import corridor_area, corridor_ring
+from feederlake.operators.corridor import corridor_area, corridor_blocks, corridor_ring
 from feederlake.operators.features import to_features, wkt_to_geojson
 from feederlake.operators.hulls import convex_hull, hull_rings, widen
 from feederlake.operators.latest import latest_record
@@ -158,6 +158,36 @@ def test_corridor_overlaps_count_once_whatever_the_tiles(spark):
     assert areas[0] == pytest.approx(inside(gx.ravel(), gy.ravel()).sum() * 0.0625, rel=3e-3)
 
 
+def test_corridor_of_a_dense_tile_spreads_over_tasks(spark):
+    rng = np.random.default_rng(5)
+    starts = rng.uniform(0, 500, size=(100_000, 2))
+    ends = starts + rng.normal(size=(100_000, 2)) * 3
+    rows = [("hot", *map(float, (*a, *b))) for a, b in zip(starts, ends)] + [("cold", 0.0, 0.0, 30.0, 5.0)]
+    spans = _capsules(spark, rows).repartition(8)
+    dealt = corridor_blocks(spans, "line", 15.0).filter("line = 'hot' AND tx = 0 AND ty = 0")
+    blocks = {(r.bx, r.by): r["count"] for r in dealt.groupBy("bx", "by").count().collect()}
+    assert len(blocks) >= 50 and max(blocks.values()) < 20_000
+    assert dealt.select(F.spark_partition_id()).distinct().count() == 4  # all tasks of the test's session
+
+
+@pytest.mark.parametrize("crossings", [1, 7, 300, 5_000])
+def test_corridor_does_not_depend_on_its_blocks(spark, crossings):
+    rng = np.random.default_rng(6)
+    starts = rng.uniform(-60, 200, size=(150, 2))
+    rows = [("a" if i % 3 else "b", *map(float, (*p, *(p + rng.normal(size=2) * 25)))) for i, p in enumerate(starts)]
+    spans = _capsules(spark, rows + rows[:20])
+    whole = {r.line: r.area_m2 for r in corridor_area(_capsules(spark, rows), "line", 15.0, crossings=1 << 40).collect()}
+    got = {r.line: r.area_m2 for r in corridor_area(spans, "line", 15.0, tile=96.0, crossings=crossings).collect()}
+    assert got == pytest.approx(whole, rel=1e-9)
+
+
+def test_corridor_of_odd_spans(spark):
+    rows = [("dot", 5.0, 5.0, 5.0, 5.0), ("dot", 5.0, 5.0, 5.0, 5.0), ("half", 1.0, None, 2.0, 2.0)]
+    got = {r.line: r.area_m2 for r in corridor_area(_capsules(spark, rows), "line", 15.0).collect()}
+    assert got == {"dot": pytest.approx(math.pi * 225, rel=1e-3)}
+    assert corridor_area(_capsules(spark, rows).limit(0), "line", 15.0).count() == 0
+
+
 def test_corridor_outline_encloses_the_corridor(spark):
     ring = (_capsules(spark, [("d", 0.0, 0.0, 60.0, 80.0)])
             .selectExpr(f"{corridor_ring(15.0)} AS ring").first().ring)
