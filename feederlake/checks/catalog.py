@@ -513,7 +513,7 @@ o._CHAINS.update({flag: o._chain(flag) for flag in (False, True)})
 _CUT = {c: f"lon1 + {c}*(lon2-lon1)" for c in ("t0", "t1")}, {c: f"lat1 + {c}*(lat2-lat1)" for c in ("t0", "t1")}
 
 
-@check("selection_totals", f"""SELECT (SELECT count(*) FROM g_poles p WHERE {_IN.format('p.')}) AS poles,
+_SELECTION_TOTALS = f"""SELECT (SELECT count(*) FROM g_poles p WHERE {_IN.format('p.')}) AS poles,
   (SELECT count(*) FROM g_poles p WHERE {_IN.format('p.')} AND install_year < 1985) AS poles_pre_1985,
   (SELECT count(*) FROM g_transformers p WHERE {_IN.format('p.')}) AS transformers,
   (SELECT count(*) FROM g_transformers p WHERE {_IN.format('p.')} AND max_overload_pct_hiver_{o.LABEL} > 150)
@@ -523,7 +523,10 @@ _CUT = {c: f"lon1 + {c}*(lon2-lon1)" for c in ("t0", "t1")}, {c: f"lat1 + {c}*(l
     {o.x_m(_CUT[0]['t0'], _CUT[1]['t0'])} AS xa, {o.y_m(_CUT[0]['t0'], _CUT[1]['t0'])} AS ya,
     {o.x_m(_CUT[0]['t1'], _CUT[1]['t1'])} AS xb, {o.y_m(_CUT[0]['t1'], _CUT[1]['t1'])} AS yb
     FROM sel_clip WHERE t1 > t0)) AS conductor_km,
-  (SELECT {o.rnd('abs(sum(x1*y2 - x2*y1))/2e6::DOUBLE', 3)} FROM sel_m) AS area_km2""")
+  (SELECT {o.rnd('abs(sum(x1*y2 - x2*y1))/2e6::DOUBLE', 3)} FROM sel_m) AS area_km2"""
+
+
+@check("selection_totals", _SELECTION_TOTALS)
 def selection_totals(spark, folder):
     return layers.selection_totals(view(spark, folder), SELECTION_JSON)
 
@@ -789,12 +792,11 @@ def change_feed(spark, folder):
     return spark.read.parquet(table.feed_path).select("change_version", "_op", *_COLUMNS)
 
 
-@check("stored_oldest_poles", _OLDEST_POLES, landed=True)
-def stored_oldest_poles(spark, folder):
-    """A question answered from stored, clustered products alone; the extracts are out of reach by then."""
+def _stored(spark, folder, names: tuple[str, ...]) -> SecuredView:
+    """A view of these products as stored; the extracts are out of reach by then."""
     net = network(spark, folder)
     net.store = TableStore(spark, scratch_path(spark, "tables"))
-    for name in ("silver.operating_centers", "silver.poles", "gold.poles"):
+    for name in names:
         net.store.replace(name, net.table(name))
         net.forget(name)
 
@@ -802,4 +804,17 @@ def stored_oldest_poles(spark, folder):
         raise RuntimeError(f"{name} is read from its extract")
 
     stored = Network(spark, nothing, net.settings, store=net.store)
-    return questions.ask(SecuredView(stored, MASKED_CALLER, access(stored)), "oldest_poles", line=LINE)
+    return SecuredView(stored, MASKED_CALLER, access(stored))
+
+
+@check("stored_oldest_poles", _OLDEST_POLES, landed=True)
+def stored_oldest_poles(spark, folder):
+    """A question answered from stored products alone."""
+    return questions.ask(_stored(spark, folder, ("silver.operating_centers", "silver.poles", "gold.poles")), "oldest_poles", line=LINE)
+
+
+@check("stored_selection_totals", _SELECTION_TOTALS)
+def stored_selection_totals(spark, folder):
+    """What lies inside a drawn polygon, from stored products that are laid by place."""
+    names = ("silver.operating_centers", "silver.poles", "gold.poles", "gold.spans", "gold.transformers", "gold.customers_pii")
+    return layers.selection_totals(_stored(spark, folder, names), SELECTION_JSON)

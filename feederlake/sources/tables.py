@@ -6,11 +6,13 @@ half-written one, and a failed write is simply written again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feederlake.functions.curve import place_number
+
 # physical order per table: the filter columns, then the key, so that a very
 # common filter value is spread over several files
 CLUSTERING: dict[str, tuple[str, ...]] = {
@@ -18,19 +20,26 @@ CLUSTERING: dict[str, tuple[str, ...]] = {
     "silver.spans": ("line_id", "span_id"),
     "silver.customers": ("transformer_id", "customer_id"),
     "silver.transformer_load_daily": ("transformer_id", "reading_date"),
-    "gold.poles": ("line_id", "pole_id"),
-    "gold.spans": ("line_id", "span_id"),
-    "gold.customers_pii": ("line_id", "customer_id"),
-    "gold.transformers": ("line_id", "transformer_id"),
     "gold.transformer_load_daily": ("transformer_id", "reading_date"),
     "gold.outages": ("start_ts", "outage_id"),
 }
+# tables that are asked for by place: longitude, latitude, and the key that spreads a very common place. They are laid
+# along a space-filling curve, so that the ranges of both coordinates in a row group are narrow
+PLACED: dict[str, tuple[str, str, str]] = {
+    "gold.poles": ("lon", "lat", "pole_id"),
+    "gold.spans": ("lon1", "lat1", "span_id"),
+    "gold.customers_pii": ("lon", "lat", "customer_id"),
+    "gold.transformers": ("lon", "lat", "transformer_id"),
+}
+# and by line: a Bloom filter of each row group tells whether it can hold the line
+LINE_COLUMN = "line_id"
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, options: Mapping[str, str] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.options = dict(options or {})  # of the Parquet writer
 
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v{version:08d}"
@@ -63,12 +72,20 @@ class TableStore:
 
     def replace(self, name: str, df: DataFrame, cluster_by: Sequence[str] | None = None,
                 version: int | None = None) -> int:
-        """Write the next version; earlier ones stay readable until pruned."""
+        """Write the next version, ordered by `cluster_by` or as the table's name asks; earlier ones stay readable until pruned."""
         version = version or self.version(name) + 1
         keys = cluster_by if cluster_by is not None else CLUSTERING.get(name, ())
-        if keys:
+        options = {}
+        if cluster_by is None and name in PLACED and set(PLACED[name]) <= set(df.columns):
+            lon, lat, key = PLACED[name]
+            place = ["_place", key]
+            df = df.withColumn("_place", F.expr(place_number(lon, lat)))
+            df = df.repartitionByRange(*place).sortWithinPartitions(*place).drop("_place")
+            if LINE_COLUMN in df.columns:
+                options[f"parquet.bloom.filter.enabled#{LINE_COLUMN}"] = "true"
+        elif keys:
             df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        df.write.mode("overwrite").parquet(self._path(name, version))
+        df.write.mode("overwrite").options(**options, **self.options).parquet(self._path(name, version))
         return version
 
     def prune(self, name: str, keep: int = 2) -> None:

@@ -1,22 +1,26 @@
 """Ingestion, the operational sync, and a whole refresh."""
 
+import glob
 import json
 import os
 import tempfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from feederlake.checks.catalog import BENCH_MODEL, LOCAL_CALLER, MASKED_CALLER, PII_CALLER, access, network, view
 from feederlake.checks.landed import landed_twice
+from feederlake.functions.curve import hilbert, place_number
 from feederlake.operators.snapshot import KeyedTable
 from feederlake.plans import risk
 from feederlake.plans.build import STORED, refresh
+from feederlake.plans.layers import near_box
 from feederlake.plans.network import Network, Settings
 from feederlake.plans.questions import QUESTIONS, ask, ask_counted
 from feederlake.plans.secured import SecuredView
 from feederlake.sources.mapped import AS_OF, FEATURE_WINTER, LABEL_WINTER, MappedTables
-from feederlake.sources.tables import TableStore, bind, literal_rows, row_count
+from feederlake.sources.tables import PLACED, TableStore, bind, literal_rows, row_count
 from feederlake.streaming.ingest import Landing
 from feederlake.streaming.sync import Mirror
 
@@ -242,6 +246,47 @@ def test_the_row_filter_reaches_the_scan(spark, folder, root):
     assert "PushedFilters: [IsNotNull(ced_code), EqualTo(ced_code," in text or "In(ced_code" in text
 
 
+def test_the_curve_visits_every_cell_and_only_steps_to_neighbours(spark):
+    cells = spark.range(32 * 32).selectExpr("id % 32 AS x", "id div 32 AS y").selectExpr("x", "y", f"{hilbert('x', 'y', 5)} AS n")
+    order = [(r.x, r.y) for r in cells.orderBy("n").collect()]
+    assert {r.n for r in cells.collect()} == set(range(1024))
+    assert all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(order, order[1:]))
+    odd = spark.sql(f"""SELECT {place_number('lon', 'lat')} AS n FROM VALUES (NULL, 1D), (1D, double('NaN')), (double('inf'), 1D),
+        (-180D, -90D), (180D, 90D), (400D, -400D) AS t(lon, lat)""")
+    assert [r.n is None for r in odd.collect()] == [True] * 3 + [False] * 3
+
+
+def test_a_drawn_polygon_reads_few_row_groups(spark, root):
+    """Stored by place, a selection of a fiftieth of the area needs under a tenth of the row groups of each table."""
+    store = TableStore(spark, root, {"parquet.block.size": "4096", "parquet.page.size": "1024"})
+    east = "-74D + (id * 7919 % 100003) / 100003D * 4"
+    north = "45D + (id * 104729 % 99991) / 99991D * 3"
+    places = spark.range(60_000).selectExpr(f"{east} AS lon", f"{north} AS lat", "concat('L', id % 300) AS line_id", "id")
+    tables = {
+        "gold.poles": places.selectExpr("concat('P', id) AS pole_id", "line_id", "lon", "lat"),
+        "gold.transformers": places.selectExpr("concat('T', id) AS transformer_id", "line_id", "lon", "lat"),
+        "gold.customers_pii": places.selectExpr("concat('C', id) AS customer_id", "line_id", "lon", "lat"),
+        "gold.spans": places.selectExpr("concat('S', id) AS span_id", "line_id", "lon AS lon1", "lat AS lat1",
+                                        "lon + 0.001 AS lon2", "lat - 0.001 AS lat2")}
+    for name, df in tables.items():
+        store.replace(name, df)
+        stored = store.read(name)
+        assert stored.columns == df.columns and stored.count() == 60_000
+        lon, lat, _ = PLACED[name]
+        groups = []
+        for file in glob.glob(f"{root}/{name}/v*/*.parquet"):
+            footer = pq.ParquetFile(file).metadata
+            for g in range(footer.num_row_groups):
+                columns = {footer.row_group(g).column(c).path_in_schema: footer.row_group(g).column(c).statistics
+                           for c in range(footer.num_columns)}
+                groups.append((columns[lon], columns[lat]))
+        met = [1 for x, y in groups if x.max >= -72.5 and x.min <= -71.9 and y.max >= 46.0 and y.min <= 46.4]
+        assert len(groups) >= 100 and len(met) < len(groups) / 10
+    spans = store.read("gold.spans").filter(near_box(-72.5, 46.0, -71.9, 46.4))
+    assert "Or(LessThanOrEqual(lon1" in spans._jdf.queryExecution().executedPlan().toString()
+    assert spans.count() == store.read("gold.spans").filter(
+        "least(lon1, lon2) <= -71.9 AND greatest(lon1, lon2) >= -72.5 AND least(lat1, lat2) <= 46.4 AND greatest(lat1, lat2) >= 46.0").count()
+
 def test_no_answer_is_cut(spark, folder):
     """More than a thousand answers, and a line of 6,000 spans kept in blocks of its branch."""
     net = network(spark, folder)
