@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CIRCLE_POINTS = 32
+#: Directions in which the extreme points of a group are looked up before its hull is walked.
+DIRECTIONS = 16
 HELD_ROWS = 200_000
 
 
@@ -62,11 +64,37 @@ def widen(hull: np.ndarray, margin: float) -> np.ndarray:
     return ring
 
 
+def outer_points(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which points may be on the hull of their group; groups lie one after another from `starts` on.
+
+    Those clearly inside the polygon of a group's extreme points in DIRECTIONS directions are not. It is found for all
+    groups at once; points within rounding of an edge stay.
+    """
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(points))))
+    corners = []
+    for angle in 2 * np.pi * np.arange(DIRECTIONS) / DIRECTIONS:
+        reach = points @ np.array([np.cos(angle), np.sin(angle)])
+        hits = np.flatnonzero(reach == np.maximum.reduceat(reach, starts)[group])
+        corners.append(points[hits[np.searchsorted(group[hits], np.arange(len(starts)))]])
+    ring = np.array(corners)
+    edges = np.roll(ring, -1, axis=0) - ring
+    turned = (edges != 0).any(axis=2)
+    slack = 1e-9 * (np.abs(edges).max(axis=(0, 2)) + 1e-9 * np.abs(ring).max(axis=(0, 2))) ** 2
+    inside = turned.any(axis=0)[group]
+    for corner, edge, real in zip(ring, edges, turned, strict=True):
+        at = points - corner[group]
+        side = edge[group, 0] * at[:, 1] - edge[group, 1] * at[:, 0]
+        inside &= ~real[group] | (side > slack[group])
+    return ~inside
+
+
 def _thin(frame: pd.DataFrame, key: str) -> pd.DataFrame:
     """Replace every group in the frame by its hull vertices."""
     codes, names = pd.factorize(frame[key])
     order = np.argsort(codes, kind="stable")
     codes, points = codes[order], frame[["x", "y"]].to_numpy(float)[order]
+    outer = outer_points(points, np.r_[0, np.flatnonzero(np.diff(codes)) + 1])
+    codes, points = codes[outer], points[outer]
     cuts = np.flatnonzero(np.diff(codes)) + 1
     kept = [convex_hull(group) for group in np.split(points, cuts)]
     merged = np.vstack(kept)
@@ -124,8 +152,12 @@ def _finish(key: str, margin: float):
 
 
 def hull_rings(points: DataFrame, key: str, margin_m: float) -> DataFrame:
-    """(key, x, y) points -> (key, ring) with ring an array of struct(x, y)."""
-    slim = points.select(F.col(key).cast("string").alias(key), "x", "y")
+    """(key, x, y) points -> (key, ring) with ring an array of struct(x, y).
+
+    Points without two finite coordinates do not count; a key with no others has no row.
+    """
+    placed = "abs(x) < double('Infinity') AND abs(y) < double('Infinity')"  # NaN is beyond infinity
+    slim = points.filter(placed).select(F.col(key).cast("string").alias(key), "x", "y")
     thinned = slim.mapInPandas(_partial(key), f"{key} string, x double, y double")
     # a given number of partitions: the rows are few, but each group is work for Python
     partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))

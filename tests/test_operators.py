@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from feederlake.operators.access import Caller, access_table, masked_text, merge_access, row_filter, with_comments
 from feederlake.operators.corridor import corridor_area, corridor_blocks, corridor_ring
 from feederlake.operators.features import to_features, wkt_to_geojson
-from feederlake.operators.hulls import convex_hull, hull_rings, widen
+from feederlake.operators.hulls import convex_hull, hull_rings, outer_points, widen
 from feederlake.operators.latest import latest_record
 from feederlake.operators.quality import DROP, FAIL, WARN, Rule, count_violations, enforce
 from feederlake.operators.ranks import average_precision, global_percent_rank, percent_ranks, roc_auc
@@ -130,6 +130,32 @@ def test_hull_job_equals_plain_hull_with_one_hot_group(spark):
         assert _area(got[name]) == pytest.approx(_area(want), rel=1e-9)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(points, min_size=1, max_size=6))
+def test_points_dropped_before_the_hull_are_no_corners(groups):
+    sizes = [len(g) for g in groups]
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    kept = outer_points(np.array([p for g in groups for p in g], dtype=float), starts)
+    for raw, first, size in zip(groups, starts, sizes):
+        pts = np.array(raw, dtype=float)
+        assert np.array_equal(convex_hull(pts[kept[first:first + size]]), convex_hull(pts))
+
+
+def test_hardly_any_inner_point_is_walked():
+    rng = np.random.default_rng(8)
+    pts = np.vstack([rng.normal(size=(200_000, 2)) * 300 + 2e5, rng.uniform(size=(200_000, 2))])
+    kept = outer_points(pts, np.array([0, 200_000]))
+    assert kept[:200_000].sum() < 2_000 and kept[200_000:].sum() < 20_000
+    assert np.array_equal(convex_hull(pts[:200_000][kept[:200_000]]), convex_hull(pts[:200_000]))
+
+
+def test_hull_job_leaves_out_points_without_a_place(spark):
+    rows = [("a", 0.0, 0.0), ("a", 4.0, 0.0), ("a", None, 1.0), ("a", 2.0, float("nan")), ("a", float("inf"), 0.0), ("b", None, None)]
+    got = hull_rings(spark.createDataFrame(rows, "zone string, x double, y double"), "zone", 30.0).collect()
+    assert [r.zone for r in got] == ["a"]
+    assert max(p.x for p in got[0].ring) == pytest.approx(34.0)
+
+
 def _capsules(spark, spans):
     return spark.createDataFrame(spans, "line string, x1 double, y1 double, x2 double, y2 double")
 
