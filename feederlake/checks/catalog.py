@@ -101,6 +101,8 @@ def latest_event_per_user(spark, folder):
 
 
 _RULE_SQL = {
+    # the centres' rings are boxes: one that is not turned inside out has no edges that cross
+    ("operating_centers", "valid_polygon", "fail"): ("x_ced", "west < east AND south < north"),
     ("substations", "valid_coords", "drop"): ("x_substations", "lon BETWEEN -80 AND -57 AND lat BETWEEN 44 AND 63"),
     ("poles", "valid_coords", "drop"): ("u_poles", "lon BETWEEN -80 AND -57 AND lat BETWEEN 44 AND 63"),
     ("poles", "plausible_install_year", "warn"): ("u_poles", "install_year BETWEEN 1940 AND 2001"),
