@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +46,20 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> None:
         counts += bits.sum(axis=0, dtype=np.int32)
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """A bit is set if it is set in more than half of the shingle hashes; 0 for a text without words."""
+def majority_bits(pieces: Iterable[np.ndarray]) -> int:
+    """A bit is set if it is set in more than half of the hashes; 0 without any."""
     counts, total = np.zeros(64, dtype=np.int64), 0
-    for hashes in shingle_hashes(text, width):
+    for hashes in pieces:
         _majority(hashes, counts)
         total += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """The majority bits of the shingle hashes; 0 for a text without words."""
+    return majority_bits(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fingerprint as a signed long) of every row. A to Z count as a to z; NULL text counts as empty."""
 
@@ -139,26 +144,43 @@ def level(size: int) -> int:
 
 
 def shingle_sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(key, s1, s2, size, level, kept): a 128-bit hash of the set of shingles of each text, and the shingles kept."""
+    """(key, s1, s2, size, level, fingerprint, kept): a 128-bit hash of the set of shingles of each text, the fingerprint
+    of that set, in which a repeated shingle counts once, and the shingles kept."""
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         data, bounds = text_bytes(batch.column(1))
         raw = data.tobytes()
-        marks, numbers, kept = [], [], []
+        marks, numbers, bits, kept = [], [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             own = shingle_set(raw[a:b], width)
             here = level(len(own))
             marks.append(xxhash.xxh3_128_digest(own.tobytes()))
             numbers.append((len(own), here))
+            bits.append(majority_bits([own]))
             kept.append(own[:np.searchsorted(own, np.uint64(1 << 64 - here))].view(np.int64) if here else own.view(np.int64))
         halves = np.frombuffer(b"".join(marks), dtype="<i8").reshape(-1, 2)
         number = np.array(numbers, dtype=np.int64).reshape(-1, 2)
         yield {"key": batch.column(0), "s1": np.ascontiguousarray(halves[:, 0]), "s2": np.ascontiguousarray(halves[:, 1]),
                "size": np.ascontiguousarray(number[:, 0]), "level": number[:, 1].astype(np.int32),
-               "kept": pa.array(kept, pa.list_(pa.int64()))}
+               "fingerprint": np.array(bits, dtype=np.uint64).view(np.int64), "kept": pa.array(kept, pa.list_(pa.int64()))}
 
     kind = rows.schema["key"].dataType.simpleString()
-    return map_batches(rows, per_batch, f"key {kind}, s1 long, s2 long, size long, level int, kept array<long>")
+    return map_batches(rows, per_batch, f"key {kind}, s1 long, s2 long, size long, level int, fingerprint long, kept array<long>")
+
+
+def fingerprint_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (lo, hi) of nodes (k2, fingerprint) that hold every class of linked fingerprints together.
+
+    Nodes with the same fingerprint are tied to the first of them, which stands for the class (see linked_fingerprints).
+    """
+    heads = settle(nodes.groupBy("fingerprint").agg(F.min("k2").alias("head")), "classes")
+    same = nodes.join(heads, "fingerprint").where("k2 <> head").select(F.col("head").alias("lo"), F.col("k2").alias("hi"))
+    linked = linked_fingerprints(heads, radius)
+    near = (
+        linked.join(heads.toDF("lo", "a"), "lo").join(heads.toDF("hi", "b"), "hi")
+        .select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    )
+    return settle(same.unionByName(near), "fingerprint-pairs")
 
 
 def _in_order(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -278,7 +300,8 @@ def _distances(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity:
 
 
 def linked_texts(
-    members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, common: Common = _common_of_sets
+    members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, common: Common = _common_of_sets,
+    known: DataFrame | None = None
 ) -> DataFrame:
     """(node, component) of the groups that all pairs of near copies make which can meet at a place of `members`.
 
@@ -288,13 +311,18 @@ def linked_texts(
     of the group of such a centre goes too where nobody of another group can be its near copy: 1 - similarity is a metric,
     so that takes somebody about as far from the centre. So does one whom nobody of another group can match by size.
     Small groups are centres first, and texts with a far reach, which have little of their own. No pair is dropped
-    otherwise.
+    otherwise. Pairs that are compared already come as `known`, the result of _distances: their links count, and a place
+    whose members these links join needs no comparison.
     """
     spark = members.sparkSession
-    part, known, centres_each = spark.createDataFrame([], "node long, component long"), None, 1
+    part, centres_each = spark.createDataFrame([], "node long, component long"), 1
+    if known is not None:
+        part = components(known.where("near"), "lo", "hi")
     if "reach" not in members.columns:
         members = members.withColumns({"size": F.lit(0).cast("long"), "reach": F.lit(0).cast("long")})
-    here = settle(_open(members.withColumn("part", F.col("k2"))), "members")
+    grouped = members.join(part.toDF("k2", "part"), "k2", "left").withColumn("part", F.coalesce("part", "k2"))
+    # in the first round all are compared with the centres: only who has a known distance can leave with its group
+    here = settle(_open(grouped).withColumn("part", F.col("k2")), "members")
     while not here.isEmpty():
         weight = here.groupBy("place", "part").agg(F.count("*").alias("n"))
         first = Window.partitionBy("place").orderBy("n", F.col("size") - F.col("reach"), "part", "k2")
@@ -344,16 +372,19 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def without_near_copies(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8,
+    radius: int = 2
 ) -> DataFrame:
     """The rows of `docs` without near copies: of each group the one with the smallest doc_id stays, once.
 
-    Texts are near copies if the Jaccard similarity of their sets of `width`-word shingles is `similarity` or more. Such
-    texts seldom lie within two bits in 64, so they meet at their rarest shingles in place of the balls of fingerprints (see
-    rare_places). Texts of up to 2 * SAMPLE shingles keep all and surely meet. From a longer one a sample is kept, the
-    same shingles in every text, and a pair at 0.8 is lost with a chance below one in a hundred, less above. Those who
-    meet are compared by their whole sets of shingles in rounds (see linked_texts), unless their sizes alone rule the
-    similarity out; groups are connected components.
+    Texts are near copies if the Jaccard similarity of their sets of `width`-word shingles is `similarity` or more. Every
+    text has a fingerprint of its set; those with fingerprints at most `radius` bits apart are tied as in near_duplicates,
+    and a tie counts if the whole sets are that similar. At a similarity of 0.8 most fingerprints are about ten bits
+    apart, which no ball can bridge, so texts meet at their rarest shingles as well (see rare_places). Texts of up to
+    2 * SAMPLE shingles keep all and surely meet. From a longer one a sample is kept, the same shingles in every text,
+    and a pair at 0.8 that the fingerprints do not tie is lost with a chance below one in a hundred, less above. Those who
+    meet, unless they are in one group by their fingerprints, are compared by their whole sets of shingles in rounds (see
+    linked_texts), unless their sizes alone rule the similarity out; groups are connected components.
 
     Equal sets of shingles are one node. NULL text counts as empty; rows without words are copies of each other. A NULL
     doc_id counts as larger than any other. All columns of `docs` are returned, whatever their names.
@@ -364,12 +395,16 @@ def without_near_copies(
                    F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(1), plain).alias("t2")).alias("key")
     rows = docs.select(key, plain.alias("text"))
     nodes = shingle_sketches(rows, width).groupBy("s1", "s2").agg(
-        F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "level", "kept")))
+        F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "level", "fingerprint", "kept")))
     nodes = settle(nodes.drop("s1", "s2").withColumn("k2", F.monotonically_increasing_id()), "nodes")
-    met = nodes.join(candidates(nodes, similarity), "k2", "left_semi").select("key", "k2")
+    sizes, common = nodes.select("k2", "size"), common_of_texts(width)
+    tied = fingerprint_pairs(nodes.select("k2", "fingerprint"), radius)
+    ends = tied.select(F.explode(F.array("lo", "hi")).alias("k2"))
+    met = nodes.join(candidates(nodes, similarity).unionByName(ends), "k2", "left_semi").select("key", "k2")
     texts = settle(rows.join(met, "key").select("k2", "text").dropDuplicates(["k2"]), "texts")
+    checked = settle(_distances(tied, sizes, texts, similarity, common), "distances")
     members = settle(shared_places(rare_places(texts, width, similarity)), "places")
-    part = linked_texts(members, nodes.select("k2", "size"), texts, similarity, common_of_texts(width))
+    part = linked_texts(members, sizes, texts, similarity, common, checked)
     kept = (
         nodes.select("k2", "key").join(part.withColumnRenamed("node", "k2"), "k2", "left")
         .groupBy(F.coalesce("component", "k2").alias("component")).agg(F.min("key").alias("key")).select("key")

@@ -175,3 +175,21 @@ def test_rounds_find_all_links_of_a_place(spark):
     rows = spark.createDataFrame(list(enumerate(sets)), "k2 long, shingles array<long>")
     got = {r.node: r.component for r in simhash.linked_texts(members, sizes, rows, 0.8).collect()}
     assert got == {i: c for i, c in part.items() if i != c} and 3 < len(set(part.values())) < 60
+
+
+def test_fingerprints_tie_near_copies(spark, monkeypatch):
+    """Near copies within two bits are found by their fingerprints alone; a tie of texts that are not similar does not count."""
+    own = random.Random(21)
+    texts = [t for _ in range(40) for t in edited(own, 1000, 1)]
+    marks = [simhash.majority_bits([simhash.shingle_set(t.encode(), 5)]) for t in texts]
+    far = [i for i in range(0, 80, 2) if (marks[i] ^ marks[i + 1]).bit_count() > 2]
+    assert len(far) < 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, similarity: nodes.select("k2").limit(0))
+    monkeypatch.setattr(simhash, "rare_places", lambda texts, width, similarity: spark.createDataFrame(
+        [], "place long, k2 long, size long, reach long"))
+    kept = {r.doc_id for r in simhash.without_near_copies(docs).collect()}
+    assert kept == set(range(0, 80, 2)) | {i + 1 for i in far}
+    strangers = spark.createDataFrame([(i, edited(own, 30, 0)[0]) for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "majority_bits", lambda pieces: 7)
+    assert simhash.without_near_copies(strangers).count() == 20
