@@ -14,10 +14,10 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node hands its larger neighbours to the smallest node it knows."""
+    """Every node hands its larger neighbours to the smallest node it knows. One row per edge, some the same."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -41,8 +41,7 @@ def components(edges: DataFrame, first: str, second: str) -> DataFrame:
     state = _state(now)
     while state[0]:
         after = settle(_small_star(_large_star(now)), "stars")
-        changed, state = _state(after) != state, _state(after)
-        now = after
-        if not changed:
+        before, now, state = state, after, _state(after)
+        if state == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

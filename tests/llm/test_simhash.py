@@ -86,6 +86,16 @@ def test_components(spark):
     assert got == {n: c for n, c in want.items() if n != c}
 
 
+def test_components_look_at_each_round_once(spark, monkeypatch):
+    looks, rounds = [], []
+    state, settle = components._state, components.settle
+    monkeypatch.setattr(components, "_state", lambda edges: looks.append(1) or state(edges))
+    monkeypatch.setattr(components, "settle", lambda df, label: rounds.append(1) or settle(df, label))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert components.components(edges, "a", "b").where("component = 0").count() == 40
+    assert len(looks) == len(rounds) > 2
+
+
 def shingles(text, width=5):
     words = (text or "").encode().lower().split()
     return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
