@@ -34,7 +34,7 @@ def transformer_status(net: Network) -> DataFrame:
 @product("gold.ops_zone_risk")
 def zone_status(net: Network) -> DataFrame:
     french, english = split_reply(F.col("recommendation"))
-    return (net.table("gold.zone_risk")
+    return (net.shared("gold.zone_risk")
             .join(net.table("gold.zone_risk_recommendations"), "zone_id", "left")
             .select("zone_id", "device_type", "line_id", "substation_code", "ced_code", "n_customers",
                     "interruptions_3m", "interruptions_6m", "chi_6m", "chi_trend_pct", "avg_pole_age_years",

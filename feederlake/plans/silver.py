@@ -74,10 +74,10 @@ def _poles(net: Network) -> DataFrame:
 
 
 def _spans(net: Network) -> DataFrame:
-    child = net.table("silver.poles").select("pole_id", "line_id", "branch_id", "branch_seq", "parent_pole_id",
+    child = net.shared("silver.poles").select("pole_id", "line_id", "branch_id", "branch_seq", "parent_pole_id",
                                              "lon", "lat", "x", "y")
     place = ("lon", "lat", "x", "y")
-    parent = net.table("silver.poles").select(
+    parent = net.shared("silver.poles").select(
         F.col("pole_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in place])
     feeds = net.table("silver.lines").select("line_id", "substation_code")
     heads = net.table("silver.substations").select(
@@ -96,7 +96,7 @@ def _spans(net: Network) -> DataFrame:
 
 
 def _transformers(net: Network) -> DataFrame:
-    at = net.table("silver.poles").select("pole_id", "line_id", "branch_id", "lon", "lat", "x", "y", "hex_cell_9")
+    at = net.shared("silver.poles").select("pole_id", "line_id", "branch_id", "lon", "lat", "x", "y", "hex_cell_9")
     return net.latest("transformers").join(at, "pole_id", "left").select(
         "transformer_id", "pole_id", "line_id", "branch_id", "kva", "install_year",
         net.age("install_year").alias("age_years"), "phase", "manufacturer", "lon", "lat", "x", "y", "hex_cell_9")
@@ -134,7 +134,7 @@ def _weather_daily(net: Network) -> DataFrame:
 
 
 def _transformer_load_daily(net: Network) -> DataFrame:
-    rated = net.table("silver.transformers").select("transformer_id", "kva", "line_id")
+    rated = net.shared("silver.transformers").select("transformer_id", "kva", "line_id")
     day = F.col("reading_date").cast("date")
     return net.extract("transformer_load").join(rated, "transformer_id").select(
         "transformer_id", "line_id", day.alias("reading_date"), "peak_kva", "energy_kwh",

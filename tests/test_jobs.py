@@ -341,3 +341,39 @@ def test_models_are_versioned_with_a_champion(spark, root):
 def test_tiers_are_right_closed(spark):
     scores = spark.sql("SELECT explode(array(0.3D, 0.31D, 0.6D, 0.61D)) AS s")
     assert [r[0] for r in scores.select(risk.overload_tier(F.col("s"))).collect()] == ["FAIBLE", "MOYEN", "MOYEN", "ÉLEVÉ"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zone_status_reads_the_ranked_zones_that_were_written(spark, folder):
+    from feederlake.checks.catalog import CHECKS
+    status = CHECKS["ops_zone_risk"].run(spark, folder)
+    assert status.count() > 0 and "MapInPandas" not in _plan(status)  # no hull is walked for the status or the replies
+
+
+def test_readings_of_both_winters_are_looked_up_once(spark, folder):
+    net = network(spark, folder)
+    rows = risk.training_set(net)
+    assert rows.count() > 0 and "lineitem" not in _plan(rows) and "lineitem" not in _plan(risk.winter_features(net, LABEL_WINTER))
+    early = risk.winter_features(net, FEATURE_WINTER - 1)  # any other winter is looked up by itself
+    assert "lineitem" in _plan(early) and early.columns == rows.columns[:len(early.columns)]
+
+
+@pytest.mark.parametrize("name", ["gold.poles", "silver.poles"])
+def test_a_table_in_order_is_computed_once(spark, root, name):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(3000).selectExpr("concat('P', id) AS pole_id", "concat('L', id % 7) AS line_id",
+                                        "-72 + id % 100 / 100D AS lon", "46 + id % 90 / 100D AS lat")
+    store = TableStore(spark, root)
+    store.replace(name, rows.mapInPandas(count, rows.schema))
+    assert seen.value == 3000
+    assert sorted(store.read(name).collect()) == sorted(rows.collect())
+    assert os.listdir(f"{root}/{name}") == ["v00000001"]
